@@ -96,3 +96,16 @@ def with_membership(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) ->
 def salts(rows: int, per_salt: int = 50_000, least: int = 64, most: int = 4096) -> int:
     """Into how many salts a hot key is dealt: grows with the input, within bounds."""
     return max(least, min(most, -(-rows // per_salt)))
+
+
+def drop_ids(docs: DataFrame, id_col: str, ids: DataFrame, column: str) -> DataFrame:
+    """The rows of ``docs`` whose identifier is not in ``ids`` (a written table without repeats); null identifiers stay.
+
+    Only rows that pass the filter over ``ids`` are joined; the texts of all others are not shuffled.
+    """
+    dropped = ids.select(F.col(column).alias("_dropped"))
+    bitmap = membership_filter(dropped.select(F.xxhash64("_dropped").alias("key")), "key")
+    marked = with_membership(docs, F.xxhash64(id_col), bitmap, "_maybe")
+    clean = marked.filter(~F.col("_maybe")).select(docs.columns)
+    rest = marked.filter("_maybe").select(docs.columns)
+    return clean.unionByName(rest.join(dropped, rest[id_col] == F.col("_dropped"), "left_anti"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import Scratch, membership_filter, with_membership
+from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership
 
 #: Positions that a seed looks at; the others are ignored. Together they hit
 #: every alignment of 8 to 24 words with at most a fifth of them substituted.
@@ -102,8 +102,4 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that share no passage with ``tests``; rows without an identifier are judged by none and stay."""
     scratch = Scratch(docs.sparkSession, "decontaminated")
     leaks = scratch.table(contaminated(docs, tests, id_col, text_col, **options).select(F.col(id_col).alias("_id")).distinct())
-    bitmap = membership_filter(leaks.select(F.xxhash64("_id").alias("key")), "key")
-    marked = with_membership(docs, F.xxhash64(id_col), bitmap, "_maybe")
-    clean = marked.filter(~F.col("_maybe")).select(docs.columns)
-    rest = marked.filter("_maybe").select(docs.columns)
-    return clean.unionByName(rest.join(leaks, rest[id_col] == leaks["_id"], "left_anti"))
+    return drop_ids(docs, id_col, leaks, "_id")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import read
 from fathomline.llm.decontamination import contaminated
 from fathomline.llm.exact_dedup import lsm_dedup
+from fathomline.llm.ngram_join import similar_components
 from fathomline.llm.packing import pack
 from fathomline.llm.quality import fit_quality, score_quality
 from fathomline.llm.sharding import label_propagation_shards
@@ -27,6 +28,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_components(read(spark, sf_dir, "documents"), k=4, percent=85)
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = label_propagation_shards(read(spark, sf_dir, "documents"))
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
@@ -61,6 +66,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_ngram_join": op2_ngram_join,
     "op3_sharding": op3_sharding,
     "op4_packing": op4_packing,
     "op5_quality": op5_quality,
