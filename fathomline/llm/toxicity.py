@@ -148,8 +148,9 @@ def label_tokens(docs: list[np.ndarray], toxic: np.ndarray, table: np.ndarray, s
         # Of features in the same documents the purest and commonest goes first.
         marked[best] = True
         open_[owner[flat == best]] = False
-    # Features that, like the chosen ones, hardly occur outside toxic documents and are common there.
-    marked |= (whole >= 20) & (clean * 200 * share <= whole * (1 - share)) & (whole >= 0.01 * max(1, toxic.sum()))
+    # And those, explained or not, that are in so many toxic documents and hardly any clean one that chance can't do it for any feature.
+    by_chance = np.log(100 * kinds) / -np.log(min(max(share, 1e-6), 1 - 1e-6))
+    marked |= (whole >= by_chance) & (clean * 200 * share <= whole * (1 - share)) & (whole >= 0.01 * toxic.sum())
     return marked
 
 
