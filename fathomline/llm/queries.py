@@ -15,6 +15,7 @@ from fathomline.llm.ngram_join import similar_components
 from fathomline.llm.packing import pack
 from fathomline.llm.quality import fit_quality, score_quality
 from fathomline.llm.sharding import label_propagation_shards
+from fathomline.llm.suffix_dedup import remove_repeats
 from fathomline.llm.token_counts import count_tokens
 from fathomline.llm.toxicity import fit_toxicity, held_out, score_toxicity
 from fathomline.llm.url_filter import judge_urls
@@ -60,6 +61,10 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsm_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_counts": op6_token_counts,
     "op7_decontamination": op7_decontamination,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
 }
 
@@ -82,6 +88,7 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": r"""
         WITH rules(host, path, verdict) AS (
             VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')
