@@ -1 +1,211 @@
-"""Queries."""
+"""Queries on sonar frames."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from fathomline.functions.numbers import micro
+from fathomline.operators import frames as K
+from fathomline.plans.registry import query
+from fathomline.plans.views import PINGS, micro_sql, pings
+
+_GLOBAL = "globals AS (SELECT frame, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS dr, count(DISTINCT floor(v * 255)) AS levels, avg(CASE WHEN v <= 1e-6 OR v >= 1 - 1e-6 THEN 1.0 ELSE 0.0 END) AS sat FROM pings GROUP BY frame)"
+_DEAD = """rowstat AS (SELECT frame, ping, max(v) - min(v) AS spread, avg(v) AS mean FROM pings GROUP BY ALL), med AS (SELECT frame, median(mean) AS med FROM rowstat GROUP BY frame),
+mad AS (SELECT frame, any_value(med) AS med, median(abs(mean - med)) AS mad FROM rowstat JOIN med USING (frame) GROUP BY frame),
+dead AS (SELECT frame, ping, spread < 1e-3 OR (mad > 1e-6 AND mean < med - 4 * 1.4826 * mad) AS dead FROM rowstat JOIN mad USING (frame))"""
+_SPECKLE = """blocks AS (SELECT frame, avg(v) AS mu, stddev_pop(v) AS sd FROM pings WHERE ping < 48 AND bin < 64 GROUP BY frame, ping // 16, bin // 16), cvs AS (SELECT frame, sd / mu AS cv FROM blocks WHERE mu > 1e-3),
+cut AS (SELECT frame, quantile_cont(cv, 0.25) AS q FROM cvs GROUP BY frame), speckle AS (SELECT frame, median(cv) AS speckle FROM cvs JOIN cut USING (frame) WHERE cv <= q GROUP BY frame)"""
+_BLUR = """lap AS (SELECT frame, -4 * v + lag(v) OVER al + lead(v) OVER al + lag(v) OVER ac + lead(v) OVER ac AS lap FROM pings WINDOW al AS (PARTITION BY frame, bin ORDER BY ping), ac AS (PARTITION BY frame, ping ORDER BY bin)),
+blur AS (SELECT frame, var_pop(lap) AS blur FROM lap GROUP BY frame)"""
+_BAND = """col AS (SELECT frame, bin, avg(v) AS m FROM pings GROUP BY ALL), sm AS (SELECT frame, bin, sum(m) OVER (PARTITION BY frame ORDER BY bin ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) / 3 AS s FROM col),
+smed AS (SELECT frame, median(s) AS med FROM sm GROUP BY frame), dark AS (SELECT frame, bin, bin - lag(bin) OVER (PARTITION BY frame ORDER BY bin) AS gap FROM sm JOIN smed USING (frame) WHERE med > 1e-6 AND s < 0.55 * med),
+isl AS (SELECT *, sum(CASE WHEN gap IS NULL OR gap > 2 THEN 1 ELSE 0 END) OVER (PARTITION BY frame ORDER BY bin) AS run FROM dark), runs AS (SELECT frame, run, min(bin) AS a, max(bin) + 1 AS b FROM isl GROUP BY ALL),
+pick AS (SELECT *, row_number() OVER (PARTITION BY frame ORDER BY CASE WHEN a <= 32 AND 32 < b THEN 0 ELSE 1 END, CASE WHEN a <= 32 AND 32 < b THEN 0 ELSE abs((a + b) / 2 - 32) END, a) AS k FROM runs),
+band AS (SELECT frame, a, b FROM pick WHERE k = 1 AND b - a >= 3 AND b - a <= 0.35 * 64 AND abs((a + b) / 2 - 32) <= 16)"""
+_QC = f"""{_GLOBAL}, {_DEAD}, {_SPECKLE}, {_BLUR}, {_BAND}, dropped AS (SELECT frame, avg(CASE WHEN dead THEN 1.0 ELSE 0.0 END) AS dropped FROM dead GROUP BY frame),
+qc AS (SELECT *, greatest(0, 1 - (coalesce((b - a) / 64, 0) + dropped)) AS usable FROM globals JOIN dropped USING (frame) LEFT JOIN speckle USING (frame) JOIN blur USING (frame) LEFT JOIN band USING (frame)),
+scored AS (SELECT *, least(1, greatest(0, 0.25 * least(1, greatest(0, dr / 0.6)) + 0.25 * (1 - least(1, dropped / 0.2)) + 0.15 * (1 - least(1, sat / 0.3))
+    + 0.2 * CASE WHEN speckle IS NULL THEN 0.5 ELSE 1 - least(1, greatest(0, (speckle - 0.15) / 0.55)) END + 0.15 * usable)) AS quality FROM qc)"""
+
+
+@query(f"WITH {PINGS}, {_GLOBAL} SELECT frame, {micro_sql('dr')} AS dynamic_range, levels AS unique_levels, {micro_sql('sat')} AS saturated_ratio FROM globals")
+def qc_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG7, AG19, AR1: range, levels and clipping of each frame."""
+    return K.global_statistics(pings(spark, sf_dir)).withColumns({c: micro(F.col(c)) for c in ("dynamic_range", "saturated_ratio")})
+
+
+@query(f"WITH {PINGS}, {_DEAD} SELECT frame, ping FROM dead WHERE dead")
+def qc_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG3: dead rows."""
+    return K.dropout_rows(pings(spark, sf_dir)).filter("dead").select("frame", "ping")
+
+
+@query(f"WITH {PINGS}, {_SPECKLE} SELECT frame, {micro_sql('speckle')} AS speckle_index FROM speckle")
+def qc_speckle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG4: noise of the flattest patches."""
+    return K.speckle_index(pings(spark, sf_dir)).withColumn("speckle_index", micro(F.col("speckle_index")))
+
+
+@query(f"WITH {PINGS}, {_BLUR} SELECT frame, {micro_sql('blur')} AS blur_score FROM blur")
+def qc_blur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG5: sharpness."""
+    return K.blur_score(pings(spark, sf_dir)).withColumn("blur_score", micro(F.col("blur_score")))
+
+
+@query(f'WITH {PINGS}, {_BAND} SELECT frame, a AS start, b AS "end" FROM band')
+def qc_water_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG2, WN4, WN6, WN7: the dark band under the sonar."""
+    return K.water_column(pings(spark, sf_dir))
+
+
+@query(f"WITH {PINGS}, {_QC} SELECT frame, {micro_sql('quality')} AS quality_score, {micro_sql('usable')} AS usable_region_ratio FROM scored")
+def qc_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG6, IMG7: the composite score."""
+    return K.assess(pings(spark, sf_dir)).select("frame", micro(F.col("quality_score")).alias("quality_score"), micro(F.col("usable_region_ratio")).alias("usable_region_ratio"))
+
+
+@query(
+    f"""WITH {PINGS}, {_QC} SELECT frame, concat_ws(' | ', CASE WHEN dr < 0.15 THEN 'Very low dynamic range - contrast normalisation strongly recommended.' END, CASE WHEN dropped > 0.05 THEN printf('%.1f%%', 100 * dropped) || ' of ping rows are dead (probable data dropout).' END,
+    CASE WHEN sat > 0.25 THEN printf('%.1f%%', 100 * sat) || ' of pixels are clipped at black/white.' END, CASE WHEN speckle > 0.5 THEN 'High speckle index - denoising recommended before detection.' END,
+    CASE WHEN a IS NULL THEN 'No water-column band detected (image may already be nadir-removed or georectified).' ELSE printf('Water column detected at columns %d-%d (%.1f%% of swath width).', a, b, 100 * (b - a) / 64) END,
+    CASE WHEN levels < 32 THEN printf('Only %d distinct intensity levels - possible over-quantisation.', levels) END) AS notes FROM scored"""
+)
+def qc_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG7, PRJ6: what an operator should know of a frame."""
+    return K.assess(pings(spark, sf_dir)).select("frame", F.array_join("notes", " | ").alias("notes"))
+
+
+_OUT = "SELECT frame, ping, bin::INTEGER AS bin, {} AS v FROM {}"
+
+
+def _shown(df: DataFrame) -> DataFrame:
+    return df.select("frame", "ping", F.col("bin").cast("int").alias("bin"), micro(F.col("v")).alias("v"))
+
+
+@query(
+    f"""WITH {PINGS}, col AS (SELECT frame, bin, avg(v) AS m FROM pings GROUP BY ALL), prof AS (SELECT a.frame, a.bin, greatest(0.25 * l.m + 0.5 * a.m + 0.25 * r.m, 1e-3) AS p
+    FROM col a JOIN col l ON l.frame = a.frame AND l.bin = abs(a.bin - 1) JOIN col r ON r.frame = a.frame AND r.bin = CASE WHEN a.bin = 63 THEN 62 ELSE a.bin + 1 END),
+    tgt AS (SELECT frame, avg(v) AS t FROM pings GROUP BY frame), done AS (SELECT frame, ping, bin, least(1, greatest(0, v * (t / p))) AS v FROM pings JOIN prof USING (frame, bin) JOIN tgt USING (frame)) {_OUT.format(micro_sql("v"), "done")}"""
+)
+def gain_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG10, WN5: brightness evened out across the track."""
+    return _shown(K.gain_normalize(pings(spark, sf_dir), 64))
+
+
+@query(f"WITH {PINGS}, cut AS (SELECT frame, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.99) AS hi FROM pings GROUP BY frame), done AS (SELECT frame, ping, bin, CASE WHEN hi - lo < 1e-6 THEN v ELSE least(1, greatest(0, (v - lo) / (hi - lo))) END AS v FROM pings JOIN cut USING (frame)) {_OUT.format(micro_sql('v'), 'done')}")
+def dr_stretch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG11: percentile stretch."""
+    return _shown(K.stretch(pings(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {PINGS}, lev AS (SELECT *, floor(v * 255) AS level FROM pings), n AS (SELECT frame, level, count(*) AS n FROM lev GROUP BY ALL),
+    placed AS (SELECT frame, level, sum(n) OVER up AS upto, sum(n) OVER (PARTITION BY frame) AS total, first_value(n) OVER up AS first FROM n WINDOW up AS (PARTITION BY frame ORDER BY level)),
+    done AS (SELECT frame, ping, bin, CASE WHEN total = first THEN level ELSE round_even((upto - first) * (255.0::DOUBLE / (total - first)), 0) END / 255 AS v FROM lev JOIN placed USING (frame, level)) {_OUT.format(micro_sql("v"), "done")}"""
+)
+def hist_equalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG12, SC25: histogram equalisation."""
+    return _shown(K.equalize(pings(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {PINGS}, {_DEAD}, f AS (SELECT * FROM pings JOIN dead USING (frame, ping)), near AS (
+        SELECT *, last_value(CASE WHEN NOT dead THEN ping END IGNORE NULLS) OVER b AS p, last_value(CASE WHEN NOT dead THEN v END IGNORE NULLS) OVER b AS pv,
+               first_value(CASE WHEN NOT dead THEN ping END IGNORE NULLS) OVER a AS n, first_value(CASE WHEN NOT dead THEN v END IGNORE NULLS) OVER a AS nv
+        FROM f WINDOW b AS (PARTITION BY frame, bin ORDER BY ping ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), a AS (PARTITION BY frame, bin ORDER BY ping ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)
+    ), done AS (SELECT frame, ping, bin, CASE WHEN dead THEN coalesce((1 - (ping - p) / (n - p)) * pv + (ping - p) / (n - p) * nv, pv, nv, v) ELSE v END AS v FROM near) {_OUT.format(micro_sql("v"), "done")}"""
+)
+def dropout_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG15, WN3: dead rows interpolated."""
+    return _shown(K.repair_dropouts(pings(spark, sf_dir)))
+
+
+_MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} >= {1} THEN 2 * {1} - 2 - ({0}) ELSE {0} END"
+
+
+@query(
+    f"""WITH {PINGS}, d(d) AS (VALUES (-2), (-1), (0), (1), (2)), h AS (SELECT a.frame, a.ping, a.bin, sum(b.v) / 5 AS m, sum(b.v * b.v) / 5 AS q FROM pings a CROSS JOIN d JOIN pings b ON b.frame = a.frame AND b.ping = a.ping AND b.bin = {_MIRROR.format("a.bin + d", 64)} GROUP BY ALL),
+    l AS (SELECT a.frame, a.ping, a.bin, sum(b.m) / 5 AS m, sum(b.q) / 5 AS q FROM h a CROSS JOIN d JOIN h b ON b.frame = a.frame AND b.bin = a.bin AND b.ping = {_MIRROR.format("a.ping + d", 50)} GROUP BY ALL),
+    g AS (SELECT frame, var_pop(v) / power(avg(v) + 1e-6, 2) AS cu2 FROM pings GROUP BY frame), s AS (SELECT *, greatest(q - m * m, 0) AS var FROM pings JOIN l USING (frame, ping, bin) JOIN g USING (frame)),
+    done AS (SELECT frame, ping, bin, least(1, greatest(0, m + var / (var + cu2 * m * m + 1e-8) * (v - m))) AS v FROM s) {_OUT.format("floor(v * 1e5 + 0.5) / 1e5", "done")}"""
+)
+def lee_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG8: speckle filter; shown to five decimals."""
+    out = K.lee_filter(pings(spark, sf_dir))
+    return out.select("frame", "ping", F.col("bin").cast("int").alias("bin"), (F.floor(F.col("v") * 1e5 + 0.5) / 1e5).alias("v"))
+
+
+@query(f"WITH {PINGS}, {_BAND}, m AS (SELECT frame, median(v) AS med FROM pings GROUP BY frame), done AS (SELECT frame, ping, bin, CASE WHEN bin >= a AND bin < b THEN med ELSE v END AS v FROM pings LEFT JOIN band USING (frame) JOIN m USING (frame)) {_OUT.format(micro_sql('v'), 'done')}")
+def wc_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG9: the band masked by the median."""
+    return _shown(K.mask_water_column(pings(spark, sf_dir)))
+
+
+@query(f"WITH {PINGS}, {_BAND}, done AS (SELECT frame, ping, CASE WHEN bin >= b THEN bin - (b - a) ELSE bin END AS bin, v FROM pings LEFT JOIN band USING (frame) WHERE a IS NULL OR bin < a OR bin >= b) {_OUT.format(micro_sql('v'), 'done')}")
+def wc_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG9: the band cut out."""
+    return _shown(K.split_water_column(pings(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {PINGS}, k AS (SELECT unnest(range(32)) AS k), src AS (SELECT k, least(sqrt(power(k * (sqrt(32.0::DOUBLE * 32 - 36) + 1e-6) / 31, 2) + 36), 31) AS s FROM k),
+    places AS (SELECT 31 - k AS bin, greatest(31 - s, 0) AS x FROM src UNION ALL SELECT 32 + k, least(32 + s, 63) FROM src),
+    done AS (SELECT a.frame, a.ping, t.bin, a.v * (1 - (x - floor(x))) + b.v * (x - floor(x)) AS v FROM places t JOIN pings a ON a.bin = floor(x) JOIN pings b ON b.frame = a.frame AND b.ping = a.ping AND b.bin = least(floor(x) + 1, 63)) {_OUT.format(micro_sql("v"), "done")}"""
+)
+def slant_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG16: slant range to ground range at an altitude of six bins."""
+    return _shown(K.slant_to_ground(pings(spark, sf_dir), 64, 6.0))
+
+
+@query(f"WITH {PINGS}, done AS (SELECT frame, ping, bin, least(1, greatest(0, least(1, greatest(0, m + (v - m) * 0.5)) * 1.5)) AS v FROM (SELECT *, avg(v) OVER (PARTITION BY frame) AS m FROM pings)) {_OUT.format(micro_sql('v'), 'done')}")
+def contrast_gain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG24: lower contrast, then a gain."""
+    return _shown(K.gain(K.contrast(pings(spark, sf_dir), 0.5), 1.5))
+
+
+@query(
+    f"""WITH {PINGS}, d(dx) AS (VALUES (-1), (0), (1)), e(dy) AS (VALUES (-1), (0), (1)), done AS (SELECT a.frame, a.ping, a.bin, median(b.v) AS v FROM pings a CROSS JOIN d CROSS JOIN e
+    JOIN pings b ON b.frame = a.frame AND b.ping = least(greatest(a.ping + dy, 0), 49) AND b.bin = least(greatest(a.bin + dx, 0), 63) GROUP BY ALL) {_OUT.format(micro_sql("v"), "done")}"""
+)
+def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG17: three by three median."""
+    return _shown(K.median_filter(pings(spark, sf_dir)))
+
+
+@query(
+    f"""WITH {PINGS}, y AS (SELECT unnest(range(0, 35, 8)) AS py), x AS (SELECT unnest(range(0, 49, 8)) AS px) SELECT frame, py::INTEGER AS py, px::INTEGER AS px, count(*) AS pixels, {micro_sql("avg(v)")} AS mean
+    FROM pings JOIN y ON ping >= py AND ping < py + 16 JOIN x ON bin >= px AND bin < px + 16 GROUP BY ALL"""
+)
+def patch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG25, IMG23: overlapping square patches."""
+    cut = K.patches(pings(spark, sf_dir), 16, 8)
+    return cut.groupBy("frame", "py", "px").agg(F.count(F.lit(1)).alias("pixels"), micro(F.avg("v")).alias("mean"))
+
+
+@query(f"WITH {PINGS}, e AS (SELECT frame, abs(v - avg(v) OVER (PARTITION BY frame)) AS e FROM pings) SELECT frame, {micro_sql('quantile_cont(e, 0.99)')} AS p99, {micro_sql('max(e)')} AS top, {micro_sql('avg(e)')} AS mean, {micro_sql('(avg(e) - 0.05) / 0.02')} AS z FROM e GROUP BY frame")
+def anomaly_reduce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG22, SC23: reductions of a frame's error field and its z-score."""
+    from pyspark.sql import Window
+
+    e = pings(spark, sf_dir).select("frame", F.abs(F.col("v") - F.avg("v").over(Window.partitionBy("frame"))).alias("e"))
+    mean = F.avg("e")
+    return e.groupBy("frame").agg(micro(F.percentile("e", F.lit(0.99))).alias("p99"), micro(F.max("e")).alias("top"), micro(mean).alias("mean"), micro((mean - 0.05) / 0.02).alias("z"))
+
+
+_PLACES = "b AS (SELECT frame, idx, x0, y0, x0 + 9 AS x1, y0 + 7 AS y1, 9 AS bw, 7 AS bh, 17 AS pad, 10 AS strip FROM (SELECT DISTINCT frame FROM pings) CROSS JOIN (VALUES (0, 10, 8), (1, 28, 20), (2, 50, 38), (3, 0, 0)) t(idx, x0, y0))"
+
+
+@query(
+    f"""WITH {PINGS}, {_PLACES}, near AS (SELECT b.*, v, ping >= y0 AND ping < y1 AS rws, ping >= y0 AND ping < y1 AND bin >= x0 AND bin < x1 AS ins, bin FROM pings JOIN b USING (frame) WHERE bin >= x0 - 17 AND bin < x1 + 17 AND ping >= y0 - 17 AND ping < y1 + 17),
+    s AS (SELECT frame, idx, avg(v) FILTER (WHERE ins) AS tm, max(v) FILTER (WHERE ins) AS tx, avg(v) FILTER (WHERE NOT ins) AS bm, stddev_pop(v) FILTER (WHERE NOT ins) AS bs,
+        avg(v) FILTER (WHERE rws AND bin >= x0 - 10 AND bin < x0) AS lm, avg(v) FILTER (WHERE rws AND bin >= x1 AND bin < x1 + 10) AS rm FROM near GROUP BY ALL)
+    SELECT frame, idx, {micro_sql("least(10, greatest(-10, (tm - bm) / (bs + 1e-6)))")} AS target_contrast, {micro_sql("least(1, greatest(0, greatest((bm - coalesce(lm, bm)) / (bm + 1e-6), (bm - coalesce(rm, bm)) / (bm + 1e-6))))")} AS shadow_ratio,
+    {micro_sql("9 / 7")} AS aspect_ratio, {micro_sql("least(1, bs)")} AS background_roughness, {micro_sql("least(20, greatest(-10, (tx - bm) / (bs + 1e-6)))")} AS local_snr, {micro_sql("(log10(63 / 3200) + 6) / 6")} AS size_rank FROM s"""
+)
+def region_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG22: features of boxes in their frames, here four boxes in each."""
+    p = pings(spark, sf_dir)
+    corners = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 9).alias("x1"), F.lit(y + 7).alias("y1")) for i, x, y in ((0, 10, 8), (1, 28, 20), (2, 50, 38), (3, 0, 0))])
+    found = K.region_features(p, p.select("frame").distinct().select("frame", F.inline(corners)))
+    return found.select("frame", "idx", *[micro(F.col(c)).alias(c) for c in ("target_contrast", "shadow_ratio", "aspect_ratio", "background_roughness", "local_snr", "size_rank")])
