@@ -28,4 +28,4 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Query],
 
 
 # The modules register their queries when they are imported.
-from fathomline.plans import detection, frames, geo, register, scoring, store  # noqa: E402, F401
+from fathomline.plans import detection, frames, geo, register, scoring, store, texts  # noqa: E402, F401
