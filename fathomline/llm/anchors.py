@@ -36,19 +36,21 @@ def stretch_hash(sums: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
 
 
 def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
-    """``(hash, first, last, offset, content)`` of the anchors of documents laid end to end.
+    """``(key, first, last, content)`` of groups of windows of documents laid end to end.
 
     ``ends`` are the documents' ends in ``data``, of fewer than 2**24 bytes.
     The anchor of a window of ``length`` bytes is its gram of least hash, the
     first of equal ones. It depends on the window's bytes alone, so equal
-    windows have equal anchors at equal offsets. ``first`` to ``last`` are the
-    starts of the windows that one place is the anchor of, ``offset`` is the
-    place seen from ``first``, and ``content`` hashes all their bytes and the
-    offset. Every window inside a document has exactly one anchor.
+    windows have equal anchors at equal offsets. The windows of one anchor are
+    two groups: those that begin less than half a window before it all contain
+    the half window from the anchor on, the others the half window up to the
+    anchor's end; ``key`` hashes those bytes. ``first`` to ``last`` are the
+    starts of a group's windows, and ``content`` hashes all their bytes and the
+    anchor's offset. Every window inside a document is in exactly one group.
     """
     none = np.zeros(0, dtype=np.int64)
     if len(data) < length:
-        return none.astype(np.uint64), none, none, none, none.astype(np.uint64)
+        return none.astype(np.uint64), none, none, none.astype(np.uint64)
     sums = prefix_sums(data)
     starts = np.arange(len(data) - GRAM + 1)
     grams = stretch_hash(sums, starts, starts + GRAM)
@@ -61,6 +63,14 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     first = np.flatnonzero(begins)
     stops = inside & np.concatenate([(place[1:] != place[:-1]) | ~inside[1:] | (doc[1:] != doc[:-1]), [True]])
     last = np.flatnonzero(stops)
-    offset = place[first] - first
-    content = stretch_hash(sums, first, last + length) ^ mix(offset.astype(np.uint64), 5)
-    return grams[place[first]], first, last, offset, content
+    at = place[first]
+    half = (length - GRAM) // 2
+    begin = np.maximum(first, at - half)
+    late = begin <= last
+    stop = np.minimum(last, at - half - 1)
+    early = first <= stop
+    key = np.concatenate([stretch_hash(sums, at[late], at[late] + GRAM + half), stretch_hash(sums, at[early] - half, at[early] + GRAM) ^ np.uint64(0x5555555555555555)])
+    place_of = np.concatenate([at[late], at[early]])
+    first, last = np.concatenate([begin[late], first[early]]), np.concatenate([last[late], stop[early]])
+    content = stretch_hash(sums, first, last + length) ^ mix((place_of - first).astype(np.uint64), 5)
+    return key, first, last, content

@@ -7,7 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership
@@ -20,7 +20,7 @@ MOST_COMMON = 50_000
 #: Neighbours by size that a document is paired with in one bucket before components are known.
 NEIGHBOURS = 4
 ORDERS = 3
-PORTION = 3_000_000
+PORTION = 2_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -87,21 +87,22 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
 
 
 def prefix(grams: np.ndarray, percent: int, order: int, common: np.ndarray) -> np.ndarray:
-    """The first shingles of a set under one global order: common ones last, else by a hash of the order's own.
+    """The first shingles of a set, in order, under one global order: common ones last, else by a hash of the order's own.
 
     Two sets whose Jaccard similarity reaches ``percent`` share one of their
     first n - ceil(n * percent / 100) + 1 shingles, whatever the order.
     """
     n = len(grams)
-    take = n + (-percent * n // 100) + 1
-    if not n or take >= n:
+    take = min(n, n + (-percent * n // 100) + 1)
+    if not n:
         return grams
     with np.errstate(over="ignore"):
         rank = mix(grams, 100 + order) >> np.uint64(1)
     if len(common):
         at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
         rank |= (common[at] == grams).astype(np.uint64) << np.uint64(63)
-    return grams[np.argpartition(rank, take - 1)[:take]]
+    first = np.argpartition(rank, take - 1)[:take]
+    return grams[first[np.argsort(rank[first])]]
 
 
 def batched(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
@@ -113,9 +114,9 @@ def batched(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
             begin, size = i + 1, 0
 
 
-def lists(parts: list[np.ndarray]) -> pa.ListArray:
+def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
-    return pa.ListArray.from_arrays(offsets, np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64))
+    return pa.ListArray.from_arrays(offsets, np.concatenate(parts).view(kind) if parts else np.zeros(0, kind))
 
 
 def common_shingles(source: DataFrame, k: int, rows: int) -> np.ndarray:
@@ -151,8 +152,8 @@ def sketches(source: DataFrame, k: int, percent: int, common: np.ndarray) -> Dat
     return source.mapInArrow(sketch, f"id {source.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, prefix array<long>")
 
 
-def full_sets(source: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """``id, grams, p1, p2, ...``: the whole sets and their prefixes under the further orders."""
+def further_prefixes(source: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
+    """``id, p1, p2, ...``: the prefixes under the further orders, as 32-bit hashes, which may agree by chance but never miss."""
     sent = source.sparkSession.sparkContext.broadcast(common)
     names = [f"p{o}" for o in range(1, ORDERS)]
 
@@ -160,21 +161,61 @@ def full_sets(source: DataFrame, k: int, percent: int, common: np.ndarray) -> Da
         for batch in batches:
             for ids, texts in batched(batch.column("id").to_pylist(), batch.column("body").to_pylist()):
                 sets = shingle_sets(texts, k)
-                parts = [lists([prefix(s, percent, o, sent.value) for s in sets]) for o in range(1, ORDERS)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), lists(sets), *parts], ["id", "grams", *names])
+                parts = [lists([prefix(s, percent, o, sent.value).astype(np.uint32) for s in sets], np.int32) for o in range(1, ORDERS)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), *parts], ["id", *names])
 
     kind = source.schema["id"].dataType.simpleString()
-    return source.mapInArrow(make, f"id {kind}, grams array<long>, " + ", ".join(f"{p} array<long>" for p in names))
+    return source.mapInArrow(make, f"id {kind}, " + ", ".join(f"{p} array<int>" for p in names))
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) that reach the similarity; both must share a prefix token under every further order first."""
+def full_sets(source: DataFrame, k: int) -> DataFrame:
+    """``id, grams``: the whole sets."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, texts in batched(batch.column("id").to_pylist(), batch.column("body").to_pylist()):
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), lists(shingle_sets(texts, k))], ["id", "grams"])
+
+    return source.mapInArrow(make, f"id {source.schema['id'].dataType.simpleString()}, grams array<long>")
+
+
+def ends_of(source: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The rows of ``source`` that may occur in ``pairs`` (columns a, b)."""
+    ends = pairs.select(F.xxhash64("a").alias("key")).unionByName(pairs.select(F.xxhash64("b").alias("key")))
+    return with_membership(source, F.xxhash64("id"), membership_filter(ends, "key"), "maybe").filter("maybe").drop("maybe")
+
+
+def of_pairs(sets: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """``columns`` of the sets that occur in ``pairs``, named for either end; the others are not shuffled."""
+    some = ends_of(sets.select("id", *columns), pairs)
+    return tuple(some.select(F.col("id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in columns]) for e in ("a", "b"))
+
+
+def can_reach(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int) -> Column:
+    """Whether sets whose first common token is at these places can still have enough tokens in common."""
+    most = F.least(n_a - at_a, n_b - at_b)
+    small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
+    return (small * 100 >= large * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
+
+
+def meeting(rows: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a, b) of ``rep`` and ``o_rep`` that can reach the similarity from the places where they meet."""
+    fine = rows.filter(can_reach(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent))
+    return fine.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+
+
+def share_prefixes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs whose ends share a prefix token under every further order."""
     orders = [f"p{o}" for o in range(1, ORDERS)]
-    left = sets.select(F.col("id").alias("a"), *[F.col(p).alias(f"a_{p}") for p in orders])
-    right = sets.select(F.col("id").alias("b"), *[F.col(p).alias(f"b_{p}") for p in orders])
+    left, right = of_pairs(sets, pairs, *orders)
     shared = reduce(lambda x, y: x & y, [F.arrays_overlap(f"a_{p}", f"b_{p}") for p in orders])
-    candidates = pairs.join(right, "b").join(left, "a").filter(shared).select("a", "b")
-    whole = candidates.join(sets.select(F.col("id").alias("b"), F.col("grams").alias("b_grams")), "b").join(sets.select(F.col("id").alias("a"), F.col("grams").alias("a_grams")), "a")
+    return pairs.join(right, "b").join(left, "a").filter(shared).select(pairs.columns)
+
+
+def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that reach the similarity."""
+    left, right = of_pairs(sets, pairs, "grams")
+    whole = pairs.select("a", "b").join(right, "b").join(left, "a")
     both = F.size(F.array_intersect("a_grams", "b_grams"))
     return whole.filter(both * 100 >= (F.size("a_grams") + F.size("b_grams") - both) * percent).select("a", "b").distinct()
 
@@ -199,37 +240,51 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     common = common_shingles(source.filter("id is not null"), k, docs.count())
     sketched = scratch.table(sketches(source, k, percent, common))
-    classes = scratch.table(sketched.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"), F.first("prefix").alias("prefix")))
+    classes = scratch.table(sketched.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")))
+
+    def buckets() -> DataFrame:
+        """``token, rep, n``: the prefix of one document of each class."""
+        leading = classes.select("k1", "k2", "n", "rep").join(sketched.withColumnRenamed("id", "rep"), ["rep", "k1", "k2", "n"])
+        return leading.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
 
     bucket = Window.partitionBy("token").orderBy("n", "rep")
-    near = [F.struct(F.lag("rep", j).over(bucket).alias("a"), F.lag("n", j).over(bucket).alias("n")) for j in range(1, NEIGHBOURS + 2)]
-    tokens = classes.select("rep", "n", F.explode("prefix").alias("token"))
-    looked = tokens.select("token", "rep", "n", F.array(*near).alias("near"))
-    fits = F.filter("near", lambda x: x["n"] * 100 >= F.col("n") * percent)
-    looked = looked.select("token", F.col("rep").alias("b"), fits.alias("near")).filter(F.size("near") > 0)
-    close = scratch.table(looked.select("token", "b", F.slice("near", 1, NEIGHBOURS).alias("near"), (F.size("near") > NEIGHBOURS).alias("hot")))
-    pairs = close.select("b", F.explode("near.a").alias("a")).filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count()
+    near = [F.struct(*[F.lag(c, j).over(bucket).alias(c) for c in ("rep", "n", "at")]) for j in range(1, NEIGHBOURS + 2)]
+    looked = buckets().select("token", "rep", "n", "at", F.array(*near).alias("near"))
+    reach = F.filter("near", lambda x: x["n"] * 100 >= F.col("n") * percent)
+    looked = looked.select("token", "rep", "n", "at", reach.alias("near")).filter(F.size("near") > 0)
+    fits = F.filter(F.slice("near", 1, NEIGHBOURS), lambda x: can_reach(x["n"], x["at"], F.col("n"), F.col("at"), percent))
+    # Hot: a bucket with more documents of a like size than the window looks at.
+    close = scratch.table(looked.select("token", F.col("rep").alias("b"), fits.alias("near"), (F.size("near") > NEIGHBOURS).alias("hot")).filter("hot or size(near) > 0"))
+    scratch.sweep()
+    pairs = close.select("b", F.explode("near.rep").alias("a")).filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count()
     pairs = scratch.table(pairs)
     hot = scratch.table(close.filter("hot").select("token").distinct())
 
-    met = pairs.select(F.xxhash64("a").alias("key")).unionByName(pairs.select(F.xxhash64("b").alias("key"))).distinct()
-    involved = with_membership(source.filter("id is not null"), F.xxhash64("id"), membership_filter(met, "key"), "maybe").filter("maybe").select("id", "body")
-    sets = scratch.table(full_sets(involved, k, percent, common).dropDuplicates(["id"]))
+    named = source.filter("id is not null")
     scratch.drop(close)
 
+    def likely_of(pairs: DataFrame) -> DataFrame:
+        """The pairs that the other orders leave, too."""
+        return scratch.table(share_prefixes(pairs, scratch.table(further_prefixes(ends_of(named, pairs), k, percent, common))))
+
+    likely = likely_of(pairs)
+    scratch.drop(pairs)
+    scratch.sweep()
+
     tried: DataFrame | None = None
     links: DataFrame | None = None
     components: DataFrame | None = None
 
     def attempt(candidates: DataFrame) -> None:
-        """Verifies those candidates that are still open; then joins the components anew."""
+        """Verifies those candidates that were not tried yet; then joins the components anew."""
         nonlocal tried, links, components
         now = candidates.select("a", "b").distinct()
         now = scratch.table(now.join(tried, ["a", "b"], "left_anti") if tried is not None else now)
         tried = now if tried is None else tried.unionByName(now)
-        found = scratch.table(verify(now, sets, percent))
+        found = scratch.table(verify(now, scratch.table(full_sets(ends_of(named, now), k)), percent))
         links = found if links is None else links.unionByName(found)
         components = connected_components(links, scratch)
+        scratch.sweep()
 
     def apart(candidates: DataFrame) -> DataFrame:
         """Candidates whose ends are in different components."""
@@ -239,10 +294,10 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         return with_b.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
 
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
-    attempt(pairs.withColumn("k", F.row_number().over(best)).filter("k = 1"))
-    attempt(apart(pairs))
+    attempt(likely.withColumn("k", F.row_number().over(best)).filter("k = 1"))
+    attempt(apart(likely))
     if not hot.isEmpty():
-        members = scratch.table(tokens.join(hot, "token"))
+        members = scratch.table(buckets().join(hot, "token"))
 
         def placed() -> DataFrame:
             """Members of buckets that still hold several components."""
@@ -250,17 +305,18 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             spread = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
             return named.join(spread, "token")
 
-        # Once more a few neighbours, in another order, to bring large groups together; then all that is left.
+        # Once more a neighbour, in another order, to bring large groups together; then all that is left.
         shuffled = Window.partitionBy("token").orderBy(F.xxhash64("rep"))
-        chained = scratch.table(placed()).withColumn("a", F.lag("rep").over(shuffled)).withColumn("ca", F.lag("component").over(shuffled)).filter("ca <> component")
-        attempt(chained.select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")))
+        before = [F.lag(c).over(shuffled).alias(f"o_{c}") for c in ("rep", "n", "at", "component")]
+        chained = scratch.table(placed()).select("*", *before).filter("o_component <> component")
+        attempt(likely_of(scratch.table(meeting(chained, percent))))
         left = scratch.table(placed())
-        other = left.select("token", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-        ends = (F.col("rep") < F.col("b")) & (F.col("component") != F.col("cb")) & (F.least("n", "nb") * 100 >= F.greatest("n", "nb") * percent)
-        attempt(left.join(other, left["token"] == other["token"]).filter(ends).select(F.col("rep").alias("a"), "b"))
+        other = left.select("token", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "at", "component")])
+        crossed = left.join(other, "token").filter((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")))
+        attempt(likely_of(scratch.table(meeting(crossed, percent))))
 
-    named = classes.select("k1", "k2", F.col("n"), "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
-    placed_docs = sketched.select("id", "n", "k1", "k2").join(named, ["k1", "k2", "n"], "left")
+    labelled = classes.select("k1", "k2", "n", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
+    placed_docs = sketched.select("id", "n", "k1", "k2").join(labelled, ["k1", "k2", "n"], "left")
     alone = F.col("id").isNull() | (F.col("n") == 0)
     return placed_docs.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"))
 

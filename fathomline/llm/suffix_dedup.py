@@ -13,8 +13,8 @@ from fathomline.llm.anchors import anchors, prefix_sums, stretch_hash
 from fathomline.llm.common import Scratch, membership_filter, with_membership
 
 LENGTH = 400
-PORTION = 6_000_000
-SLICE = 1 << 23
+PORTION = 1_000_000
+SLICE = 1 << 22
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -158,7 +158,7 @@ def anchor_table(source: DataFrame, length: int) -> DataFrame:
             for k1, k2, begins, parts in slices(batch.column("c1").to_pylist(), batch.column("c2").to_pylist(), bodies, length):
                 data = np.frombuffer(b"".join(parts), dtype=np.uint8)
                 ends = np.cumsum([len(p) for p in parts])
-                hashes, first, last, _, content = anchors(data, ends, length)
+                hashes, first, last, content = anchors(data, ends, length)
                 doc = np.searchsorted(ends, first, side="right")
                 shift = (np.array(begins) - (ends - [len(p) for p in parts]))[doc] if len(doc) else np.zeros(0, dtype=np.int64)
                 yield pa.RecordBatch.from_arrays(

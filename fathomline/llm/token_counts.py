@@ -25,7 +25,7 @@ STATES, SYMBOLS = 8, 9
 CHUNK = 512
 #: Compiled states of the counting transducer that a worker keeps, at most.
 MOST_STATES = 300_000
-PORTION = 3_000_000
+PORTION = 2_000_000
 
 
 def splitter() -> tuple[np.ndarray, np.ndarray]:

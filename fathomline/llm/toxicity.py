@@ -12,9 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents of each label that the model is fitted on, at most.
-TRAIN_ROWS_PER_LABEL = 1500
-BLOCK = 256
+TRAIN_ROWS_PER_LABEL = 1000
+BLOCK = 64
 CACHE_WORDS = 400_000
+#: Tokens whose marginals are worked out at once in training, which bounds the driver's memory.
+TRAIN_TOKENS = 200_000
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -157,12 +159,15 @@ def label_tokens(docs: list[np.ndarray], toxic: np.ndarray, table: np.ndarray, s
 def train(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Chain:
     """Fits the field on token labels derived from document labels, then a calibration of document scores."""
     ids: dict[str, int] = {}
-    docs = [np.array([ids.setdefault(w, len(ids)) for w in WORD.findall(t.lower())], dtype=np.int64) for t in texts]
+    docs = [np.array([ids.setdefault(w, len(ids)) for w in WORD.findall(t.lower())], dtype=np.int32) for t in texts]
     named: dict[str, int] = {}
-    rows = [[named.setdefault(f, len(named)) for f in features(w)] for w in ids]
+    table = np.full((max(1, len(ids)), 4), -1, dtype=np.int32)
+    for i, word in enumerate(ids):
+        for j, f in enumerate(features(word)):
+            table[i, j] = named.setdefault(f, len(named))
     kinds = max(1, len(named))
-    sizes = np.array([len(r) for r in rows] or [0])
-    table = np.array([(r + [0] * 4)[:4] for r in rows] or [[0] * 4], dtype=np.int64)
+    sizes = (table >= 0).sum(axis=1)
+    table = np.maximum(table, 0)
     used = np.arange(4) < sizes[:, None]
     toxic = toxic.astype(bool)
     marked = label_tokens(docs, toxic, table, sizes, kinds)
@@ -174,6 +179,10 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Chain:
     first[starts[lengths > 0]] = True
     y = word_marked[stream] & np.repeat(toxic, lengths)
 
+    # Cuts between documents, every TRAIN_TOKENS or so.
+    ends = np.cumsum(lengths)
+    cuts = np.unique(np.concatenate([[0], ends[np.flatnonzero(np.diff(ends // TRAIN_TOKENS, prepend=0) > 0)], [len(stream)]])).astype(np.int64)
+
     weights, bias = np.zeros(kinds), np.array([-3.0])
     trans = np.zeros((2, 2))  # log factors; [0, 0] stays 0
     seen = np.zeros((2, 2))
@@ -185,7 +194,9 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Chain:
     scale = max(1.0, float(y.sum()))
     for _ in range(rounds):
         emission = (weights[table] * used).sum(axis=1) + bias[0]
-        p, expected = marginals(np.exp(np.clip(emission, -30, 30))[stream], first, 1.0, np.exp(trans))
+        odds = np.exp(np.clip(emission, -30, 30))
+        parts = [marginals(odds[stream[a:b]], first[a:b], 1.0, np.exp(trans)) for a, b in zip(cuts, cuts[1:], strict=False)]
+        p, expected = np.concatenate([q for q, _ in parts] or [np.zeros(0)]), sum((e for _, e in parts), np.zeros((2, 2)))
         gap = word_y - np.bincount(stream, weights=p, minlength=len(table))
         grad = np.bincount(table[used], weights=np.repeat(gap, used.sum(axis=1)), minlength=kinds)
         grads = [grad / scale - 1e-4 * weights, np.array([gap.sum() / scale]), (seen - expected) / scale - 1e-4 * trans]
@@ -196,7 +207,7 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Chain:
     kept = {name: float(weights[i]) for name, i in named.items() if abs(weights[i]) > 0.05}
     model = Chain(kept, 1.0, np.exp(trans), float(bias[0]))
     scorer = Scorer(model)
-    x = np.stack([evidence(p) for p in scorer.token_marginals(texts)]) if texts else np.zeros((0, 3))
+    x = np.array([evidence(p) for part in portions(texts, 1_000_000) for p in scorer.token_marginals(part)]).reshape(len(texts), 3)
     model.calibration = logistic(np.hstack([np.ones((len(x), 1)), x]), toxic.astype(float))
     return model
 
