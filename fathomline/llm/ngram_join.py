@@ -20,6 +20,8 @@ MOST_COMMON = 50_000
 #: Neighbours by size that a document is paired with in one bucket before components are known.
 NEIGHBOURS = 4
 ORDERS = 3
+#: Tokens that the first prefix is longer than needed, and that similar sets then share besides one.
+SPARE = 12
 PORTION = 2_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -86,14 +88,14 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
-def prefix(grams: np.ndarray, percent: int, order: int, common: np.ndarray) -> np.ndarray:
+def prefix(grams: np.ndarray, percent: int, order: int, common: np.ndarray, spare: int = 0) -> np.ndarray:
     """The first shingles of a set, in order, under one global order: common ones last, else by a hash of the order's own.
 
     Two sets whose Jaccard similarity reaches ``percent`` share one of their
     first n - ceil(n * percent / 100) + 1 shingles, whatever the order.
     """
     n = len(grams)
-    take = min(n, n + (-percent * n // 100) + 1)
+    take = min(n, n + (-percent * n // 100) + 1 + spare)
     if not n:
         return grams
     with np.errstate(over="ignore"):
@@ -145,7 +147,7 @@ def sketches(source: DataFrame, k: int, percent: int, common: np.ndarray) -> Dat
                     k1 = np.array([mix(s, 1).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                     k2 = np.array([np.bitwise_xor.reduce(mix(s, 2)) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, batch.schema.field("id").type), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), lists([prefix(s, percent, 0, sent.value) for s in sets])],
+                    [pa.array(ids, batch.schema.field("id").type), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), lists([prefix(s, percent, 0, sent.value, SPARE) for s in sets])],
                     ["id", "n", "k1", "k2", "prefix"],
                 )
 
@@ -193,7 +195,7 @@ def of_pairs(sets: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFram
 
 def can_reach(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int) -> Column:
     """Whether sets whose first common token is at these places can still have enough tokens in common."""
-    most = F.least(n_a - at_a, n_b - at_b)
+    most = F.least(n_a - at_a, n_b - at_b) + SPARE  # up to SPARE common tokens may come before, in hot buckets
     small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
     return (small * 100 >= large * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
 
@@ -245,15 +247,16 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     def buckets() -> DataFrame:
         """``token, rep, n``: the prefix of one document of each class."""
         leading = classes.select("k1", "k2", "n", "rep").join(sketched.withColumnRenamed("id", "rep"), ["rep", "k1", "k2", "n"])
-        return leading.select("rep", "n", F.posexplode("prefix").alias("at", "token"))
+        # What follows a token in the order: alike documents have it in common, so sorting by it puts them side by side.
+        follows = F.transform("prefix", lambda t, i: F.struct(t.alias("token"), F.xxhash64(F.get("prefix", i + 1), F.get("prefix", i + 2)).alias("next")))
+        return leading.select("rep", "n", F.posexplode(follows).alias("at", "t")).select("rep", "n", "at", "t.token", "t.next")
 
-    bucket = Window.partitionBy("token").orderBy("n", "rep")
+    bucket = Window.partitionBy("token").orderBy("next", "n", "rep")
     near = [F.struct(*[F.lag(c, j).over(bucket).alias(c) for c in ("rep", "n", "at")]) for j in range(1, NEIGHBOURS + 2)]
     looked = buckets().select("token", "rep", "n", "at", F.array(*near).alias("near"))
-    reach = F.filter("near", lambda x: x["n"] * 100 >= F.col("n") * percent)
-    looked = looked.select("token", "rep", "n", "at", reach.alias("near")).filter(F.size("near") > 0)
+    looked = looked.withColumn("near", F.filter("near", lambda x: x["rep"].isNotNull())).filter(F.size("near") > 0)
     fits = F.filter(F.slice("near", 1, NEIGHBOURS), lambda x: can_reach(x["n"], x["at"], F.col("n"), F.col("at"), percent))
-    # Hot: a bucket with more documents of a like size than the window looks at.
+    # Hot: a bucket with more documents than the window looks at.
     close = scratch.table(looked.select("token", F.col("rep").alias("b"), fits.alias("near"), (F.size("near") > NEIGHBOURS).alias("hot")).filter("hot or size(near) > 0"))
     scratch.sweep()
     pairs = close.select("b", F.explode("near.rep").alias("a")).filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count()
@@ -297,7 +300,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     attempt(likely.withColumn("k", F.row_number().over(best)).filter("k = 1"))
     attempt(apart(likely))
     if not hot.isEmpty():
-        members = scratch.table(buckets().join(hot, "token"))
+        # Similar sets share more than SPARE prefix tokens, or all that must agree if that is fewer. A
+        # document with fewer hot tokens than that shares a token with its like in a bucket that is
+        # not hot, where all pairs were looked at. Only the others have to meet in hot buckets.
+        found = scratch.table(buckets().join(hot, "token"))
+        heavy = found.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("hot")).filter(F.col("hot") > F.least(F.lit(SPARE), F.ceil(F.col("n") * percent / 100) - 1))
+        members = scratch.table(found.join(heavy.select("rep"), "rep").drop("next"))
 
         def placed() -> DataFrame:
             """Members of buckets that still hold several components."""

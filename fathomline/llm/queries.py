@@ -88,7 +88,6 @@ ORACLE_SQL: dict[str, str] = {
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
     """,
-    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": r"""
         WITH rules(host, path, verdict) AS (
             VALUES ('com', '/en/', 'block'), ('example.com', '/en/7', 'allow'), ('net', '/de/', 'allow'), ('example.net', '/de/8', 'block'), ('org', '/es/', 'block')

@@ -111,8 +111,13 @@ def wishes(fragments: DataFrame, room: int) -> DataFrame:
     """
     by_size = Window.partitionBy("digest").orderBy(F.desc("n"), F.xxhash64("digest", "shard"))
     ranked = fragments.withColumn("place", F.row_number().over(by_size) - 1).withColumn("homes", F.ceil(F.col("total") / room).cast("int"))
-    homes = ranked.filter("place < homes").select("digest", F.col("place").alias("home"), F.col("shard").alias("target"), (F.lit(room) - F.col("n")).alias("space"))
-    movers = ranked.filter("place >= homes").withColumn("home", F.col("place") % F.col("homes")).select("digest", "shard", "n", "home")
+    # Homes that still have room, numbered anew, so that nobody waits for a full one.
+    open_ = ranked.filter((F.col("place") < F.col("homes")) & (F.col("n") < room))
+    numbered = Window.partitionBy("digest").orderBy("place")
+    homes = open_.select("digest", (F.row_number().over(numbered) - 1).alias("home"), F.count(F.lit(1)).over(Window.partitionBy("digest")).alias("open"), F.col("shard").alias("target"), (F.lit(room) - F.col("n")).alias("space"))
+    movers = ranked.filter("place >= homes").join(homes.filter("home = 0").select("digest", "open"), "digest")
+    movers = movers.withColumn("home", ((F.col("place") - F.col("homes")) % F.col("open")).cast("int")).select("digest", "shard", "n", "home")
+    homes = homes.drop("open")
     queue = Window.partitionBy("digest", "home").orderBy("n", "shard").rowsBetween(Window.unboundedPreceding, -1)
     asked = movers.join(homes, ["digest", "home"]).withColumn("taken", F.coalesce(F.sum("n").over(queue), F.lit(0)))
     return asked.withColumn("m", F.least("n", F.col("space") - F.col("taken"))).filter("m > 0").select("digest", "shard", "target", "m")

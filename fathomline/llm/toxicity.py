@@ -130,6 +130,8 @@ def label_tokens(docs: list[np.ndarray], toxic: np.ndarray, table: np.ndarray, s
     least = np.array([order[d].min() if len(d) else -1 for d in docs], dtype=np.int64)
     _, one = np.unique(least * 2 + toxic, return_index=True)
     docs, toxic = [docs[i] for i in one], toxic[one]
+    if not len(docs):
+        return np.zeros(kinds, dtype=bool)
     pairs = [np.unique(table[d][np.arange(table.shape[1]) < sizes[d][:, None]]) for d in docs]
     clean = np.bincount(np.concatenate([p for p, y in zip(pairs, toxic, strict=True) if not y] or [np.zeros(0, int)]), minlength=kinds)
     owner = np.repeat(np.arange(len(docs)), [len(p) for p in pairs])
@@ -172,9 +174,9 @@ def train(texts: list[str], toxic: np.ndarray, rounds: int = 30) -> Chain:
     toxic = toxic.astype(bool)
     marked = label_tokens(docs, toxic, table, sizes, kinds)
     word_marked = (marked[table] & used).any(axis=1)
-    stream = np.concatenate(docs) if docs else np.zeros(0, int)
+    stream = np.concatenate([*docs, np.zeros(0, dtype=np.int32)])
     first = np.zeros(len(stream), dtype=bool)
-    lengths = np.array([len(d) for d in docs])
+    lengths = np.array([len(d) for d in docs], dtype=np.int64)
     starts = np.cumsum(lengths) - lengths
     first[starts[lengths > 0]] = True
     y = word_marked[stream] & np.repeat(toxic, lengths)
