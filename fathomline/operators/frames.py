@@ -331,3 +331,30 @@ def region_features(p: DataFrame, boxes: DataFrame) -> DataFrame:
         clip(F.greatest("bw", "bh") / F.least("bw", "bh"), 1.0, 20.0).alias("aspect_ratio"), clip(F.col("b_std"), 0.0, 1.0).alias("background_roughness"),
         clip((F.col("t_max") - F.col("b_mean")) / (F.col("b_std") + 1e-6), -10.0, 20.0).alias("local_snr"), clip((F.log10(share) + 6) / 6, 0.0, 1.0).alias("size_rank"),
     )
+
+
+def _cross(p: DataFrame, pick: Callable[..., Column]) -> DataFrame:
+    """The least or greatest of a pixel and its four neighbours; what lies outside does not count."""
+    down, side = Window.partitionBy("frame", "bin").orderBy("ping"), Window.partitionBy("frame", "ping").orderBy("bin")
+    around = [F.lag("v").over(down), F.lead("v").over(down), F.lag("v").over(side), F.lead("v").over(side)]
+    return p.select("frame", "ping", "bin", pick(F.col("v"), *around).alias("v"))
+
+
+def morphology(p: DataFrame, op: str = "open") -> DataFrame:
+    """Opening, closing or top hat of 8-bit levels by the three by three ellipse, which is a cross."""
+    levels = p.withColumn("v", F.floor(clip(F.col("v"), 0.0, 1.0) * 255) / 255)
+    if op == "close":
+        return _cross(_cross(levels, F.greatest), F.least)
+    opened = _cross(_cross(levels, F.least), F.greatest)
+    if op == "open":
+        return opened
+    if op == "tophat":
+        return levels.join(opened.withColumnRenamed("v", "o"), ["frame", "ping", "bin"]).select("frame", "ping", "bin", (F.col("v") - F.col("o")).alias("v"))
+    raise ValueError(f"unknown operation {op!r}")
+
+
+def check_geometry_safe(profile: str) -> None:
+    """Refuses profiles whose steps move pixels, for which labels can't be copied."""
+    moving = {"split", "slant"} & set(PROFILES.get(profile, ()))
+    if moving:
+        raise ValueError(f"profile {profile!r} moves pixels ({', '.join(sorted(moving))}); labels would no longer fit")

@@ -285,3 +285,29 @@ def frames_without_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DQ1, FLT9: frames whose label file is missing."""
     frames = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"))
     return frames.join(read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame")), "frame", "left_anti")
+
+
+@query(
+    f"""WITH {BOXES}, f AS (SELECT CASE WHEN frame % 4 = 0 THEN 'test' WHEN frame % 4 = 1 THEN 'val' ELSE 'train' END AS split, frame, idx, (x1 - x0) * (y1 - y0) / 6400 AS share FROM boxes WHERE NOT is_det),
+    r AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY share DESC, frame, idx) AS k FROM f), m AS (SELECT split, max(share) AS top, median(share) AS mid FROM f GROUP BY split)
+    SELECT split, k, frame, {micro_sql("share")} AS share, {micro_sql("top")} AS largest, {micro_sql("mid")} AS median_share FROM r JOIN m USING (split) WHERE k <= 5"""
+)
+def area_fraction_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG13: the largest targets of each split as shares of the frame, with the split's median."""
+    r = F.col("frame") % 4
+    split = F.when(r == 0, "test").when(r == 1, "val").otherwise("train")
+    f = boxes(spark, sf_dir).filter("not is_det").select(split.alias("split"), "frame", "idx", ((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / 6400).alias("share"))
+    # Three small sorted limits in place of a window over each split.
+    tops = [f.filter(F.col("split") == s).orderBy(F.desc("share"), "frame", "idx").limit(5) for s in ("test", "val", "train")]
+    five = tops[0].unionByName(tops[1]).unionByName(tops[2])
+    ranked = five.groupBy("split").agg(F.array_sort(F.collect_list(F.struct((-F.col("share")).alias("o"), "frame", "idx"))).alias("t")).select("split", F.posexplode("t").alias("k", "t"))
+    stats = f.groupBy("split").agg(F.max("share").alias("top"), F.median("share").alias("mid"))
+    return ranked.join(stats, "split").select("split", (F.col("k") + 1).cast("long").alias("k"), F.col("t.frame").alias("frame"), micro(-F.col("t.o")).alias("share"), micro(F.col("top")).alias("largest"), micro(F.col("mid")).alias("median_share"))
+
+
+@query(_MATCHED + " SELECT b.frame, b.idx, (m.truth IS NOT NULL)::INTEGER AS label, b.score FROM boxes b LEFT JOIN matches m ON m.frame = b.frame AND m.det = b.idx WHERE b.is_det")
+def candidate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PL3: every detection with whether it is true, for fitting the filter."""
+    _, dets, truths = _sides(spark, sf_dir)
+    found = M.greedy_match(dets, truths, ["frame"]).select("frame", F.col("det_idx").alias("idx"), F.lit(1).alias("label"))
+    return dets.join(found, ["frame", "idx"], "left").select("frame", "idx", F.coalesce("label", F.lit(0)).alias("label"), "score")

@@ -209,3 +209,26 @@ def region_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     corners = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 9).alias("x1"), F.lit(y + 7).alias("y1")) for i, x, y in ((0, 10, 8), (1, 28, 20), (2, 50, 38), (3, 0, 0))])
     found = K.region_features(p, p.select("frame").distinct().select("frame", F.inline(corners)))
     return found.select("frame", "idx", *[micro(F.col(c)).alias(c) for c in ("target_contrast", "shadow_ratio", "aspect_ratio", "background_roughness", "local_snr", "size_rank")])
+
+
+def _cross_sql(source: str, out: str, pick: str) -> str:
+    return f"""{out} AS (SELECT frame, ping, bin, {pick}(v, lag(v) OVER d, lead(v) OVER d, lag(v) OVER s, lead(v) OVER s) AS v FROM {source}
+        WINDOW d AS (PARTITION BY frame, bin ORDER BY ping), s AS (PARTITION BY frame, ping ORDER BY bin))"""
+
+
+@query(f"WITH {PINGS}, levels AS (SELECT frame, ping, bin, floor(v * 255) / 255 AS v FROM pings), {_cross_sql('levels', 'eroded', 'least')}, {_cross_sql('eroded', 'done', 'greatest')} {_OUT.format(micro_sql('v'), 'done')}")
+def morphology_open(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG14: opening by a cross."""
+    return _shown(K.morphology(pings(spark, sf_dir), "open"))
+
+
+@query(f"WITH {PINGS}, top AS (SELECT *, max(v * 200) OVER (PARTITION BY frame) AS m FROM pings), done AS (SELECT frame, ping, bin, least(1, greatest(0, CASE WHEN m > 1.5 THEN v * 200 / 255 ELSE v * 200 END)) AS v FROM top) {_OUT.format(micro_sql('v'), 'done')}")
+def unit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG1: 8-bit frames scaled to 0 to 1."""
+    return _shown(K.to_unit(pings(spark, sf_dir).withColumn("v", F.col("v") * 200)))
+
+
+@query()
+def condition_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG18: a whole profile of steps; each step has a query and a twin of its own."""
+    return _shown(K.condition(pings(spark, sf_dir), "standard", 64))
