@@ -193,15 +193,18 @@ def of_pairs(sets: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFram
     return tuple(some.select(F.col("id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in columns]) for e in ("a", "b"))
 
 
-def can_reach(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int) -> Column:
-    """Whether sets whose first common token is at these places can still have enough tokens in common."""
-    most = F.least(n_a - at_a, n_b - at_b) + SPARE  # up to SPARE common tokens may come before, in hot buckets
+def can_reach(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int, before: int = 0) -> Column:
+    """Whether sets with a common token at these places, and at most ``before`` earlier ones, can have enough in common."""
+    most = F.least(n_a - at_a, n_b - at_b) + before
     small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
     return (small * 100 >= large * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
 
 
 def meeting(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of ``rep`` and ``o_rep`` that can reach the similarity from the places where they meet."""
+    """Distinct pairs (a, b) of ``rep`` and ``o_rep`` that can reach the similarity if they meet at their first common token.
+
+    A pair whose first common token is not hot was found in that token's bucket.
+    """
     fine = rows.filter(can_reach(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent))
     return fine.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
 
@@ -255,7 +258,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     near = [F.struct(*[F.lag(c, j).over(bucket).alias(c) for c in ("rep", "n", "at")]) for j in range(1, NEIGHBOURS + 2)]
     looked = buckets().select("token", "rep", "n", "at", F.array(*near).alias("near"))
     looked = looked.withColumn("near", F.filter("near", lambda x: x["rep"].isNotNull())).filter(F.size("near") > 0)
-    fits = F.filter(F.slice("near", 1, NEIGHBOURS), lambda x: can_reach(x["n"], x["at"], F.col("n"), F.col("at"), percent))
+    fits = F.filter(F.slice("near", 1, NEIGHBOURS), lambda x: can_reach(x["n"], x["at"], F.col("n"), F.col("at"), percent, SPARE))
     # Hot: a bucket with more documents than the window looks at.
     close = scratch.table(looked.select("token", F.col("rep").alias("b"), fits.alias("near"), (F.size("near") > NEIGHBOURS).alias("hot")).filter("hot or size(near) > 0"))
     scratch.sweep()
@@ -313,11 +316,13 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             spread = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
             return named.join(spread, "token")
 
-        # Once more a neighbour, in another order, to bring large groups together; then all that is left.
-        shuffled = Window.partitionBy("token").orderBy(F.xxhash64("rep"))
-        before = [F.lag(c).over(shuffled).alias(f"o_{c}") for c in ("rep", "n", "at", "component")]
-        chained = scratch.table(placed()).select("*", *before).filter("o_component <> component")
-        attempt(likely_of(scratch.table(meeting(chained, percent))))
+        # Twice a neighbour in an order that differs from bucket to bucket, which brings large groups
+        # together with as many pairs as there are members; then all pairs that are left.
+        for turn in range(2):
+            shuffled = Window.partitionBy("token").orderBy(F.xxhash64("rep", "token", F.lit(turn)))
+            before = [F.lag(c).over(shuffled).alias(f"o_{c}") for c in ("rep", "n", "at", "component")]
+            chained = scratch.table(placed()).select("*", *before).filter("o_component <> component")
+            attempt(likely_of(scratch.table(meeting(chained, percent))))
         left = scratch.table(placed())
         other = left.select("token", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "at", "component")])
         crossed = left.join(other, "token").filter((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")))
