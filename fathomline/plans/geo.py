@@ -11,6 +11,8 @@ from fathomline.operators import navigation as N
 from fathomline.plans.registry import query
 from fathomline.plans.views import NAV, micro_sql, nav, read
 
+#: Image rows of a track.
+HEIGHT = 400
 _PMOD = "({0}) - 360.0::DOUBLE * floor(({0}) / 360.0::DOUBLE)"
 
 
@@ -47,9 +49,10 @@ _AT = f"""{NAV}, counted AS (SELECT track, count(*) AS n FROM nav GROUP BY track
 
 
 def _at_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fix for each of the HEIGHT image rows of every track."""
     n = nav(spark, sf_dir)
-    rows = n.select("track").distinct().select("track", F.explode(F.array(*map(F.lit, (0, 57, 200, 398, 399, 450)))).alias("row"))
-    return N.at_rows(rows, n, 400)
+    rows = n.select("track").distinct().select("track", F.explode(F.sequence(F.lit(0), F.lit(HEIGHT - 1))).alias("row"))
+    return N.at_rows(rows, n, HEIGHT)
 
 
 @query(f"WITH {_AT} SELECT track, row, {micro_sql('lat')} AS lat, {micro_sql('lon')} AS lon, {micro_sql('heading')} AS heading, {micro_sql('altitude')} AS altitude FROM at_rows")

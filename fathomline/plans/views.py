@@ -61,10 +61,11 @@ NAV = """nav AS (
 
 
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = read(spark, sf_dir, "lineitem").filter("l_orderkey % 10 = 0 and l_linestatus = 'F'")
+    """One detection for every order line of status F; the order is its frame."""
+    line = read(spark, sf_dir, "lineitem").filter("l_linestatus = 'F'")
     return line.select(
         (F.col("l_orderkey") * 200000 + F.col("l_extendedprice")).alias("obs"), F.col("l_returnflag").alias("cls"),
-        F.floor(F.col("l_orderkey") / 10).alias("frame_index"), (F.lit(12.9) + (F.col("l_partkey") % 100) * 1e-3).alias("lat"),
+        F.col("l_orderkey").cast("long").alias("frame_index"), (F.lit(12.9) + (F.col("l_partkey") % 100) * 1e-3).alias("lat"),
         (F.lit(80.3) + (F.col("l_suppkey") % 100) * 1e-3 + F.col("l_quantity") * 1e-6).alias("lon"), (F.col("l_tax") * 50 + 5).alias("unc"),
         (F.col("l_extendedprice") / 105000).alias("confidence"), F.col("l_quantity").alias("x0"), (F.col("l_partkey") % 20).cast("double").alias("y0"),
         (F.col("l_quantity") + (F.col("l_tax") * 250 + 30)).alias("x1"), ((F.col("l_partkey") % 20).cast("double") + (F.col("l_discount") * 100 + 20)).alias("y1"),
