@@ -134,7 +134,7 @@ def roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def logistic_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG8, SC24: weights of the filter fitted on the candidates."""
-    fit = C.fit_logistic(candidates(spark, sf_dir), FEATURES, steps=600)
+    fit = C.fit_logistic(candidates(spark, sf_dir), FEATURES)
     return spark.createDataFrame([(n, float(fit["weights"][n])) for n in FEATURES] + [("bias", float(fit["bias"]))], "feature string, weight double")
 
 
