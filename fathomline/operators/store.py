@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.operators.dedup import _checkpoint
+
 
 def list_surveys(surveys: DataFrame, runs: DataFrame) -> DataFrame:
     """Each survey with its number of runs."""
@@ -57,3 +61,26 @@ def newest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The last row of each ``key``."""
     w = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order])
     return rows.withColumn("_k", F.row_number().over(w)).filter("_k = 1").drop("_k")
+
+
+def ranked(df: DataFrame, key: list[str]) -> DataFrame:
+    """Adds ``rank``, from 1 in the order of ``key``, and ``n``, the number of rows.
+
+    Rows are ranked inside ranges of the order, and each range starts where
+    the one before it ended, so no task sorts all of them.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = _checkpoint(df.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    # One row a range from here on.
+    sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))
+    starts = sizes.select("_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_ahead"), F.sum("_size").over(Window.partitionBy()).alias("n"))
+    inside = Window.partitionBy("_part").orderBy(*key)
+    return ranged.withColumn("rank", F.row_number().over(inside)).join(F.broadcast(starts), "_part").withColumn("rank", F.col("rank") + F.col("_ahead")).drop("_part", "_ahead")
+
+
+def leaks(df: DataFrame, group: str, split: str, splits: list[str]) -> DataFrame:
+    """One row: ``leaked``, the groups that are in more than one of ``splits``, and a count named ``a_b`` for each pair of them."""
+    per = df.groupBy(group).agg(*[F.max(F.col(split) == s).alias(f"_{s}") for s in splits])
+    several = sum(F.coalesce(F.col(f"_{s}"), F.lit(False)).cast("int") for s in splits) > 1
+    return per.agg(F.count_if(several).alias("leaked"), *[F.count_if(F.col(f"_{a}") & F.col(f"_{b}")).alias(f"{a}_{b}") for a, b in combinations(splits, 2)])

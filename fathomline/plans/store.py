@@ -124,19 +124,18 @@ def split_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recording_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SL7, SL9: a seeded shuffle of recordings by hash, cut into splits of exact size."""
     recordings = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("recording")).distinct().withColumn("h", F.md5(F.col("recording").cast("string").cast("binary")))
-    n = recordings.count()
-    part = max(1, int(n * 0.15))
-    # Only the hashes at the two cuts are needed; a sorted limit finds them without ranking all rows.
-    cuts = recordings.orderBy("h").limit(2 * part).agg(F.max("h").alias("second"), F.sort_array(F.collect_list("h"))[part - 1].alias("first"))
-    split = F.when(F.col("h") <= F.col("first"), "test").when(F.col("h") <= F.col("second"), "val").otherwise("train")
-    return recordings.crossJoin(F.broadcast(cuts)).select("recording", split.alias("split"))  # one row
+    ranked = S.ranked(recordings, ["h", "recording"])
+    part = F.greatest(F.lit(1), F.floor(F.col("n") * 0.15))
+    split = F.when(F.col("rank") <= part, "test").when(F.col("rank") <= part + part, "val").otherwise("train")
+    return ranked.select("recording", split.alias("split"))
 
 
 @query("SELECT count(*) AS leaked FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 1)")
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SO2: recordings that are in two splits."""
-    o = read(spark, sf_dir, "orders")
-    return o.filter("o_orderkey % 4 = 0").select("o_custkey").intersect(o.filter("o_orderkey % 4 = 1").select("o_custkey")).agg(F.count(F.lit(1)).alias("leaked"))
+    """SO2: recordings that are in more than one split, and those of each pair of splits."""
+    r = F.col("o_orderkey") % 4
+    split = F.when(r == 0, "test").when(r == 1, "val").otherwise("train")
+    return S.leaks(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("recording"), split.alias("split")), "recording", "split", ["train", "val", "test"])
 
 
 @query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
