@@ -115,3 +115,17 @@ def drop_ids(docs: DataFrame, id_col: str, ids: DataFrame, column: str) -> DataF
     clean = marked.filter(~F.col("_maybe")).select(docs.columns)
     rest = marked.filter("_maybe").select(docs.columns)
     return clean.unionByName(rest.join(dropped, rest[id_col] == F.col("_dropped"), "left_anti"))
+
+
+def with_row_key(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:
+    """Adds ``key``: the identifier, or identifier and text digest if some identifier stands for several texts; null without identifier.
+
+    Keys are in the order of the identifiers. The test is one aggregation of
+    hashes; texts are not shuffled.
+    """
+    body = F.coalesce(F.col(text_col), F.lit(""))
+    hashed = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.xxhash64(body).alias("_h"), F.xxhash64(F.lit(1), body).alias("_g"))
+    ends = hashed.groupBy("_id").agg(*[f(c).alias(f"{f.__name__}{c}") for f in (F.min, F.max) for c in ("_h", "_g")])
+    if ends.filter("min_h <> max_h or min_g <> max_g").isEmpty():
+        return docs.withColumn(key, F.col(id_col))
+    return docs.withColumn(key, F.when(F.col(id_col).isNotNull(), F.struct(F.col(id_col).alias("id"), F.unhex(F.sha2(body, 256)).alias("digest"))))

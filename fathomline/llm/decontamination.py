@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership
+from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership, with_row_key
 
 #: Positions that a seed looks at; the others are ignored. Together they hit
 #: every alignment of 8 to 24 words with at most a fifth of them substituted.
@@ -99,7 +99,11 @@ def contaminated(
 
 
 def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that share no passage with ``tests``; rows without an identifier are judged by none and stay."""
+    """The rows of ``docs`` that share no passage with ``tests``; rows without an identifier are judged by none and stay.
+
+    Where an identifier stands for several texts, each of them is judged alone.
+    """
     scratch = Scratch(docs.sparkSession, "decontaminated")
-    leaks = scratch.table(contaminated(docs, tests, id_col, text_col, **options).select(F.col(id_col).alias("_id")).distinct())
-    return drop_ids(docs, id_col, leaks, "_id")
+    keyed = with_row_key(docs, id_col, text_col, "_key")
+    leaks = scratch.table(contaminated(keyed, tests, "_key", text_col, **options).select(F.col("_key").alias("_id")).distinct())
+    return drop_ids(keyed, "_key", leaks, "_id").select(docs.columns)

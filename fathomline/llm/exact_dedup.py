@@ -113,4 +113,4 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     several = marked.filter("_maybe").join(decided.select(F.col("text_sha256").alias("_digest")).distinct().withColumn("_hit", F.lit(True)), "_digest", "left")
     fine = several.filter("_hit is null").select(docs.columns)
     kept = several.filter("_hit").join(keepers, (F.col(id_col).eqNullSafe(F.col("_id"))) & (several["_digest"] == keepers["_digest"]), "left_semi")
-    return alone.unionByName(fine).unionByName(kept.dropDuplicates([id_col]).select(docs.columns))
+    return alone.unionByName(fine).unionByName(kept.dropDuplicates([id_col, "_digest"]).select(docs.columns))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership
+from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership, with_row_key
 from fathomline.llm.components import connected_components
 
 #: Documents in which common n-grams are looked for; only the token orders depend on it, never the result.
@@ -335,8 +335,12 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` without those that are linked to a document of a lesser identifier; rows without identifier stay."""
+    """The rows of ``docs`` without those that are linked to a document of a lesser identifier; rows without identifier stay.
+
+    Where an identifier stands for several texts, each of them is a document.
+    """
     scratch = Scratch(docs.sparkSession, "similar-dropped")
-    classes = similar_components(docs, id_col, text_col, k, percent)
-    dropped = scratch.table(classes.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_id")).distinct())
-    return drop_ids(docs, id_col, dropped, "_id")
+    keyed = with_row_key(docs, id_col, text_col, "_key")
+    classes = similar_components(keyed, "_key", text_col, k, percent)
+    dropped = scratch.table(classes.filter(F.col("_key") != F.col("component_id")).select(F.col("_key").alias("_id")).distinct())
+    return drop_ids(keyed, "_key", dropped, "_id").select(docs.columns)
