@@ -15,6 +15,7 @@ from fathomline.llm.common import Scratch, membership_filter, with_membership
 LENGTH = 400
 PORTION = 1_000_000
 SLICE = 1 << 22
+SPANS = "array<struct<start: bigint, end: bigint>>"
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -211,9 +212,11 @@ def decide(regions: DataFrame, length: int) -> DataFrame:
 
 
 def remove(bodies: DataFrame, length: int) -> DataFrame:
-    """``c1, c2, n_removed, n_spans, kept_sha256`` from ``body`` and the list ``found`` of window runs."""
+    """``c1, c2, n_removed, n_spans, kept_sha256, removed_spans`` from ``body`` and the list ``found`` of window runs."""
     import hashlib
 
+    kinds = [pa.int64()] * 4 + [pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
@@ -224,12 +227,12 @@ def remove(bodies: DataFrame, length: int) -> DataFrame:
                 np.add.at(step, [f["last"] + length for f in found], -1)
                 covered = np.cumsum(step)[:-1] > 0
                 kept = np.frombuffer(raw, dtype=np.uint8)[~covered].tobytes()
-                rows.append((c1, c2, int(covered.sum()), len(runs(covered)), hashlib.sha256(kept).hexdigest()))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            kinds = [pa.int64()] * 4 + [pa.string()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["c1", "c2", "n_removed", "n_spans", "kept_sha256"])
+                spans = [{"start": lo, "end": hi + 1} for lo, hi in runs(covered)]
+                rows.append((c1, c2, int(covered.sum()), len(spans), hashlib.sha256(kept).hexdigest(), spans))
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["c1", "c2", "n_removed", "n_spans", "kept_sha256", "removed_spans"])
 
-    return bodies.mapInArrow(apply, "c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string")
+    return bodies.mapInArrow(apply, f"c1 long, c2 long, n_removed long, n_spans long, kept_sha256 string, removed_spans {SPANS}")
 
 
 def with_text(source: DataFrame, keys: DataFrame, column: Column | str) -> DataFrame:
@@ -240,12 +243,15 @@ def with_text(source: DataFrame, keys: DataFrame, column: Column | str) -> DataF
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
-    """``id_col, n_bytes, n_removed, n_spans, kept_sha256`` of every row.
+    """``id_col, n_bytes, n_removed, n_spans, kept_sha256, removed_spans`` of every row.
 
     Removed is each byte covered by a string of ``length`` bytes that also
     starts anywhere else in the input, in the same document or another, copies
-    included. Null counts as empty; texts shorter than ``length`` lose nothing.
-    Rows repeated with one identifier are copies like any other.
+    included. ``removed_spans`` are the maximal removed runs as byte offsets,
+    the end not included. Null counts as empty; texts shorter than ``length``
+    lose nothing. Rows repeated with one identifier, or without one, are copies
+    like any other. An empty table gives an empty result; further columns of
+    ``docs`` are ignored.
     """
     scratch = Scratch(docs.sparkSession, "suffix-dedup")
     body = F.coalesce(F.col(text_col), F.lit(""))
@@ -268,5 +274,10 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     result = facts.join(removed, ["c1", "c2"], "left")
     zero = F.lit(0).cast("long")
     return result.select(
-        F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "own").alias("kept_sha256")
+        F.col("id").alias(id_col),
+        "n_bytes",
+        F.coalesce("n_removed", zero).alias("n_removed"),
+        F.coalesce("n_spans", zero).alias("n_spans"),
+        F.coalesce("kept_sha256", "own").alias("kept_sha256"),
+        F.coalesce("removed_spans", F.array().cast(SPANS)).alias("removed_spans"),
     )
