@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -12,6 +11,8 @@ from pyspark.sql import functions as F
 # One row per 32768-bit block; 256 blocks are 1 MB, which bounds the broadcast.
 FILTER_BLOCKS = 256
 FILTER_BITS = FILTER_BLOCKS * 32768
+#: Spark's setting that removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,7 +38,8 @@ class Scratch:
     """Intermediate Parquet tables in the shared folder.
 
     Writing a table cuts the lineage and survives lost executors: every later
-    stage reads files that all machines see. ``drop`` frees a table that no
+    stage reads files that all machines see. The shuffle files of a table are
+    removed once it is written. ``drop`` and ``keep`` free tables that no
     lazily evaluated result still needs.
     """
 
@@ -53,19 +55,30 @@ class Scratch:
     def table(self, df: DataFrame, sort: str | None = None, **options: str) -> DataFrame:
         path = self.path()
         out = df.sortWithinPartitions(sort) if sort else df
-        out.write.options(compression="zstd", **options).parquet(path)
+        before = self.spark.conf.get(CLEANUP, "false")
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            out.write.options(compression="zstd", **options).parquet(path)
+        finally:
+            self.spark.conf.set(CLEANUP, before)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.scratch_path = path
         return kept
 
-    def sweep(self) -> None:
-        """Lets Spark's cleaner remove the shuffle files of finished stages now, not at some later collection of garbage."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+    def _delete(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
-    def drop(self, df: DataFrame) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df.scratch_path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            self._delete(df.scratch_path)
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Frees all tables but these."""
+        wanted = {df.scratch_path for df in tables}
+        for path in (f"{self.root}/{i}" for i in range(1, self.n + 1)):
+            if path not in wanted:
+                self._delete(path)
 
 
 def lower_ascii(text: Column) -> Column:

@@ -7,21 +7,23 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership, with_row_key
 from fathomline.llm.components import connected_components
 
-#: Documents in which common n-grams are looked for; only the token orders depend on it, never the result.
-SAMPLE_DOCS = 8000
-COMMON_IN_SAMPLE = 4
-MOST_COMMON = 50_000
-#: Neighbours by size that a document is paired with in one bucket before components are known.
-NEIGHBOURS = 4
+#: Counters of shingles, 2 to this power; a fixed table whatever the input.
+COUNTER_BITS = 22
+LEAST_COMMON = 16
+#: Members up to which all pairs of a bucket of prefix tokens are looked at; larger ones are centred on a pivot.
+PAIRED = 32
+#: The same for buckets of differences from a pivot.
+COMPARED = 1024
+#: How often large buckets are centred anew before all their pairs are looked at.
+LEVELS = 3
 ORDERS = 3
-#: Tokens that the first prefix is longer than needed, and that similar sets then share besides one.
-SPARE = 12
 PORTION = 2_000_000
 BASE = 0x9E3779B97F4A7C15 | 1
 
@@ -88,23 +90,29 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
-def prefix(grams: np.ndarray, percent: int, order: int, common: np.ndarray, spare: int = 0) -> np.ndarray:
-    """The first shingles of a set, in order, under one global order: common ones last, else by a hash of the order's own.
+def ordered(grams: np.ndarray, order: int, last: np.ndarray, take: int) -> np.ndarray:
+    """The first ``take`` of a set under one global order: those marked in ``last`` behind the others, else by a hash of the order's own."""
+    with np.errstate(over="ignore"):
+        rank = (mix(grams, 100 + order) >> np.uint64(2)) | (last.astype(np.uint64) << np.uint64(62))
+    take = min(take, len(grams))
+    if not take:
+        return grams[:0]
+    first = np.argpartition(rank, take - 1)[:take]
+    return grams[first[np.argsort(rank[first])]]
+
+
+def prefix(grams: np.ndarray, percent: int, order: int, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set under one global order, common ones last.
 
     Two sets whose Jaccard similarity reaches ``percent`` share one of their
     first n - ceil(n * percent / 100) + 1 shingles, whatever the order.
     """
-    n = len(grams)
-    take = min(n, n + (-percent * n // 100) + 1 + spare)
-    if not n:
-        return grams
-    with np.errstate(over="ignore"):
-        rank = mix(grams, 100 + order) >> np.uint64(1)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, grams), len(common) - 1)
-        rank |= (common[at] == grams).astype(np.uint64) << np.uint64(63)
-    first = np.argpartition(rank, take - 1)[:take]
-    return grams[first[np.argsort(rank[first])]]
+    return ordered(grams, order, common[slot(grams)], len(grams) + (-percent * len(grams) // 100) + 1)
+
+
+def slot(grams: np.ndarray) -> np.ndarray:
+    """The counter of each shingle."""
+    return grams >> np.uint64(64 - COUNTER_BITS)
 
 
 def batched(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
@@ -121,23 +129,42 @@ def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate(parts).view(kind) if parts else np.zeros(0, kind))
 
 
-def common_shingles(source: DataFrame, k: int, rows: int) -> np.ndarray:
-    """Shingles that occur in several of a bounded sample of documents, at most MOST_COMMON of them."""
-    every = max(1, rows // SAMPLE_DOCS)
+def common_slots(source: DataFrame, k: int) -> np.ndarray:
+    """Which counters stand for common shingles.
+
+    The documents that hold a shingle are counted over all of ``source``, in
+    2**COUNTER_BITS counters that shingles share by hash. Each task adds up its
+    own, blocks of counters are added across tasks, and the table of a fixed
+    size goes to the driver. Common is what is counted well above the mean.
+    """
+    block = 1 << 14
 
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
         for batch in batches:
             for _, texts in batched([0] * batch.num_rows, batch.column("body").to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingle_sets(texts, k)).view(np.int64))], ["gram"])
+                at, times = np.unique(slot(np.concatenate(shingle_sets(texts, k))), return_counts=True)
+                seen[at] = np.minimum(seen[at] + times, 255)
+        parts = [(b, seen[b * block : (b + 1) * block]) for b in range(len(seen) // block)]
+        some = [(b, part.tobytes()) for b, part in parts if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([part for _, part in some], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for b, part in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                totals[b] = totals.get(b, np.zeros(block, dtype=np.uint32)) + np.frombuffer(part, dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["block", "counts"])
 
-    sample = source.filter(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("body").mapInArrow(grams, "gram long")
-    found = sample.groupBy("gram").count().filter(F.col("count") >= COMMON_IN_SAMPLE).orderBy(F.desc("count"), "gram").limit(MOST_COMMON)
-    return np.sort(np.array([r["gram"] for r in found.collect()], dtype=np.int64).view(np.uint64))
+    shape = "block int, counts binary"
+    counts = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
+    for row in source.select("body").mapInArrow(count, shape).repartition("block").mapInArrow(add, shape).collect():
+        counts[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counts"], dtype=np.uint32)
+    return counts > LEAST_COMMON + 4 * counts.mean()
 
 
-def sketches(source: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
-    """``id, n, k1, k2, prefix``: set size, two hashes of the whole set, and its prefix under the first order."""
-    sent = source.sparkSession.sparkContext.broadcast(common)
+def sketches(source: DataFrame, k: int, percent: int, common: Broadcast) -> DataFrame:
+    """``id, n, k1, k2, rare, prefix``: set size, two hashes of the whole set, its prefix under the first order and how many of that are not common."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,24 +173,25 @@ def sketches(source: DataFrame, k: int, percent: int, common: np.ndarray) -> Dat
                 with np.errstate(over="ignore"):
                     k1 = np.array([mix(s, 1).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                     k2 = np.array([np.bitwise_xor.reduce(mix(s, 2)) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
+                leading = [prefix(s, percent, 0, common.value) for s in sets]
+                rare = [int((~common.value[slot(p)]).sum()) for p in leading]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, batch.schema.field("id").type), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), lists([prefix(s, percent, 0, sent.value, SPARE) for s in sets])],
-                    ["id", "n", "k1", "k2", "prefix"],
+                    [pa.array(ids, batch.schema.field("id").type), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array(rare, pa.int32()), lists(leading)],
+                    ["id", "n", "k1", "k2", "rare", "prefix"],
                 )
 
-    return source.mapInArrow(sketch, f"id {source.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, prefix array<long>")
+    return source.mapInArrow(sketch, f"id {source.schema['id'].dataType.simpleString()}, n long, k1 long, k2 long, rare int, prefix array<long>")
 
 
-def further_prefixes(source: DataFrame, k: int, percent: int, common: np.ndarray) -> DataFrame:
+def further_prefixes(source: DataFrame, k: int, percent: int, common: Broadcast) -> DataFrame:
     """``id, p1, p2, ...``: the prefixes under the further orders, as 32-bit hashes, which may agree by chance but never miss."""
-    sent = source.sparkSession.sparkContext.broadcast(common)
     names = [f"p{o}" for o in range(1, ORDERS)]
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, texts in batched(batch.column("id").to_pylist(), batch.column("body").to_pylist()):
                 sets = shingle_sets(texts, k)
-                parts = [lists([prefix(s, percent, o, sent.value).astype(np.uint32) for s in sets], np.int32) for o in range(1, ORDERS)]
+                parts = [lists([prefix(s, percent, o, common.value).astype(np.uint32) for s in sets], np.int32) for o in range(1, ORDERS)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field("id").type), *parts], ["id", *names])
 
     kind = source.schema["id"].dataType.simpleString()
@@ -182,156 +210,188 @@ def full_sets(source: DataFrame, k: int) -> DataFrame:
 
 
 def ends_of(source: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The rows of ``source`` that may occur in ``pairs`` (columns a, b)."""
+    """The rows of ``source`` that may occur in ``pairs`` (columns a, b); the others are not shuffled."""
     ends = pairs.select(F.xxhash64("a").alias("key")).unionByName(pairs.select(F.xxhash64("b").alias("key")))
     return with_membership(source, F.xxhash64("id"), membership_filter(ends, "key"), "maybe").filter("maybe").drop("maybe")
 
 
-def of_pairs(sets: DataFrame, pairs: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
-    """``columns`` of the sets that occur in ``pairs``, named for either end; the others are not shuffled."""
-    some = ends_of(sets.select("id", *columns), pairs)
-    return tuple(some.select(F.col("id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in columns]) for e in ("a", "b"))
+def of_pairs(pairs: DataFrame, sets: DataFrame, *columns: str) -> DataFrame:
+    """The pairs with ``columns`` of both ends."""
+    left, right = (sets.select(F.col("id").alias(e), *[F.col(c).alias(f"{e}_{c}") for c in columns]) for e in ("a", "b"))
+    return pairs.join(right, "b").join(left, "a")
 
 
-def can_reach(n_a: Column, at_a: Column, n_b: Column, at_b: Column, percent: int, before: int = 0) -> Column:
-    """Whether sets with a common token at these places, and at most ``before`` earlier ones, can have enough in common."""
-    most = F.least(n_a - at_a, n_b - at_b) + before
-    small, large = F.least(n_a, n_b), F.greatest(n_a, n_b)
-    return (small * 100 >= large * percent) & (most * (100 + percent) >= (n_a + n_b) * percent)
+def needed(n_a: Column, n_b: Column, percent: int) -> Column:
+    """How many shingles sets of these sizes must have in common."""
+    return F.ceil((n_a + n_b) * percent / F.lit(100.0 + percent) - 1e-9)
 
 
-def meeting(rows: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of ``rep`` and ``o_rep`` that can reach the similarity if they meet at their first common token.
-
-    A pair whose first common token is not hot was found in that token's bucket.
-    """
-    fine = rows.filter(can_reach(F.col("n"), F.col("at"), F.col("o_n"), F.col("o_at"), percent))
-    return fine.select(F.least("rep", "o_rep").alias("a"), F.greatest("rep", "o_rep").alias("b")).distinct()
+def like_sizes(n_a: Column, n_b: Column, percent: int) -> Column:
+    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
 
 
 def share_prefixes(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose ends share a prefix token under every further order."""
     orders = [f"p{o}" for o in range(1, ORDERS)]
-    left, right = of_pairs(sets, pairs, *orders)
     shared = reduce(lambda x, y: x & y, [F.arrays_overlap(f"a_{p}", f"b_{p}") for p in orders])
-    return pairs.join(right, "b").join(left, "a").filter(shared).select(pairs.columns)
+    return of_pairs(pairs, sets, *orders).filter(shared).select(pairs.columns)
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the similarity."""
-    left, right = of_pairs(sets, pairs, "grams")
-    whole = pairs.select("a", "b").join(right, "b").join(left, "a")
     both = F.size(F.array_intersect("a_grams", "b_grams"))
+    whole = of_pairs(pairs.select("a", "b"), sets, "grams")
     return whole.filter(both * 100 >= (F.size("a_grams") + F.size("b_grams") - both) * percent).select("a", "b").distinct()
 
 
-def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def recentred(members: DataFrame, sets: DataFrame, percent: int, common: Broadcast) -> DataFrame:
+    """``pivot, rep, n, size, same, away, tokens``: how each member's set differs from its pivot's.
+
+    ``size`` is the pivot's, ``same`` what both have in common, ``away`` how
+    many shingles only one of them has. Taking the same set away from two sets
+    doesn't change in how many shingles they differ; what all members of a
+    group have is gone from the differences, though. ``tokens`` is a prefix of
+    the difference, long enough for two similar members to share one of it.
+    It has what only the member has and is not common first, then common
+    shingles that it lacks; what most members will have in theirs comes last.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine, other = (batch.column(c).to_pylist() for c in ("grams", "pivot_grams"))
+            sizes, tokens = [], []
+            for x, p in zip(mine, other, strict=True):
+                x, p = (np.array(s, dtype=np.int64).view(np.uint64) for s in (x, p))
+                only, lacks = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
+                same, away = len(x) - len(only), len(only) + len(lacks)
+                # Of an earlier kind first: 0 own and rare, 1 lacking and common, 2 own and common, 3 lacking and rare.
+                kind = np.concatenate([common.value[slot(only)] * 2, 3 - common.value[slot(lacks)] * 2])
+                value = (100 + percent) * same - percent * len(x)
+                near = (percent * len(p) - value) <= 0  # similar to the pivot
+                gap = (100 * len(p) - value) // (100 + percent) + 1 if near else -((value - percent * len(p)) // (100 + percent))
+                shared = max(1, gap, away - (100 - percent) * len(x) // percent)
+                tokens.append(ordered(np.concatenate([only, lacks]), 50, kind, away - shared + 1 if away >= shared else 0))
+                sizes.append((len(x), len(p), same, away))
+            columns = list(zip(*sizes, strict=True)) or [[]] * 4
+            yield pa.RecordBatch.from_arrays([batch.column("pivot"), batch.column("rep"), *[pa.array(c, pa.int64()) for c in columns], lists(tokens)], ["pivot", "rep", "n", "size", "same", "away", "tokens"])
+
+    kind = sets.schema["id"].dataType.simpleString()
+    own, pivots = (sets.select(F.col("id").alias(e), F.col("grams").alias(g)) for e, g in (("rep", "grams"), ("pivot", "pivot_grams")))
+    joined = members.join(own, "rep").join(pivots, "pivot").select("pivot", "rep", "grams", "pivot_grams")
+    return joined.mapInArrow(compare, f"pivot {kind}, rep {kind}, n long, size long, same long, away long, tokens array<long>")
+
+
+def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
     """``id_col, n_shingles, component_id`` of every row: the classes of documents linked by a Jaccard similarity of ``percent`` / 100 or more.
 
     Null and empty texts, and texts of blanks, have no shingle and are linked
     with nothing. A row without identifier is linked with nothing either and
     has a null component. Rows repeated with one identifier count as one
-    document. ``component_id`` is the least identifier of the component.
+    document. ``component_id`` is the least identifier of the component. An
+    empty table gives an empty result; further columns of ``docs`` are ignored.
 
     Documents of equal sets form one class, and classes are joined. Buckets
-    are the prefix tokens under the first order. In each, a class is first
-    paired with a few neighbours by size; the likeliest pairs are verified and
-    components formed. Then every pair that is left in a bucket between
-    different components is verified, so no link between components is lost,
-    while pairs inside a component need no look.
+    are the prefix tokens under the first order. All pairs of a small bucket
+    that the places of their tokens and the other orders leave are verified,
+    the likeliest first; pairs inside a component need no look. A large bucket
+    is centred on one of its classes, the pivot: all are compared with it, and
+    two that are both unlike it can only be similar if prefixes of their
+    differences from it meet. These are buckets again, and large ones of them
+    are centred anew. Nothing is left out, so no link between components is lost.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram-join")
+    scratch = scratch or Scratch(spark, "ngram-join")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    common = common_shingles(source.filter("id is not null"), k, docs.count())
+    named = source.filter("id is not null")
+    common = spark.sparkContext.broadcast(common_slots(named, k))
     sketched = scratch.table(sketches(source, k, percent, common))
-    classes = scratch.table(sketched.filter("n > 0 and id is not null").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep")))
-
-    def buckets() -> DataFrame:
-        """``token, rep, n``: the prefix of one document of each class."""
-        leading = classes.select("k1", "k2", "n", "rep").join(sketched.withColumnRenamed("id", "rep"), ["rep", "k1", "k2", "n"])
-        # What follows a token in the order: alike documents have it in common, so sorting by it puts them side by side.
-        follows = F.transform("prefix", lambda t, i: F.struct(t.alias("token"), F.xxhash64(F.get("prefix", i + 1), F.get("prefix", i + 2)).alias("next")))
-        return leading.select("rep", "n", F.posexplode(follows).alias("at", "t")).select("rep", "n", "at", "t.token", "t.next")
-
-    bucket = Window.partitionBy("token").orderBy("next", "n", "rep")
-    near = [F.struct(*[F.lag(c, j).over(bucket).alias(c) for c in ("rep", "n", "at")]) for j in range(1, NEIGHBOURS + 2)]
-    looked = buckets().select("token", "rep", "n", "at", F.array(*near).alias("near"))
-    looked = looked.withColumn("near", F.filter("near", lambda x: x["rep"].isNotNull())).filter(F.size("near") > 0)
-    fits = F.filter(F.slice("near", 1, NEIGHBOURS), lambda x: can_reach(x["n"], x["at"], F.col("n"), F.col("at"), percent, SPARE))
-    # Hot: a bucket with more documents than the window looks at.
-    close = scratch.table(looked.select("token", F.col("rep").alias("b"), fits.alias("near"), (F.size("near") > NEIGHBOURS).alias("hot")).filter("hot or size(near) > 0"))
-    scratch.sweep()
-    pairs = close.select("b", F.explode("near.rep").alias("a")).filter("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).count()
-    pairs = scratch.table(pairs)
-    hot = scratch.table(close.filter("hot").select("token").distinct())
+    alike = sketched.filter("n > 0 and id is not null").groupBy("k1", "k2", "n")
+    classes = scratch.table(alike.agg(F.min("id").alias("rep"), F.min("rare").alias("rare"), F.min("prefix").alias("prefix")))
 
-    named = source.filter("id is not null")
-    scratch.drop(close)
+    entries = classes.select("rep", "n", "rare", F.posexplode("prefix").alias("at", "bucket"))
+    # Shingles that are not common are in few documents, so no bucket of them is too large for a window.
+    counted = entries.filter("at < rare").withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
+    shared = scratch.table(counted.filter("members > 1"))
+    links: DataFrame | None = None
+    tried: DataFrame | None = None
+    components: DataFrame | None = None
+
+    def join_up(found: DataFrame) -> None:
+        nonlocal links, components
+        links = found if links is None else links.unionByName(found)
+        components = connected_components(links, scratch).drop("changed")
 
     def likely_of(pairs: DataFrame) -> DataFrame:
         """The pairs that the other orders leave, too."""
-        return scratch.table(share_prefixes(pairs, scratch.table(further_prefixes(ends_of(named, pairs), k, percent, common))))
-
-    likely = likely_of(pairs)
-    scratch.drop(pairs)
-    scratch.sweep()
-
-    tried: DataFrame | None = None
-    links: DataFrame | None = None
-    components: DataFrame | None = None
+        others = scratch.table(further_prefixes(ends_of(named, pairs), k, percent, common))
+        likely = scratch.table(share_prefixes(pairs, others))
+        scratch.drop(others, pairs)
+        return likely
 
     def attempt(candidates: DataFrame) -> None:
         """Verifies those candidates that were not tried yet; then joins the components anew."""
-        nonlocal tried, links, components
+        nonlocal tried
         now = candidates.select("a", "b").distinct()
         now = scratch.table(now.join(tried, ["a", "b"], "left_anti") if tried is not None else now)
         tried = now if tried is None else tried.unionByName(now)
-        found = scratch.table(verify(now, scratch.table(full_sets(ends_of(named, now), k)), percent))
-        links = found if links is None else links.unionByName(found)
-        components = connected_components(links, scratch)
-        scratch.sweep()
+        sets = scratch.table(full_sets(ends_of(named, now), k))
+        join_up(scratch.table(verify(now, sets, percent)))
+        scratch.drop(sets)
 
     def apart(candidates: DataFrame) -> DataFrame:
         """Candidates whose ends are in different components."""
-        of = components
-        with_a = candidates.join(of.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        with_b = with_a.join(of.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        with_a = candidates.join(components.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        with_b = with_a.join(components.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
         return with_b.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b"))
 
+    def placed(rows: DataFrame) -> DataFrame:
+        """The rows with their component, without buckets that lie within one."""
+        with_component = rows.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+        spread = with_component.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("total")).filter("lo <> hi")
+        return with_component.join(spread.select("bucket", "total"), "bucket")
+
+    def other(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.select("bucket", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "at", *columns)])
+
+    small = shared.filter(F.col("members") <= PAIRED)
+    met = small.join(other(small), "bucket").filter(F.col("rep") < F.col("o_rep"))
+    reach = F.least(F.col("n") - F.col("at"), F.col("o_n") - F.col("o_at")) >= needed(F.col("n"), F.col("o_n"), percent)
+    met = met.filter(like_sizes(F.col("n"), F.col("o_n"), percent) & reach)
+    likely = likely_of(scratch.table(met.groupBy(F.col("rep").alias("a"), F.col("o_rep").alias("b")).count()))
     best = Window.partitionBy("b").orderBy(F.desc("count"), "a")
     attempt(likely.withColumn("k", F.row_number().over(best)).filter("k = 1"))
     attempt(apart(likely))
-    if not hot.isEmpty():
-        # Similar sets share more than SPARE prefix tokens, or all that must agree if that is fewer. A
-        # document with fewer hot tokens than that shares a token with its like in a bucket that is
-        # not hot, where all pairs were looked at. Only the others have to meet in hot buckets.
-        found = scratch.table(buckets().join(hot, "token"))
-        heavy = found.groupBy("rep", "n").agg(F.count(F.lit(1)).alias("hot")).filter(F.col("hot") > F.least(F.lit(SPARE), F.ceil(F.col("n") * percent / 100) - 1))
-        members = scratch.table(found.join(heavy.select("rep"), "rep").drop("next"))
-
-        def placed() -> DataFrame:
-            """Members of buckets that still hold several components."""
-            named = members.join(components.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-            spread = named.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-            return named.join(spread, "token")
-
-        # Twice a neighbour in an order that differs from bucket to bucket, which brings large groups
-        # together with as many pairs as there are members; then all pairs that are left.
-        for turn in range(2):
-            shuffled = Window.partitionBy("token").orderBy(F.xxhash64("rep", "token", F.lit(turn)))
-            before = [F.lag(c).over(shuffled).alias(f"o_{c}") for c in ("rep", "n", "at", "component")]
-            chained = scratch.table(placed()).select("*", *before).filter("o_component <> component")
-            attempt(likely_of(scratch.table(meeting(chained, percent))))
-        left = scratch.table(placed())
-        other = left.select("token", *[F.col(c).alias(f"o_{c}") for c in ("rep", "n", "at", "component")])
-        crossed = left.join(other, "token").filter((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")))
-        attempt(likely_of(scratch.table(meeting(crossed, percent))))
+    scratch.drop(likely)
+
+    large = entries.filter("at >= rare").select("rep", "bucket", F.col("rare").alias("off")).unionByName(shared.filter(F.col("members") > PAIRED).select("rep", "bucket", F.col("rare").alias("off")))
+    for level in range(LEVELS):
+        here = scratch.table(placed(large))
+        if here.isEmpty():
+            break
+        # The member that has least of its own; which one it is makes no difference to the result.
+        pivots = here.groupBy("bucket").agg(F.min(F.struct("off", F.xxhash64("rep").alias("h"), "rep")).alias("least"))
+        members = scratch.table(here.join(pivots.select("bucket", F.col("least.rep").alias("pivot")), "bucket").select("rep", "pivot").distinct())
+        sets = scratch.table(full_sets(ends_of(named, members.select(F.col("rep").alias("a"), F.col("pivot").alias("b"))), k))
+        compared = scratch.table(recentred(members, sets, percent, common))
+        scratch.drop(here, members, sets)
+        similar = F.col("same") * 100 >= (F.col("n") + F.col("size") - F.col("same")) * percent
+        join_up(scratch.table(compared.filter(similar & (F.col("rep") != F.col("pivot"))).select(F.least("rep", "pivot").alias("a"), F.greatest("rep", "pivot").alias("b")).distinct()))
+        # Ends of two differences need this much in common beside what the pivot has.
+        rows = compared.select("rep", "n", "size", "same", "away", F.posexplode("tokens").alias("at", "token"), F.xxhash64("pivot", "token").alias("bucket")).drop("token")
+        spread = scratch.table(placed(rows))
+        near = spread.filter(F.col("total") <= COMPARED) if level + 1 < LEVELS else spread
+        met = near.join(other(near, "same", "away", "component"), "bucket").filter((F.col("rep") < F.col("o_rep")) & (F.col("component") != F.col("o_component")))
+        left = F.least(F.col("away") - F.col("at"), F.col("o_away") - F.col("o_at"))
+        met = met.filter(like_sizes(F.col("n"), F.col("o_n"), percent) & (left >= needed(F.col("n"), F.col("o_n"), percent) + F.col("size") - F.col("same") - F.col("o_same")))
+        attempt(likely_of(scratch.table(met.select(F.col("rep").alias("a"), F.col("o_rep").alias("b")).distinct())))
+        large = spread.filter(F.col("total") > COMPARED).select("rep", "bucket", F.col("away").alias("off"))
 
     labelled = classes.select("k1", "k2", "n", "rep").join(components.withColumnRenamed("node", "rep"), "rep", "left").select("k1", "k2", "n", F.coalesce("component", "rep").alias("component"))
     placed_docs = sketched.select("id", "n", "k1", "k2").join(labelled, ["k1", "k2", "n"], "left")
     alone = F.col("id").isNull() | (F.col("n") == 0)
-    return placed_docs.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    result = scratch.table(placed_docs.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(alone, F.col("id")).otherwise(F.col("component")).alias("component_id")))
+    scratch.keep(result)
+    return result
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
@@ -341,6 +401,7 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     scratch = Scratch(docs.sparkSession, "similar-dropped")
     keyed = with_row_key(docs, id_col, text_col, "_key")
-    classes = similar_components(keyed, "_key", text_col, k, percent)
+    classes = similar_components(keyed, "_key", text_col, k, percent, scratch)
     dropped = scratch.table(classes.filter(F.col("_key") != F.col("component_id")).select(F.col("_key").alias("_id")).distinct())
+    scratch.keep(dropped)
     return drop_ids(keyed, "_key", dropped, "_id").select(docs.columns)
