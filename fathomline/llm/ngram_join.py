@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -14,11 +15,13 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership, with_row_key
 from fathomline.llm.components import connected_components
 
-#: Counters of shingles, 2 to this power; a fixed table whatever the input.
-COUNTER_BITS = 22
+#: Counters of shingles, 2 to these powers; one bit of each is broadcast, 32 MB at most.
+LEAST_BITS = 20
+MOST_BITS = 28
+BLOCK = 1 << 14
 LEAST_COMMON = 16
 #: Members up to which all pairs of a bucket of prefix tokens are looked at; larger ones are centred on a pivot.
-PAIRED = 32
+PAIRED = 100
 #: The same for buckets of differences from a pivot.
 COMPARED = 1024
 #: How often large buckets are centred anew before all their pairs are looked at.
@@ -90,6 +93,12 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     return out
 
 
+def arrays(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column of hashes."""
+    values, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return (values[a:b] for a, b in zip(at, at[1:], strict=False))
+
+
 def ordered(grams: np.ndarray, order: int, last: np.ndarray, take: int) -> np.ndarray:
     """The first ``take`` of a set under one global order: those marked in ``last`` behind the others, else by a hash of the order's own."""
     with np.errstate(over="ignore"):
@@ -101,18 +110,24 @@ def ordered(grams: np.ndarray, order: int, last: np.ndarray, take: int) -> np.nd
     return grams[first[np.argsort(rank[first])]]
 
 
-def prefix(grams: np.ndarray, percent: int, order: int, common: np.ndarray) -> np.ndarray:
+class Common:
+    """Which shingles are common, as a bitmap over their counters."""
+
+    def __init__(self, counter_bits: int, bits: np.ndarray):
+        self.shift, self.bits = np.uint64(64 - counter_bits), bits
+
+    def __call__(self, grams: np.ndarray) -> np.ndarray:
+        slot = grams >> self.shift
+        return ((self.bits[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8)) & np.uint8(1)).astype(bool)
+
+
+def prefix(grams: np.ndarray, percent: int, order: int, common: Common) -> np.ndarray:
     """The first shingles of a set under one global order, common ones last.
 
     Two sets whose Jaccard similarity reaches ``percent`` share one of their
     first n - ceil(n * percent / 100) + 1 shingles, whatever the order.
     """
-    return ordered(grams, order, common[slot(grams)], len(grams) + (-percent * len(grams) // 100) + 1)
-
-
-def slot(grams: np.ndarray) -> np.ndarray:
-    """The counter of each shingle."""
-    return grams >> np.uint64(64 - COUNTER_BITS)
+    return ordered(grams, order, common(grams), len(grams) + (-percent * len(grams) // 100) + 1)
 
 
 def batched(ids: list, texts: list[str]) -> Iterator[tuple[list, list[str]]]:
@@ -129,38 +144,52 @@ def lists(parts: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(offsets, np.concatenate(parts).view(kind) if parts else np.zeros(0, kind))
 
 
-def common_slots(source: DataFrame, k: int) -> np.ndarray:
-    """Which counters stand for common shingles.
+def common_shingles(source: DataFrame, k: int, scratch: Scratch) -> Common:
+    """The shingles that are in many documents.
 
-    The documents that hold a shingle are counted over all of ``source``, in
-    2**COUNTER_BITS counters that shingles share by hash. Each task adds up its
-    own, blocks of counters are added across tasks, and the table of a fixed
-    size goes to the driver. Common is what is counted well above the mean.
+    They are counted over all of ``source``, in counters that shingles share by
+    hash: about one for four shingles, 2**LEAST_BITS to 2**MOST_BITS of them. Each task adds
+    up its own, and blocks of counters are added across tasks. Common is what
+    is counted well above what chance puts into a counter; the driver gets one
+    bit of each. Only costs depend on it, never the result.
     """
-    block = 1 << 14
+    size = source.agg(F.sum(F.octet_length("body"))).first()[0] or 0
+    counter_bits = max(LEAST_BITS, min(MOST_BITS, int(size // 24).bit_length()))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << COUNTER_BITS, dtype=np.uint8)
+        seen = np.zeros(1 << counter_bits, dtype=np.uint8)
         for batch in batches:
             for _, texts in batched([0] * batch.num_rows, batch.column("body").to_pylist()):
-                at, times = np.unique(slot(np.concatenate(shingle_sets(texts, k))), return_counts=True)
+                at, times = np.unique(np.concatenate(shingle_sets(texts, k)) >> np.uint64(64 - counter_bits), return_counts=True)
                 seen[at] = np.minimum(seen[at] + times, 255)
-        parts = [(b, seen[b * block : (b + 1) * block]) for b in range(len(seen) // block)]
-        some = [(b, part.tobytes()) for b, part in parts if part.any()]
-        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in some], pa.int32()), pa.array([part for _, part in some], pa.binary())], ["block", "counts"])
+        for b in range(len(seen) // BLOCK):
+            part = seen[b * BLOCK : (b + 1) * BLOCK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([zlib.compress(part.tobytes(), 1)], pa.binary())], ["block", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, part in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                totals[b] = totals.get(b, np.zeros(block, dtype=np.uint32)) + np.frombuffer(part, dtype=np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([t.tobytes() for t in totals.values()], pa.binary())], ["block", "counts"])
+                totals[b] = totals.get(b, np.zeros(BLOCK, dtype=np.uint32)) + np.frombuffer(zlib.decompress(part), dtype=np.uint8)
+        for b, part in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([part.tobytes()], pa.binary()), pa.array([int(part.sum())], pa.int64())], ["block", "counts", "total"])
+
+    counted = source.select("body").mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "block int, counts binary, total long")
+    counted = scratch.table(counted)
+    mean = (counted.agg(F.sum("total")).first()[0] or 0) / (1 << counter_bits)
+    limit = mean + 6 * mean**0.5 + LEAST_COMMON
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = [np.packbits(np.frombuffer(c, dtype=np.uint32) > limit, bitorder="little").tobytes() for c in batch.column("counts").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(bits, pa.binary())], ["block", "bits"])
 
-    shape = "block int, counts binary"
-    counts = np.zeros(1 << COUNTER_BITS, dtype=np.uint32)
-    for row in source.select("body").mapInArrow(count, shape).repartition("block").mapInArrow(add, shape).collect():
-        counts[row["block"] * block : (row["block"] + 1) * block] = np.frombuffer(row["counts"], dtype=np.uint32)
-    return counts > LEAST_COMMON + 4 * counts.mean()
+    marked = np.zeros((1 << counter_bits) // 8, dtype=np.uint8)
+    for row in counted.mapInArrow(mark, "block int, bits binary").collect():
+        marked[row["block"] * BLOCK // 8 : (row["block"] + 1) * BLOCK // 8] = np.frombuffer(row["bits"], dtype=np.uint8)
+    scratch.drop(counted)
+    return Common(counter_bits, marked)
 
 
 def sketches(source: DataFrame, k: int, percent: int, common: Broadcast) -> DataFrame:
@@ -174,7 +203,7 @@ def sketches(source: DataFrame, k: int, percent: int, common: Broadcast) -> Data
                     k1 = np.array([mix(s, 1).sum(dtype=np.uint64) for s in sets], dtype=np.uint64).view(np.int64)
                     k2 = np.array([np.bitwise_xor.reduce(mix(s, 2)) if len(s) else 0 for s in sets], dtype=np.uint64).view(np.int64)
                 leading = [prefix(s, percent, 0, common.value) for s in sets]
-                rare = [int((~common.value[slot(p)]).sum()) for p in leading]
+                rare = [int((~common.value(p)).sum()) for p in leading]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(ids, batch.schema.field("id").type), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array(rare, pa.int32()), lists(leading)],
                     ["id", "n", "k1", "k2", "rare", "prefix"],
@@ -258,14 +287,13 @@ def recentred(members: DataFrame, sets: DataFrame, percent: int, common: Broadca
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            mine, other = (batch.column(c).to_pylist() for c in ("grams", "pivot_grams"))
+            mine, other = (arrays(batch.column(c)) for c in ("grams", "pivot_grams"))
             sizes, tokens = [], []
             for x, p in zip(mine, other, strict=True):
-                x, p = (np.array(s, dtype=np.int64).view(np.uint64) for s in (x, p))
                 only, lacks = np.setdiff1d(x, p, assume_unique=True), np.setdiff1d(p, x, assume_unique=True)
                 same, away = len(x) - len(only), len(only) + len(lacks)
                 # Of an earlier kind first: 0 own and rare, 1 lacking and common, 2 own and common, 3 lacking and rare.
-                kind = np.concatenate([common.value[slot(only)] * 2, 3 - common.value[slot(lacks)] * 2])
+                kind = np.concatenate([common.value(only) * 2, 3 - common.value(lacks) * 2])
                 value = (100 + percent) * same - percent * len(x)
                 near = (percent * len(p) - value) <= 0  # similar to the pivot
                 gap = (100 * len(p) - value) // (100 + percent) + 1 if near else -((value - percent * len(p)) // (100 + percent))
@@ -303,15 +331,17 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     scratch = scratch or Scratch(spark, "ngram-join")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     named = source.filter("id is not null")
-    common = spark.sparkContext.broadcast(common_slots(named, k))
+    common = spark.sparkContext.broadcast(common_shingles(named, k, scratch))
     sketched = scratch.table(sketches(source, k, percent, common))
     alike = sketched.filter("n > 0 and id is not null").groupBy("k1", "k2", "n")
     classes = scratch.table(alike.agg(F.min("id").alias("rep"), F.min("rare").alias("rare"), F.min("prefix").alias("prefix")))
 
-    entries = classes.select("rep", "n", "rare", F.posexplode("prefix").alias("at", "bucket"))
+    entries = classes.select("rep", "n", F.col("rare").alias("off"), F.posexplode("prefix").alias("at", "bucket"))
     # Shingles that are not common are in few documents, so no bucket of them is too large for a window.
-    counted = entries.filter("at < rare").withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket")))
-    shared = scratch.table(counted.filter("members > 1"))
+    rare = entries.filter("at < off").withColumn("members", F.count(F.lit(1)).over(Window.partitionBy("bucket"))).filter("members > 1")
+    often = entries.filter("at >= off")
+    often = often.join(often.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1"), "bucket")
+    shared = scratch.table(rare.unionByName(often))
     links: DataFrame | None = None
     tried: DataFrame | None = None
     components: DataFrame | None = None
@@ -363,7 +393,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     attempt(apart(likely))
     scratch.drop(likely)
 
-    large = entries.filter("at >= rare").select("rep", "bucket", F.col("rare").alias("off")).unionByName(shared.filter(F.col("members") > PAIRED).select("rep", "bucket", F.col("rare").alias("off")))
+    large = shared.filter(F.col("members") > PAIRED).select("rep", "bucket", "off")
     for level in range(LEVELS):
         here = scratch.table(placed(large))
         if here.isEmpty():
