@@ -22,18 +22,33 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the cluster names in spark.checkpoint.dir.
 
-    Where it is unset (local tests) a temporary folder of the driver is used
-    and remembered as the session's checkpoint folder.
+    Where it is unset and the master is local (tests) a temporary folder of the
+    driver is used and remembered as the session's checkpoint folder; on a
+    cluster that is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     named = tempfile.mkdtemp(prefix="fathomline-")
     spark.conf.set("spark.checkpoint.dir", named)
     spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Names like these that no column has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared folder.
 
@@ -106,10 +121,12 @@ def with_membership(df: DataFrame, key: Column, bitmap: DataFrame, flag: str) ->
     """
     bit = F.pmod(key, F.lit(FILTER_BITS)) + 1
     # A null key has no bit; it can't be a member.
-    probed = df.withColumn("_p", F.bitmap_bit_position(bit)).withColumn("_block", F.bitmap_bucket_number(bit))
-    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_p div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    hit = F.coalesce(F.getbit(byte, F.pmod(F.col("_p"), F.lit(8)).cast("int")) == 1, F.lit(False))
-    return probed.join(F.broadcast(bitmap), "_block", "left").withColumn(flag, hit).drop("_block", "_bits", "_p")
+    place, block, bits = fresh([*df.columns, flag], "_place", "_block", "_bits")
+    probed = df.withColumn(place, F.bitmap_bit_position(bit)).withColumn(block, F.bitmap_bucket_number(bit))
+    byte = F.conv(F.hex(F.expr(f"substring({bits}, cast({place} div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    hit = F.coalesce(F.getbit(byte, F.pmod(F.col(place), F.lit(8)).cast("int")) == 1, F.lit(False))
+    named = bitmap.select(F.col("_block").alias(block), F.col("_bits").alias(bits))
+    return probed.join(F.broadcast(named), block, "left").withColumn(flag, hit).drop(block, bits, place)
 
 
 def salts(rows: int, per_salt: int = 50_000, least: int = 64, most: int = 4096) -> int:
@@ -122,12 +139,13 @@ def drop_ids(docs: DataFrame, id_col: str, ids: DataFrame, column: str) -> DataF
 
     Only rows that pass the filter over ``ids`` are joined; the texts of all others are not shuffled.
     """
-    dropped = ids.select(F.col(column).alias("_dropped"))
-    bitmap = membership_filter(dropped.select(F.xxhash64("_dropped").alias("key")), "key")
-    marked = with_membership(docs, F.xxhash64(id_col), bitmap, "_maybe")
-    clean = marked.filter(~F.col("_maybe")).select(docs.columns)
-    rest = marked.filter("_maybe").select(docs.columns)
-    return clean.unionByName(rest.join(dropped, rest[id_col] == F.col("_dropped"), "left_anti"))
+    gone, maybe = fresh(docs.columns, "_dropped", "_maybe")
+    dropped = ids.select(F.col(column).alias(gone))
+    bitmap = membership_filter(dropped.select(F.xxhash64(gone).alias("key")), "key")
+    marked = with_membership(docs, F.xxhash64(id_col), bitmap, maybe)
+    clean = marked.filter(~F.col(maybe)).select(docs.columns)
+    rest = marked.filter(maybe).select(docs.columns)
+    return clean.unionByName(rest.join(dropped, rest[id_col] == F.col(gone), "left_anti"))
 
 
 def with_row_key(docs: DataFrame, id_col: str, text_col: str, key: str) -> DataFrame:

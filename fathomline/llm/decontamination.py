@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership, with_row_key
+from fathomline.llm.common import Scratch, drop_ids, fresh, membership_filter, with_membership, with_row_key
 
 #: Positions that a seed looks at; the others are ignored. Together they hit
 #: every alignment of 8 to 24 words with at most a fifth of them substituted.
@@ -46,6 +46,7 @@ def contaminated(
     similarity: float = SIMILARITY,
     window: int = WINDOW_WORDS,
     least: int = LEAST_WORDS,
+    scratch: Scratch | None = None,
 ) -> DataFrame:
     """One row for each document and test item that overlap: ``id_col, item_col, matches, overlap_words, similarity, item_words, start_word``.
 
@@ -57,7 +58,7 @@ def contaminated(
     and match nothing, as do null and empty texts. Rows without an identifier
     are not reported. Repeated rows are reported once.
     """
-    scratch = Scratch(docs.sparkSession, "decontamination")
+    scratch = scratch or Scratch(docs.sparkSession, "decontamination")
     items = tests.select(F.col(item_col).alias("item"), word_hashes(F.col(item_text_col)).alias("item_hashes")).filter(F.size("item_hashes") >= least).dropDuplicates()
     items = scratch.table(items)
     probes = items.select("item", F.inline(seeds("item_hashes"))).withColumnRenamed("at", "item_at")
@@ -102,8 +103,13 @@ def drop_contaminated(docs: DataFrame, tests: DataFrame, id_col: str = "doc_id",
     """The rows of ``docs`` that share no passage with ``tests``; rows without an identifier are judged by none and stay.
 
     Where an identifier stands for several texts, each of them is judged alone.
+    Null, empty and short texts share nothing and stay, as do all repeats of a
+    clean row. Further columns pass unchanged, whatever their names; an empty
+    table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "decontaminated")
-    keyed = with_row_key(docs, id_col, text_col, "_key")
-    leaks = scratch.table(contaminated(keyed, tests, "_key", text_col, **options).select(F.col("_key").alias("_id")).distinct())
-    return drop_ids(keyed, "_key", leaks, "_id").select(docs.columns)
+    (key,) = fresh(docs.columns, "_key")
+    keyed = with_row_key(docs, id_col, text_col, key)
+    leaks = scratch.table(contaminated(keyed, tests, key, text_col, scratch=scratch, **options).select(key).distinct())
+    scratch.keep(leaks)
+    return drop_ids(keyed, key, leaks, key).select(docs.columns)

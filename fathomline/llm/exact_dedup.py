@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import Scratch, membership_filter, with_membership
+from fathomline.llm.common import Scratch, fresh, membership_filter, with_membership
 
 MEMTABLE_ROWS = 2_000_000
 FAN_IN = 8
@@ -42,7 +42,7 @@ def compact(entries: DataFrame, scratch: Scratch, runs: int, fan_in: int = FAN_I
         entries = scratch.table(merged)
 
 
-def lsm_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS) -> DataFrame:
+def lsm_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS, scratch: Scratch | None = None) -> DataFrame:
     """One row per input row: ``id_col, keep_id, group_size, kept, text_sha256``.
 
     Texts are equal when their bytes are; null counts as empty. ``keep`` names
@@ -52,7 +52,7 @@ def lsm_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     empty table gives an empty result; further columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
-    scratch = Scratch(spark, "exact-dedup")
+    scratch = scratch or Scratch(spark, "exact-dedup")
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     digests = scratch.table(source.select("id", F.unhex(F.sha2("body", 256)).alias("digest")))
     entries, runs = flush_runs(digests, scratch, digests.count(), memtable_rows)
@@ -104,13 +104,15 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     without a shuffle. Rows repeated with one identifier and text leave one.
     """
     scratch = Scratch(docs.sparkSession, "exact-drop")
-    decided = scratch.table(lsm_dedup(docs, id_col, text_col, keep).select(F.col(id_col).alias("_id"), "kept", "group_size", "text_sha256").filter("group_size > 1"))
-    keepers = decided.filter("kept").select("_id", F.col("text_sha256").alias("_digest")).distinct()
-    bitmap = membership_filter(decided.select(F.xxhash64("text_sha256").alias("key")), "key")
-    digest = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    marked = with_membership(docs.withColumn("_digest", digest), F.xxhash64("_digest"), bitmap, "_maybe")
-    alone = marked.filter(~F.col("_maybe")).select(docs.columns)
-    several = marked.filter("_maybe").join(decided.select(F.col("text_sha256").alias("_digest")).distinct().withColumn("_hit", F.lit(True)), "_digest", "left")
-    fine = several.filter("_hit is null").select(docs.columns)
-    kept = several.filter("_hit").join(keepers, (F.col(id_col).eqNullSafe(F.col("_id"))) & (several["_digest"] == keepers["_digest"]), "left_semi")
-    return alone.unionByName(fine).unionByName(kept.dropDuplicates([id_col, "_digest"]).select(docs.columns))
+    decided = lsm_dedup(docs, id_col, text_col, keep, scratch=scratch).filter("group_size > 1")
+    owner, digest, maybe, hit = fresh(docs.columns, "_owner", "_digest", "_maybe", "_hit")
+    decided = scratch.table(decided.select(F.col(id_col).alias(owner), F.col("text_sha256").alias(digest), "kept"))
+    scratch.keep(decided)
+    keepers = decided.filter("kept").select(owner, digest).distinct()
+    bitmap = membership_filter(decided.select(F.xxhash64(digest).alias("key")), "key")
+    marked = with_membership(docs.withColumn(digest, F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)), F.xxhash64(digest), bitmap, maybe)
+    alone = marked.filter(~F.col(maybe)).select(docs.columns)
+    several = marked.filter(maybe).join(decided.select(digest).distinct().withColumn(hit, F.lit(True)), digest, "left")
+    fine = several.filter(F.col(hit).isNull()).select(docs.columns)
+    kept = several.filter(hit).join(keepers, (F.col(id_col).eqNullSafe(F.col(owner))) & (several[digest] == keepers[digest]), "left_semi")
+    return alone.unionByName(fine).unionByName(kept.dropDuplicates([id_col, digest]).select(docs.columns))

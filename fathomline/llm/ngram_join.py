@@ -12,7 +12,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import Scratch, drop_ids, membership_filter, with_membership, with_row_key
+from fathomline.llm.common import Scratch, drop_ids, fresh, membership_filter, with_membership, with_row_key
 from fathomline.llm.components import connected_components
 
 #: Counters of shingles, 2 to these powers; one bit of each is broadcast, 32 MB at most.
@@ -428,10 +428,13 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """The rows of ``docs`` without those that are linked to a document of a lesser identifier; rows without identifier stay.
 
     Where an identifier stands for several texts, each of them is a document.
+    Null and empty texts stay, as do all repeats of a row that stays. Further
+    columns pass unchanged, whatever their names; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "similar-dropped")
-    keyed = with_row_key(docs, id_col, text_col, "_key")
-    classes = similar_components(keyed, "_key", text_col, k, percent, scratch)
-    dropped = scratch.table(classes.filter(F.col("_key") != F.col("component_id")).select(F.col("_key").alias("_id")).distinct())
+    (key,) = fresh(docs.columns, "_key")
+    keyed = with_row_key(docs, id_col, text_col, key)
+    classes = similar_components(keyed.select(key, text_col), key, text_col, k, percent, scratch)
+    dropped = scratch.table(classes.filter(F.col(key) != F.col("component_id")).select(key).distinct())
     scratch.keep(dropped)
-    return drop_ids(keyed, "_key", dropped, "_id").select(docs.columns)
+    return drop_ids(keyed, key, dropped, key).select(docs.columns)

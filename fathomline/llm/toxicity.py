@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathomline.llm.common import fresh
+
 #: Documents of each label that the model is fitted on, at most.
 TRAIN_ROWS_PER_LABEL = 1000
 BLOCK = 64
@@ -275,13 +277,16 @@ def spans(text: str, p: np.ndarray) -> list[dict]:
         return []
     out: list[dict] = []
     lowered = text.lower()
-    # Few letters change their length in lower case; then offsets are those of the lower-cased text.
+    # A few letters grow in lower case; then places are found by how far each letter of the text reaches.
+    reach = None if len(lowered) == len(text) else np.cumsum([len(c.lower()) for c in text])
+    place = (lambda i: i) if reach is None else (lambda i: int(np.searchsorted(reach, i, side="right")))
     for k, match in enumerate(WORD.finditer(lowered)):
         if p[k] >= 0.5:
+            end = place(match.end() - 1) + 1
             if out and out[-1]["_k"] == k - 1:
-                out[-1] |= {"end": match.end(), "probability": max(out[-1]["probability"], float(p[k])), "_k": k}
+                out[-1] |= {"end": end, "probability": max(out[-1]["probability"], float(p[k])), "_k": k}
             else:
-                out.append({"start": match.start(), "end": match.end(), "probability": float(p[k]), "_k": k})
+                out.append({"start": place(match.start()), "end": end, "probability": float(p[k]), "_k": k})
     return [{k: v for k, v in s.items() if k != "_k"} for s in out]
 
 
@@ -307,11 +312,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
 
 
 def score_toxicity(docs: DataFrame, model: Chain, text_col: str = "text") -> DataFrame:
-    """Adds ``score`` (0 to 1) and ``toxic_spans`` (offsets in the lower-cased text) to ``docs``.
+    """Adds ``score`` (0 to 1) and ``toxic_spans`` (character offsets in the text, the end not included) to ``docs``.
 
     Null and empty texts have no token and get the score of a document without
-    evidence. Earlier columns of these names are replaced. Whole texts are read,
-    in batches of bounded size.
+    evidence. Earlier columns of these names are replaced, all others pass
+    unchanged. Each row is scored by itself, so repeated rows and rows without
+    identifier are scored like any other; an empty table stays empty. Whole
+    texts are read, in batches of bounded size.
     """
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(model)
@@ -328,8 +335,9 @@ def score_toxicity(docs: DataFrame, model: Chain, text_col: str = "text") -> Dat
                 found += f
             yield pd.DataFrame({"score": scores, "spans": found})
 
-    tagged = docs.withColumn("_tags", tag(F.coalesce(F.col(text_col), F.lit(""))))
-    return tagged.withColumn("score", F.col("_tags.score")).withColumn("toxic_spans", F.col("_tags.spans")).drop("_tags")
+    (tags,) = fresh(docs.columns, "_tags")
+    tagged = docs.withColumn(tags, tag(F.coalesce(F.col(text_col), F.lit(""))))
+    return tagged.withColumn("score", F.col(tags)["score"]).withColumn("toxic_spans", F.col(tags)["spans"]).drop(tags)
 
 
 def portions(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:

@@ -14,7 +14,7 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import lower_ascii
+from fathomline.llm.common import fresh, lower_ascii
 
 Rule = tuple[str, str]  # verdict, host followed by path
 
@@ -87,7 +87,8 @@ def judge_urls(urls: DataFrame, rules: Sequence[Rule], url_col: str = "url", def
         for hosts, paths in batches:
             yield _judge(array, lengths, hosts, paths, default)
 
-    return with_parts.withColumn("_j", judge("host", "path")).withColumn("rule", F.col("_j.rule")).withColumn("verdict", F.col("_j.verdict")).drop("_j")
+    (judged,) = fresh(with_parts.columns, "_judged")
+    return with_parts.withColumn(judged, judge("host", "path")).withColumn("rule", F.col(judged)["rule"]).withColumn("verdict", F.col(judged)["verdict"]).drop(judged)
 
 
 def _judge(array: DigestArray, lengths: list[int], hosts: pd.Series, paths: pd.Series, default: str) -> pd.DataFrame:
