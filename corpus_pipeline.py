@@ -1,4 +1,10 @@
-"""From raw documents to packed training sequences: five stages, each written as Parquet and read by the next."""
+"""From raw documents to packed training sequences: five stages, each written as Parquet and read by the next.
+
+Stages but the last keep the columns of ``documents`` and decide on whole rows.
+Null and empty texts are clean and near to nothing, so they stay, but for
+copies of each other; rows without identifier are never taken for copies of
+others but by their text. An empty table gives an empty result everywhere.
+"""
 
 from __future__ import annotations
 
@@ -51,4 +57,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = scratch.table(stage(spark, docs, sf_dir))
+        scratch.keep(docs)  # the stage before is not read again
     return STAGES[-1][1](spark, docs, sf_dir)
