@@ -42,15 +42,15 @@ def geographic_edges(obs: DataFrame, radius_m: float = 12.0, largest_uncertainty
 
 
 def sequence_edges(obs: DataFrame, gap: int = 3, least_iou: float = 0.20, class_aware: bool = True) -> DataFrame:
-    """``a, b`` of observations in frames at most ``gap`` apart whose boxes overlap; the order is that of ``obs``.
+    """``a, b`` of observations whose boxes overlap, ``b`` behind ``a`` in the order of ``obs`` and 0 to ``gap`` frames after it.
 
     Frames go to buckets of gap + 1, each of which meets itself and the next.
     """
     box = ("obs", "cls", "frame_index", "x0", "y0", "x1", "y1")
     bucket = F.floor(F.col("frame_index") / (gap + 1))
-    left = obs.select(*[F.col(c).alias(f"a_{c}") for c in box], F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    left = obs.select(*[F.col(c).alias(f"a_{c}") for c in box], F.explode(F.array(bucket, bucket + 1)).alias("bucket"))
     right = obs.select(*[F.col(c).alias(f"b_{c}") for c in box], bucket.alias("bucket"))
-    pairs = left.join(right, "bucket").filter((F.col("a_obs") < F.col("b_obs")) & (F.abs(F.col("b_frame_index") - F.col("a_frame_index")) <= gap))
+    pairs = left.join(right, "bucket").filter((F.col("a_obs") < F.col("b_obs")) & (F.col("b_frame_index") - F.col("a_frame_index")).between(0, gap))
     if class_aware:
         pairs = pairs.filter("a_cls = b_cls")
     return pairs.filter(iou("a_", "b_") >= least_iou).select(F.col("a_obs").alias("a"), F.col("b_obs").alias("b"))
@@ -62,6 +62,8 @@ def _checkpoint(df: DataFrame) -> DataFrame:
 
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
     return df.checkpoint()
 

@@ -39,7 +39,7 @@ def nav_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AT = f"""{NAV}, counted AS (SELECT track, count(*) AS n FROM nav GROUP BY track), placed AS (
-    SELECT track, r.row, n, least(greatest(r.row / 399.0::DOUBLE, 0), 1) * (n - 1) AS t FROM counted CROSS JOIN (VALUES (0), (57), (200), (398), (399), (450)) r(row)
+    SELECT track, r.row, n, least(greatest(r.row / 399.0::DOUBLE, 0), 1) * (n - 1) AS t FROM counted CROSS JOIN (SELECT CAST(unnest(range(400)) AS INTEGER) AS row) r
 ), bracket AS (SELECT *, floor(t)::BIGINT AS i0, least(floor(t)::BIGINT + 1, n - 1) AS i1, t - floor(t) AS f FROM placed
 ), fixes AS (
     SELECT b.track, b.row, a.lat * (1 - f) + z.lat * f AS lat, a.lon * (1 - f) + z.lon * f AS lon,

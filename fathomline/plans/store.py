@@ -130,7 +130,11 @@ def recording_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.select("recording", split.alias("split"))
 
 
-@query("SELECT count(*) AS leaked FROM (SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 0 INTERSECT SELECT o_custkey FROM orders WHERE o_orderkey % 4 = 1)")
+@query(
+    """WITH held AS (SELECT o_custkey, bool_or(o_orderkey % 4 > 1) AS train, bool_or(o_orderkey % 4 = 1) AS val, bool_or(o_orderkey % 4 = 0) AS test FROM orders GROUP BY o_custkey)
+    SELECT count(*) FILTER (CAST(train AS INTEGER) + CAST(val AS INTEGER) + CAST(test AS INTEGER) > 1) AS leaked,
+           count(*) FILTER (train AND val) AS train_val, count(*) FILTER (train AND test) AS train_test, count(*) FILTER (val AND test) AS val_test FROM held"""
+)
 def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO2: recordings that are in more than one split, and those of each pair of splits."""
     r = F.col("o_orderkey") % 4

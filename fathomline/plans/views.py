@@ -38,6 +38,10 @@ IOU = f"({INTER}) / greatest({AREA_A} + {AREA_B} - ({INTER}), 1e-9)"
 IOS = f"({INTER}) / greatest(least({AREA_A}, {AREA_B}), 1e-9)"
 
 
+def degree_sql(x: str) -> str:
+    return f"floor(({x}) * 1e8 + 0.3) / 1e8"
+
+
 def micro_sql(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
@@ -73,11 +77,11 @@ def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OBSERVATIONS = """observations AS (
-    SELECT l_orderkey * 200000 + l_extendedprice AS obs, l_returnflag AS cls, CAST(floor(l_orderkey / 10) AS BIGINT) AS frame_index,
+    SELECT l_orderkey * 200000 + l_extendedprice AS obs, l_returnflag AS cls, CAST(l_orderkey AS BIGINT) AS frame_index,
            12.9::DOUBLE + (l_partkey % 100) * 1e-3::DOUBLE AS lat, 80.3::DOUBLE + (l_suppkey % 100) * 1e-3::DOUBLE + l_quantity * 1e-6::DOUBLE AS lon,
            l_tax * 50 + 5 AS unc, l_extendedprice / 105000 AS confidence, l_quantity AS x0, CAST(l_partkey % 20 AS DOUBLE) AS y0,
            l_quantity + (l_tax * 250 + 30) AS x1, CAST(l_partkey % 20 AS DOUBLE) + (l_discount * 100 + 20) AS y1
-    FROM lineitem WHERE l_orderkey % 10 = 0 AND l_linestatus = 'F')"""
+    FROM lineitem WHERE l_linestatus = 'F')"""
 
 HAVERSINE = """2 * 6371008.8::DOUBLE * asin(least(1.0::DOUBLE, sqrt(power(sin((radians(b.lat) - radians(a.lat)) / 2), 2)
     + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2), 2))))"""
