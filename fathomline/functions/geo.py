@@ -13,6 +13,11 @@ FLATTENING = 1 / 298.257223563
 METRES_PER_DEGREE = 111320.0
 
 
+def circle(degrees: Column) -> Column:
+    """An angle from 0 to below 360; one between them keeps all its digits."""
+    return degrees - 360.0 * F.floor(degrees / 360.0)
+
+
 def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     a = F.pow(F.sin((F.radians(lat2) - F.radians(lat1)) / 2), 2) + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), 2)
     return 2 * EARTH_RADIUS_M * F.asin(F.least(F.lit(1.0), F.sqrt(a)))
@@ -20,8 +25,8 @@ def haversine_m(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colum
 
 def lerp_heading(h0: Column, h1: Column, f: Column) -> Column:
     """Between two headings along the shorter arc, 0 to 360."""
-    turn = F.pmod(h1 - h0 + 180, F.lit(360.0)) - 180
-    return F.pmod(h0 + f * turn, F.lit(360.0))
+    turn = circle(h1 - h0 + 180) - 180
+    return circle(h0 + f * turn)
 
 
 def lerp_known(a0: Column, a1: Column, f: Column) -> Column:
@@ -35,7 +40,7 @@ def ground_range(slant: Column, altitude: Column) -> Column:
 
 
 def bearing(heading: Column, starboard: Column) -> Column:
-    return F.pmod(heading + F.when(starboard, 90.0).otherwise(-90.0), F.lit(360.0))
+    return circle(heading + F.when(starboard, 90.0).otherwise(-90.0))
 
 
 def uncertainty_band(metres: Column) -> Column:

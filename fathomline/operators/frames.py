@@ -7,7 +7,7 @@ axis work on the arrays of that axis.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -353,8 +353,10 @@ def morphology(p: DataFrame, op: str = "open") -> DataFrame:
     raise ValueError(f"unknown operation {op!r}")
 
 
-def check_geometry_safe(profile: str) -> None:
-    """Refuses profiles whose steps move pixels, for which labels can't be copied."""
-    moving = {"split", "slant"} & set(PROFILES.get(profile, ()))
+def check_geometry_safe(profile: str | Sequence[str]) -> None:
+    """Refuses a profile, by name or as its steps, that moves pixels, as labels could not be copied; an unknown name is an error."""
+    if isinstance(profile, str) and profile not in PROFILES:
+        raise ValueError(f"unknown profile {profile!r}; known are {sorted(PROFILES)}")
+    moving = {"split", "slant"} & set(PROFILES[profile] if isinstance(profile, str) else profile)
     if moving:
         raise ValueError(f"profile {profile!r} moves pixels ({', '.join(sorted(moving))}); labels would no longer fit")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.geo import lerp_heading, lerp_known
+from fathomline.functions.geo import circle, lerp_heading, lerp_known
 
 
 def with_heading(nav: DataFrame) -> DataFrame:
@@ -23,7 +23,7 @@ def with_heading(nav: DataFrame) -> DataFrame:
     (lat1, lat0), (lon1, lon0) = around("lat"), around("lon")
     moved = nav.withColumns({"_lat1": lat1, "_lat0": lat0, "_lon1": lon1, "_lon0": lon0, "heading_derived": F.max(F.col("heading").isNotNull()).over(whole) == False})  # noqa: E712
     east = F.radians(F.col("_lon1") - F.col("_lon0")) * F.cos(F.radians((F.col("_lat1") + F.col("_lat0")) / 2))
-    course = F.pmod(F.degrees(F.atan2(east, F.radians(F.col("_lat1") - F.col("_lat0")))) + 360, F.lit(360.0))
+    course = circle(F.degrees(F.atan2(east, F.radians(F.col("_lat1") - F.col("_lat0")))) + 360)
     return moved.withColumn("heading", F.when(F.col("heading_derived"), course).otherwise(F.col("heading"))).drop("_lat1", "_lat0", "_lon1", "_lon0")
 
 

@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import geo as G
-from fathomline.functions.numbers import micro
+from fathomline.functions.numbers import micro, steady
 from fathomline.operators import navigation as N
 from fathomline.plans.registry import query
-from fathomline.plans.views import NAV, micro_sql, nav, read
+from fathomline.plans.views import NAV, micro_sql, nav, read, steady_sql
 
 #: Image rows of a track.
 HEIGHT = 400
@@ -55,10 +55,10 @@ def _at_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.at_rows(rows, n, HEIGHT)
 
 
-@query(f"WITH {_AT} SELECT track, row, {micro_sql('lat')} AS lat, {micro_sql('lon')} AS lon, {micro_sql('heading')} AS heading, {micro_sql('altitude')} AS altitude FROM at_rows")
+@query(f"WITH {_AT} SELECT track, row, {steady_sql('lat')} AS lat, {steady_sql('lon')} AS lon, {micro_sql('heading')} AS heading, {micro_sql('altitude')} AS altitude FROM at_rows")
 def nav_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN6, SC2, SC3: position, heading and altitude at image rows."""
-    return _at_rows(spark, sf_dir).withColumns({c: micro(F.col(c)) for c in ("lat", "lon", "heading", "altitude")})
+    return _at_rows(spark, sf_dir).withColumns({c: steady(F.col(c)) for c in ("lat", "lon")} | {c: micro(F.col(c)) for c in ("heading", "altitude")})
 
 
 _SLANT = "abs((track * 37 + row) % 640 - 320) / 320.0::DOUBLE * 60"
@@ -109,12 +109,12 @@ def _forward_sql() -> str:
     )
 
 
-@query(f"WITH {_BUDGET}, {_forward_sql()} SELECT track, row, {micro_sql('lat2')} AS lat, {micro_sql('lon2')} AS lon FROM ended")
+@query(f"WITH {_BUDGET}, {_forward_sql()} SELECT track, row, {steady_sql('lat2')} AS lat, {steady_sql('lon2')} AS lon FROM ended")
 def geodesic_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SC5, SC6: the point on the bottom, along the bearing across the track."""
     point = G.geodesic_forward(F.col("lat"), F.col("lon"), G.bearing(F.col("heading"), F.col("starboard")), F.col("ground"))
     reached = _located(spark, sf_dir).select("track", "row", point.alias("p"))
-    return reached.select("track", "row", micro(F.col("p.lat")).alias("lat"), micro(F.col("p.lon")).alias("lon"))
+    return reached.select("track", "row", steady(F.col("p.lat")).alias("lat"), steady(F.col("p.lon")).alias("lon"))
 
 
 @query(

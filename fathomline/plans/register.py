@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from fathomline.functions import confidence as C
 from fathomline.functions import geo as G
 from fathomline.functions import priority as P
-from fathomline.functions.numbers import degree, micro
+from fathomline.functions.numbers import micro, steady
 from fathomline.operators import dedup as D
 from fathomline.operators import reports as R
 from fathomline.plans.registry import query
-from fathomline.plans.views import HAVERSINE, IOU, OBSERVATIONS, degree_sql, micro_sql, observations
+from fathomline.plans.views import HAVERSINE, IOU, OBSERVATIONS, micro_sql, observations, steady_sql
 
 _GEO_EDGES = f"edges AS (SELECT a.obs AS a, b.obs AS b FROM observations a JOIN observations b ON a.cls = b.cls AND a.obs < b.obs AND abs(a.lat - b.lat) < 5e-4 AND abs(a.lon - b.lon) < 5e-4 AND {HAVERSINE} <= 12.0 + 0.5 * (a.unc + b.unc))"
 _SEQ_EDGES = f"edges AS (SELECT a.obs AS a, b.obs AS b FROM observations a JOIN observations b ON a.cls = b.cls AND a.obs < b.obs AND b.frame_index - a.frame_index BETWEEN 0 AND 3 AND {IOU} >= 0.2)"
@@ -56,7 +56,7 @@ def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_WITH}, {_ROLLUP} SELECT cluster, observation_count, frames, cls, {", ".join(f"{micro_sql(c)} AS {c}" for c in ("best_confidence", "mean_confidence", "unc", "width_px", "height_px"))}, {", ".join(f"{degree_sql(c)} AS {c}" for c in ("lat", "lon"))},
+    f"""{_WITH}, {_ROLLUP} SELECT cluster, observation_count, frames, cls, {", ".join(f"{micro_sql(c)} AS {c}" for c in ("best_confidence", "unc", "width_px", "height_px"))}, {", ".join(f"{steady_sql(c)} AS {c}" for c in ("mean_confidence", "lat", "lon"))},
     floor(spread_m * 1e3 + 0.5) / 1e3 AS spread_m FROM hazards"""
 )
 def hazard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,8 +64,8 @@ def hazard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = D.rollup(*_geo(spark, sf_dir))
     frames = F.array_join(F.array_sort(F.transform("frames", lambda f: f.cast("string"))), ";")
     return total.select(
-        "cluster", "observation_count", frames.alias("frames"), F.col("best.cls").alias("cls"), *[micro(F.col(c)).alias(c) for c in ("best_confidence", "mean_confidence", "unc", "width_px", "height_px")],
-        *[degree(F.col(c)).alias(c) for c in ("lat", "lon")],
+        "cluster", "observation_count", frames.alias("frames"), F.col("best.cls").alias("cls"), *[micro(F.col(c)).alias(c) for c in ("best_confidence", "unc", "width_px", "height_px")],
+        *[steady(F.col(c)).alias(c) for c in ("mean_confidence", "lat", "lon")],
         (F.floor(F.col("spread_m") * 1e3 + 0.5) / 1e3).alias("spread_m"),
     )
 
@@ -94,7 +94,7 @@ def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""{_WITH}, {_ROLLUP}, {_RECORDS} SELECT hazard_id, detector_class, level1, level2, {micro_sql("pct")} AS confidence_pct, {_CONF} AS confidence_band, {micro_sql("priority")} AS priority_score, {_BAND} AS priority_band,
-    {degree_sql("lat")} AS latitude, {degree_sql("lon")} AS longitude, CASE WHEN unc <= 10 THEN 'HIGH' WHEN unc <= 40 THEN 'MEDIUM' ELSE 'LOW' END AS geolocation_confidence, observation_count, frames AS frame_ids,
+    {steady_sql("lat")} AS latitude, {steady_sql("lon")} AS longitude, CASE WHEN unc <= 10 THEN 'HIGH' WHEN unc <= 40 THEN 'MEDIUM' ELSE 'LOW' END AS geolocation_confidence, observation_count, frames AS frame_ids,
     'Confidence is a RAW detector score, not a calibrated probability (no calibration fitted for this model). | Physical dimensions unavailable: ground sample distance unknown. Bounding box is reported in pixels only.' AS notes
     FROM records WHERE pct >= 10"""
 )
@@ -104,7 +104,7 @@ def hazard_register(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = F.array_join(F.array_sort(F.transform("frames", lambda f: f.cast("string"))), ";")
     return records.select(
         "hazard_id", "detector_class", "level1", "level2", micro(F.col("confidence_pct")).alias("confidence_pct"), "confidence_band", micro(F.col("priority_score")).alias("priority_score"), "priority_band",
-        degree(F.col("latitude")).alias("latitude"), degree(F.col("longitude")).alias("longitude"), "geolocation_confidence", "observation_count", frames.alias("frame_ids"), F.array_join("notes", " | ").alias("notes"),
+        steady(F.col("latitude")).alias("latitude"), steady(F.col("longitude")).alias("longitude"), "geolocation_confidence", "observation_count", frames.alias("frame_ids"), F.array_join("notes", " | ").alias("notes"),
     )
 
 
@@ -133,7 +133,7 @@ def topk_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_WITH}, {_ROLLUP} SELECT hazard_id, {degree_sql("lon")} AS lon, {degree_sql("lat")} AS lat, 'Point' AS geometry, (SELECT count(*) FROM hazards WHERE lat IS NULL) AS skipped FROM hazards WHERE lat IS NOT NULL"""
+    f"""{_WITH}, {_ROLLUP} SELECT hazard_id, {steady_sql("lon")} AS lon, {steady_sql("lat")} AS lat, 'Point' AS geometry, (SELECT count(*) FROM hazards WHERE lat IS NULL) AS skipped FROM hazards WHERE lat IS NOT NULL"""
 )
 def hazard_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SNK4: GeoJSON features of located hazards, read back for the comparison."""
@@ -141,7 +141,7 @@ def hazard_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = F.from_json("feature", "struct<type string, geometry struct<type string, coordinates array<double>>, properties struct<hazard_id string>>").alias("f")
     rows = features.select(read).crossJoin(F.broadcast(skipped))  # one row
     at = F.col("f.geometry.coordinates")
-    return rows.select(F.col("f.properties.hazard_id").alias("hazard_id"), degree(F.get(at, F.lit(0))).alias("lon"), degree(F.get(at, F.lit(1))).alias("lat"), F.col("f.geometry.type").alias("geometry"), "skipped")
+    return rows.select(F.col("f.properties.hazard_id").alias("hazard_id"), steady(F.get(at, F.lit(0))).alias("lon"), steady(F.get(at, F.lit(1))).alias("lat"), F.col("f.geometry.type").alias("geometry"), "skipped")
 
 
 @query(f"{_WITH}, {_ROLLUP}, {_RECORDS} SELECT hazard_id, level2, observation_count::VARCHAR AS observation_count, '' AS utm_zone, frames AS frame_ids FROM records")

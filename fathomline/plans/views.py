@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.geo import circle
+
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
@@ -38,8 +40,8 @@ IOU = f"({INTER}) / greatest({AREA_A} + {AREA_B} - ({INTER}), 1e-9)"
 IOS = f"({INTER}) / greatest(least({AREA_A}, {AREA_B}), 1e-9)"
 
 
-def degree_sql(x: str) -> str:
-    return f"floor(({x}) * 1e8 + 0.3) / 1e8"
+def steady_sql(x: str) -> str:
+    return f"floor(({x}) * 1e6 + 0.3003) / 1e6"
 
 
 def micro_sql(x: str) -> str:
@@ -53,7 +55,7 @@ def nav(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(
         F.col("user_id").alias("track"), "nav_idx", (F.lit(12.9) + F.col("nav_idx") * 1e-5 + F.col("value") * 1e-6).alias("lat"),
         (F.lit(80.3) + (F.col("event_id") % 97) * 1e-5).alias("lon"),
-        F.pmod(F.col("value") * 3.6, F.lit(360.0)).alias("heading"), F.when(F.col("event_id") % 7 != 0, 8 + F.col("event_id") % 5).cast("double").alias("altitude"),
+        circle(F.col("value") * 3.6).alias("heading"), F.when(F.col("event_id") % 7 != 0, 8 + F.col("event_id") % 5).cast("double").alias("altitude"),
     )
 
 

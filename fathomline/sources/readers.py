@@ -89,15 +89,26 @@ def nav_columns(header: str) -> dict[str, int]:
 def nav_table(text: DataFrame, header: str | None = None) -> DataFrame:
     """``path, latitude, longitude, heading, altitude, ping, depth`` from navigation lines.
 
-    Banner lines and the header go, as do lines whose coordinates can't be
-    read; other values that can't be are null. Without ``header`` the first
-    line that is no banner is taken.
+    Banner lines and headers go, as do lines whose coordinates can't be read;
+    other values that can't be are null. Without ``header`` each file has one
+    of its own, the line that names both coordinates. A file without such a
+    line, or no line at all, is a ValueError.
     """
     body = text.filter(~is_comment(F.col("value")))
-    header = header or body.first()["value"]
-    at = nav_columns(header)
-    value = lambda c: F.expr(f"try_cast(trim(get(split(value, ','), {at[c]})) as double)") if c in at else F.lit(None).cast("double")
-    rows = body.filter(F.col("value") != header).select("path", *[value(c).alias(c) for c in NAV_ALIASES])
+    value = lambda at: F.expr(f"try_cast(trim(get(split(value, ','), {at})) as double)")
+    if header:
+        at = nav_columns(header)
+        rows = body.filter(F.col("value") != header).select("path", *[(value(at[c]) if c in at else F.lit(None).cast("double")).alias(c) for c in NAV_ALIASES])
+    else:
+        names = F.transform(F.split("value", ","), lambda part: F.regexp_replace(F.lower(F.trim(part)), r"[^\p{L}\p{N}_]", ""))
+        places = {c: F.coalesce(*[F.nullif(F.array_position("names", a), F.lit(0)) for a in aliases]) - 1 for c, aliases in NAV_ALIASES.items()}
+        named = body.withColumn("names", names).withColumns({f"at_{c}": place for c, place in places.items()})
+        is_header = F.col("at_latitude").isNotNull() & F.col("at_longitude").isNotNull()
+        heads = named.filter(is_header).groupBy("path").agg(F.min(F.struct(*[f"at_{c}" for c in NAV_ALIASES])).alias("head")).select("path", "head.*")
+        missing = text.select("path").distinct().join(heads, "path", "left_anti").head()
+        if missing or heads.isEmpty():
+            raise ValueError(f"navigation needs latitude and longitude; no line names them in {missing['path'] if missing else 'no file'}")
+        rows = named.filter(~is_header).select("path", "value").join(heads, "path").select("path", *[value(f"cast(at_{c} as int)").alias(c) for c in NAV_ALIASES])
     return rows.filter("latitude is not null and longitude is not null")
 
 
@@ -116,6 +127,10 @@ def taxonomy(spark: SparkSession, mapping: Mapping, source: str) -> DataFrame:
     return spark.createDataFrame(rows, "class_id int, native_name string, level1 string, level2 string, note string")
 
 
+#: Shares of red, green and blue in grey (ITU-R BT.601).
+LUMA = np.array([0.299, 0.587, 0.114])
+
+
 def decode_raster(data: bytes) -> np.ndarray | None:
     """A grey image of 8 bits from PNG (8 or 16 bits, not interlaced) or binary PGM bytes; None if it can't be read.
 
@@ -128,7 +143,7 @@ def decode_raster(data: bytes) -> np.ndarray | None:
     if image is None or image.dtype == np.uint8:
         return image
     low, high = np.percentile(image, [0.1, 99.9])
-    return (np.clip((image - low) / max(high - low, 1e-9), 0, 1) * 255).astype(np.uint8)
+    return (np.clip((image - low) / max(high - low, 1.0), 0, 1) * 255).astype(np.uint8)
 
 
 def _pgm(data: bytes) -> np.ndarray:
@@ -183,7 +198,7 @@ def _png(data: bytes) -> np.ndarray:
                 line[x] = (int(line[x]) + guess) & 255
         rows[y] = above = line
     pixels = rows.view(">u2" if depth == 16 else np.uint8).reshape(height, width, channels)
-    grey = pixels[..., : 3 if channels > 2 else 1].astype(float).mean(axis=2)
+    grey = pixels[..., :3].astype(float) @ LUMA if channels > 2 else pixels[..., 0].astype(float)
     return grey.round().astype(np.uint16 if depth == 16 else np.uint8)
 
 
