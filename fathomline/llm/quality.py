@@ -67,7 +67,7 @@ class Forest:
         at = np.zeros((len(x), trees), dtype=np.int64)
         which = np.arange(trees)
         rows = np.arange(len(x))[:, None]
-        for _ in range(DEPTH if inner else 0):
+        for _ in range(inner.bit_length()):
             goes_right = x[rows, self.feature[which, at]] > self.threshold[which, at]
             at = 2 * at + 1 + goes_right
         z = self.base + self.leaf[which, at - inner].sum(axis=1)
