@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import Scratch, fresh, membership_filter, with_membership
+from fathomline.llm.common import FILTER_BITS, Scratch, fresh, membership_filter, with_membership
 
-MEMTABLE_ROWS = 2_000_000
+#: Rows of one memtable; a table of several becomes several runs.
+MEMTABLE_ROWS = 50_000
 FAN_IN = 8
+#: At most this many runs at a time have their filters compared; more rows make larger runs instead.
+MOST_RUNS = 4096
 
 
 def flush_runs(digests: DataFrame, scratch: Scratch, rows: int, memtable_rows: int = MEMTABLE_ROWS) -> tuple[DataFrame, int]:
@@ -16,30 +21,41 @@ def flush_runs(digests: DataFrame, scratch: Scratch, rows: int, memtable_rows: i
 
     A row's memtable follows from its identifier, so a lost task writes the
     same run again. Copies inside a memtable collapse before the shuffle.
-    Parquet bloom filters and the sort order make runs cheap to probe.
     """
-    runs = max(1, -(-rows // memtable_rows))
+    runs = max(1, min(MOST_RUNS, -(-rows // memtable_rows)))
     entry = (
         digests.withColumn("run", F.pmod(F.xxhash64("id"), F.lit(runs)))
         .groupBy("run", "digest")
         .agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n"))
     )
-    options = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
-    return scratch.table(entry.sortWithinPartitions("run", "digest"), **options), runs
+    return scratch.table(entry.sortWithinPartitions("run", "digest")), runs
+
+
+def in_several_runs(entries: DataFrame) -> DataFrame:
+    """A filter of what is set in the filters of two runs or more; a digest that misses it is in one run only.
+
+    A run's filter is the set of bits of its digests, so the runs that share
+    a bit are counted; the result is one bitmap of at most 1 MB.
+    """
+    bits = entries.select("run", F.pmod(F.xxhash64("digest"), F.lit(FILTER_BITS)).alias("bit")).distinct()
+    return membership_filter(bits.groupBy("bit").agg(F.count(F.lit(1)).alias("runs")).filter("runs > 1"), "bit")
 
 
 def compact(entries: DataFrame, scratch: Scratch, runs: int, fan_in: int = FAN_IN) -> DataFrame:
-    """Merges ``fan_in`` runs at a time until one is left, keeping the least and greatest identifier."""
-    while True:
+    """Merges ``fan_in`` runs at a time until one is left, keeping the least and greatest identifier.
+
+    Digests that the filters show in one run only are final as they are and
+    pass by the merge; the others alone are shuffled.
+    """
+    done: list[DataFrame] = []
+    while runs > 1:
+        probed = scratch.table(with_membership(entries, F.xxhash64("digest"), in_several_runs(entries), "maybe"))
+        scratch.drop(entries)
+        done.append(probed.filter(~F.col("maybe")).drop("maybe", "run"))
         runs = -(-runs // fan_in)
-        merged = (
-            entries.withColumn("run", F.col("run") % F.lit(runs))
-            .groupBy("run", "digest")
-            .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n"))
-        )
-        if runs == 1:
-            return merged.drop("run")
-        entries = scratch.table(merged)
+        merged = probed.filter("maybe").withColumn("run", F.col("run") % F.lit(runs)).groupBy("run", "digest")
+        entries = scratch.table(merged.agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("n").alias("n")))
+    return reduce(DataFrame.unionByName, done, entries.drop("run"))
 
 
 def lsm_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", memtable_rows: int = MEMTABLE_ROWS, scratch: Scratch | None = None) -> DataFrame:
@@ -57,7 +73,6 @@ def lsm_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     digests = scratch.table(source.select("id", F.unhex(F.sha2("body", 256)).alias("digest")))
     entries, runs = flush_runs(digests, scratch, digests.count(), memtable_rows)
     index = scratch.table(compact(entries, scratch, runs))
-    scratch.drop(entries)
 
     hits = index.filter("n > 1")
     verified = scratch.table(byte_classes(source, hits))

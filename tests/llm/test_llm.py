@@ -267,7 +267,7 @@ def test_decontamination(spark, odd, empty):
     assert contaminated(empty, tests).count() == 0 and contaminated(table, tests.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("memtable", [2_000_000, 7])
+@pytest.mark.parametrize("memtable", [2_000_000, 40, 7])
 def test_exact_dedup(spark, docs, texts, memtable):
     groups = defaultdict(list)
     for d, t in texts.items():
