@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from fathomline.llm.common import Scratch, drop_ids, fresh, membership_filter, with_membership, with_row_key
 from fathomline.llm.components import connected_components
 
-#: Counters of shingles, 2 to these powers; one bit of each is broadcast, 32 MB at most.
+#: Counters of shingles, 2 to these powers; a worker holds one byte of each, 128 MB at most, and one bit of each is broadcast.
 LEAST_BITS = 20
-MOST_BITS = 28
+MOST_BITS = 27
 BLOCK = 1 << 14
 LEAST_COMMON = 16
 #: Members up to which all pairs of a bucket of prefix tokens are looked at; larger ones are centred on a pivot.
