@@ -23,7 +23,11 @@ LETTER, NUMBER, OTHER, LAST_BLANK, LAST_SPACE, SPACE, CUT_2, CUT_3, END = range(
 BORDER, IN_LETTERS, IN_NUMBERS, IN_OTHER, BLANK, IN_SPACE, ONE_MORE, TWO_MORE = range(8)
 STATES, SYMBOLS = 8, 9
 CHUNK = 512
-#: Compiled states of the counting transducer that a worker keeps, at most.
+#: Pieces of more bytes than LONG are cut into blocks, which are counted side by side.
+LONG, BLOCK = 2048, 512
+#: A block's entry state is guessed from so many bytes before it, and at most so many guesses are held.
+WARM, GUESSES = 48, 12
+#: Compiled states of the counting transducer that a worker keeps, unless more are in use at once.
 MOST_STATES = 300_000
 PORTION = 2_000_000
 
@@ -162,6 +166,25 @@ class Counter:
         self.states: list[tuple] = [(b"", ((0, None, 0),))]
         self.number = {self.states[0]: 0}
         self.table = Transitions()
+        self.room = MOST_STATES
+
+    def number_of(self, state: tuple) -> int:
+        number = self.number.get(state)
+        if number is None:
+            number = self.number[state] = len(self.states)
+            self.states.append(state)
+        return number
+
+    def shrink(self, used: list[np.ndarray]) -> None:
+        """Forgets all compiled states but those in ``used``, where they get their new numbers in place; -1 is none."""
+        before, now = self.states, np.full(len(self.states) + 1, -1, dtype=np.int64)
+        self.reset()
+        for state in np.unique(np.concatenate([u.ravel() for u in used])).tolist():
+            if state >= 0:
+                now[state] = self.number_of(before[state])
+        for u in used:
+            u[...] = now[u]
+        self.room = max(MOST_STATES, 2 * len(self.states))
 
     def encode(self, piece: bytes) -> list[bytes]:
         """The merges applied to a few bytes, lowest rank first."""
@@ -200,12 +223,7 @@ class Counter:
                 break
         kept = [(back + 1, last, fewer - emitted) for back, last, fewer in points if tail[len(tail) - back - 1 :] in self.prefixes]
         kept.append((0, token, 0))
-        after = (tail[len(tail) - kept[0][0] :], tuple(kept))
-        number = self.number.get(after)
-        if number is None:
-            number = self.number[after] = len(self.states)
-            self.states.append(after)
-        return number << 8 | (emitted + 128)
+        return self.number_of((tail[len(tail) - kept[0][0] :], tuple(kept))) << 8 | (emitted + 128)
 
     def borders(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where pieces begin among the code points of texts that each end with a code point at ``ends``.
@@ -268,10 +286,21 @@ class Counter:
         return extra + np.bincount(owner, weights=total, minlength=len(texts)).astype(np.int64)
 
     def run(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Tokens of each piece; all pieces advance by one byte at a time."""
+        """Tokens of each piece."""
+        out = np.empty(len(first), dtype=np.int64)
+        long_ = size > LONG
+        out[long_] = self.in_blocks(data, first[long_], size[long_])
+        out[~long_] = self.lanes(data, first[~long_], size[~long_], np.zeros(int((~long_).sum()), dtype=np.int64))[0]
+        return out
+
+    def lanes(self, data: np.ndarray, first: np.ndarray, size: np.ndarray, entry: np.ndarray, held: tuple[np.ndarray, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens and exit state of each stretch of bytes from its entry state; all advance by one byte at a time.
+
+        ``held`` are arrays of states that the caller needs afterwards.
+        """
         order = np.argsort(-size, kind="stable")
         at, size = first[order], size[order]
-        state = np.zeros(len(at), dtype=np.int64)
+        state = entry[order]
         tokens = np.zeros(len(at), dtype=np.int64)
         live = np.searchsorted(-size, -np.arange(int(size[0]) if len(size) else 0), side="left")
         for t, k in enumerate(live):
@@ -284,11 +313,60 @@ class Counter:
                 step[new] = self.table.get(key[new])
             state[:k] = step >> 8
             tokens[:k] += (step & 255) - 128
-        out = np.empty(len(at), dtype=np.int64)
-        out[order] = tokens
-        if len(self.states) > MOST_STATES:
-            self.reset()
-        return out
+            if len(self.states) > self.room:
+                self.shrink([state, *held])
+        back = np.empty(len(at), dtype=np.int64)
+        back[order] = np.arange(len(at))
+        return tokens[back], state[back]
+
+    def in_blocks(self, data: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Tokens of long pieces, whose blocks are counted side by side.
+
+        A block holds a map from the entry states that were tried to their exit
+        states and token counts. The first one tried is where a run over the few
+        bytes before it leads, which is mostly right. The maps are composed by a
+        prefix scan from each piece's beginning; blocks that it does not reach
+        are run again from exit states of the block before, all at once, until
+        it reaches all. At least the first such block of each piece is then right.
+        """
+        counts = -(-size // BLOCK)
+        piece = np.repeat(np.arange(len(size)), counts)
+        nth = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+        start = first[piece] + nth * BLOCK
+        length = np.minimum(BLOCK, first[piece] + size[piece] - start)
+        total = np.zeros(len(size), dtype=np.int64)
+        entry = np.full((len(piece), GUESSES), -1, dtype=np.int64)
+        leaves, tokens = entry.copy(), np.zeros_like(entry)
+        head = nth == 0
+        warm = np.where(head, 0, WARM)
+        wanted = self.lanes(data, start - warm, warm, np.zeros(len(piece), dtype=np.int64))[1]
+        column = 0
+        while len(piece):
+            rows = np.flatnonzero(wanted >= 0)
+            to = np.where(head[rows], 0, column)
+            entry[rows, to] = wanted[rows]
+            tokens[rows, to], leaves[rows, to] = self.lanes(data, start[rows], length[rows], wanted[rows], (entry, leaves))
+            # maps[i, g]: which guess of block i the g-th guess of block i - 1 leads to, or GUESSES for none.
+            same = leaves[:-1, :, None] == entry[1:, None, :]
+            same &= leaves[:-1, :, None] >= 0
+            maps = np.full((len(piece), GUESSES + 1), GUESSES, dtype=np.int64)
+            maps[1:, :GUESSES] = np.where(same.any(axis=2), same.argmax(axis=2), GUESSES)
+            maps[head] = 0
+            reached = compose_scan(maps)[:, 0]
+            known = np.flatnonzero(reached < GUESSES)
+            np.add.at(total, piece[known], tokens[known, reached[known]])
+            # What is left begins, in each piece, behind the last block reached.
+            left = reached == GUESSES
+            now_head = left & np.append(False, ~left[:-1])
+            before = np.flatnonzero(now_head) - 1
+            wanted = np.full(len(piece), -1, dtype=np.int64)
+            untried = (leaves[:-1] >= 0) & ~same.any(axis=2)
+            wanted[1:] = np.where(untried.any(axis=1), leaves[np.arange(len(piece) - 1), untried.argmax(axis=1)], -1)
+            wanted[now_head] = leaves[before, reached[before]]
+            piece, start, length, head, wanted = piece[left], start[left], length[left], now_head[left], wanted[left]
+            entry, leaves, tokens = entry[left], leaves[left], tokens[left]
+            column = 1 + column % (GUESSES - 1)
+        return total
 
 
 _counters: dict[str, Counter] = {}
