@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathomline.functions.confidence import Platt, RuleFilter, confidence_band, fused
 from fathomline.functions.numbers import clip
 
 
@@ -360,3 +361,42 @@ def check_geometry_safe(profile: str | Sequence[str]) -> None:
     moving = {"split", "slant"} & set(PROFILES[profile] if isinstance(profile, str) else profile)
     if moving:
         raise ValueError(f"profile {profile!r} moves pixels ({', '.join(sorted(moving))}); labels would no longer fit")
+
+
+def target_stats(p: DataFrame, boxes: DataFrame, pad: int = 20) -> DataFrame:
+    """``frame, n, area, contrast``: how many boxes each frame has, their mean share of it, and how far their peaks stand above their surroundings.
+
+    Corners are cut to whole pixels of the frame; a box without pixels counts
+    in ``n`` only. Frames without boxes get zeros. A frame's pixels meet its
+    boxes by one equi-join cut to each box's surroundings.
+    """
+    size = shapes(p)
+    b = boxes.select("frame", "idx", *[F.col(c).cast("int").alias(c) for c in ("x0", "y0", "x1", "y1")]).join(size, "frame")
+    b = b.withColumn("x0", F.greatest("x0", F.lit(0))).withColumn("y0", F.greatest("y0", F.lit(0))).withColumn("x1", F.least("x1", "width")).withColumn("y1", F.least("y1", "height"))
+    whole = b.filter("x1 > x0 and y1 > y0")
+    near = p.join(whole, "frame").filter((F.col("bin") >= F.col("x0") - pad) & (F.col("bin") < F.col("x1") + pad) & (F.col("ping") >= F.col("y0") - pad) & (F.col("ping") < F.col("y1") + pad))
+    inside = F.expr("bin >= x0 and bin < x1 and ping >= y0 and ping < y1")
+    each = near.groupBy("frame", "idx", "x0", "y0", "x1", "y1", "width", "height").agg((F.max(F.when(inside, F.col("v"))) - F.avg("v")).alias("contrast"))
+    share = (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0")) / (F.col("height") * F.col("width"))
+    means = each.groupBy("frame").agg(F.avg(share).alias("area"), F.avg("contrast").alias("contrast"))
+    counted = size.select("frame").join(b.groupBy("frame").agg(F.count(F.lit(1)).alias("n")), "frame", "left").join(means, "frame", "left")
+    return counted.select("frame", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("area", F.lit(0.0)).alias("area"), F.coalesce("contrast", F.lit(0.0)).alias("contrast"))
+
+
+def replicate(p: DataFrame, channels: int = 3) -> DataFrame:
+    """Pixels with ``v`` repeated over ``channels``: grey stays grey, as a colour map would invent structure."""
+    return p.withColumn("v", F.array_repeat("v", channels))
+
+
+def process(p: DataFrame, boxes: DataFrame, width: int, profile: str = "none", rules: RuleFilter = RuleFilter(), platt: Platt = Platt()) -> DataFrame:  # noqa: B008
+    """A frame from quality control to verdicts: one row per candidate box with at least four pixels.
+
+    ``boxes`` (``frame, idx``, corners, ``raw``) are the detector's. Quality is
+    judged on the frame as recorded, features on the conditioned frame. Adds
+    ``quality_score, reason, accepted, confidence, band`` to the features.
+    """
+    seen = condition(p, profile, width)
+    features = region_features(seen, boxes).join(boxes.select("frame", "idx", "raw"), ["frame", "idx"])
+    named = features.withColumns({"snr": F.col("local_snr"), "shadow": F.col("shadow_ratio"), "aspect": F.col("aspect_ratio")}).join(assess(p).select("frame", "quality_score"), "frame")
+    judged = named.withColumn("reason", rules.reasons()).withColumn("confidence", fused(platt.transform(F.col("raw")), rules.score()))
+    return judged.withColumn("accepted", F.col("reason") == "").withColumn("band", confidence_band(100 * F.col("confidence"))).drop("snr", "shadow", "aspect")

@@ -131,3 +131,15 @@ def to_global(boxes: DataFrame, tiles: DataFrame) -> DataFrame:
     corner = tiles.select("frame", F.col("idx").alias("tile"), F.col("x0").alias("_dx"), F.col("y0").alias("_dy"))
     moved = boxes.join(corner, ["frame", "tile"])
     return moved.withColumns({"x0": F.col("x0") + F.col("_dx"), "x1": F.col("x1") + F.col("_dx"), "y0": F.col("y0") + F.col("_dy"), "y1": F.col("y1") + F.col("_dy")}).drop("_dx", "_dy")
+
+
+def better_cell(cells: DataFrame) -> DataFrame:
+    """One row: the F1 of the two cells whose model saw its own kind of frames, of the raw model on conditioned ones, and which of the first two is better.
+
+    ``cells`` has ``trained_on, inference_on`` ("raw" or "preprocessed") and
+    ``n_gt, n_det, tp``. Equal cells count for raw imagery; a missing cell is null.
+    """
+    f1 = F.when(F.col("n_gt") + F.col("n_det") > 0, 2 * F.col("tp") / (F.col("n_gt") + F.col("n_det"))).otherwise(F.lit(0.0))
+    of = lambda a, b: F.max(F.when((F.col("trained_on") == a) & (F.col("inference_on") == b), f1))
+    found = cells.agg(of("raw", "raw").alias("raw_f1"), of("preprocessed", "preprocessed").alias("preprocessed_f1"), of("raw", "preprocessed").alias("mismatched_f1"))
+    return found.withColumn("better", F.when(F.col("preprocessed_f1") > F.col("raw_f1"), "preprocessing").otherwise("raw imagery"))

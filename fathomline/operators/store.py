@@ -84,3 +84,18 @@ def leaks(df: DataFrame, group: str, split: str, splits: list[str]) -> DataFrame
     per = df.groupBy(group).agg(*[F.max(F.col(split) == s).alias(f"_{s}") for s in splits])
     several = sum(F.coalesce(F.col(f"_{s}"), F.lit(False)).cast("int") for s in splits) > 1
     return per.agg(F.count_if(several).alias("leaked"), *[F.count_if(F.col(f"_{a}") & F.col(f"_{b}")).alias(f"{a}_{b}") for a, b in combinations(splits, 2)])
+
+
+def undeclared_navigation(scenarios: DataFrame, head: int = 400) -> DataFrame:
+    """``scenario, reason``: scenarios that don't say what their navigation and licence are, or whose made-up navigation isn't labelled.
+
+    ``scenarios`` has ``scenario, navigation, license, synthetic`` and
+    ``track``, the text of the navigation file or null. A track must be marked
+    both by ``synthetic`` and by the word in its first ``head`` characters.
+    """
+    marked = F.upper(F.substring("track", 1, head)).contains("SYNTHETIC")
+    reason = (
+        F.when(F.col("navigation").isNull(), "no navigation status").when(F.col("license").isNull(), "no license")
+        .when(F.col("track").isNotNull() & ~F.coalesce("synthetic", F.lit(False)), "not declared synthetic").when(F.col("track").isNotNull() & ~marked, "track not labelled")
+    )
+    return scenarios.select("scenario", reason.alias("reason")).filter("reason is not null")

@@ -311,3 +311,22 @@ def candidate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, dets, truths = _sides(spark, sf_dir)
     found = M.greedy_match(dets, truths, ["frame"]).select("frame", F.col("det_idx").alias("idx"), F.lit(1).alias("label"))
     return dets.join(found, ["frame", "idx"], "left").select("frame", "idx", F.coalesce("label", F.lit(0)).alias("label"), "score")
+
+
+@query(
+    _MATCHED
+    + f""", sides AS (SELECT b.*, CASE WHEN cls = 'A' THEN 'raw' ELSE 'preprocessed' END AS trained_on, CASE WHEN x0 < 25 THEN 'raw' ELSE 'preprocessed' END AS inference_on FROM boxes b),
+    cells AS (SELECT trained_on, inference_on, count_if(NOT is_det) AS n_gt, count_if(is_det) AS n_det, count(m.truth) AS tp FROM sides s LEFT JOIN matches m ON s.is_det AND m.frame = s.frame AND m.det = s.idx GROUP BY ALL),
+    f AS (SELECT *, 2 * tp / (n_gt + n_det) AS f1 FROM cells),
+    o AS (SELECT max(f1) FILTER (WHERE trained_on = 'raw' AND inference_on = 'raw') AS r, max(f1) FILTER (WHERE trained_on = 'preprocessed' AND inference_on = 'preprocessed') AS p,
+        max(f1) FILTER (WHERE trained_on = 'raw' AND inference_on = 'preprocessed') AS m FROM f)
+    SELECT {micro_sql("r")} AS raw_f1, {micro_sql("p")} AS preprocessed_f1, {micro_sql("m")} AS mismatched_f1, CASE WHEN p > r THEN 'preprocessing' ELSE 'raw imagery' END AS better FROM o"""
+)
+def better_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """WN13: which of the matched cells of training and inference is better; class and place stand for the two."""
+    every, dets, truths = _sides(spark, sf_dir)
+    found = M.greedy_match(dets, truths, ["frame"]).select("frame", F.col("det_idx").alias("idx"), F.lit(True).alias("is_det"), F.lit(1).alias("hit"))
+    trained, inferred = F.when(F.col("cls") == "A", "raw").otherwise("preprocessed"), F.when(F.col("x0") < 25, "raw").otherwise("preprocessed")
+    cells = every.join(found, ["frame", "idx", "is_det"], "left").groupBy(trained.alias("trained_on"), inferred.alias("inference_on"))
+    counted = cells.agg(F.count_if(~F.col("is_det")).alias("n_gt"), F.count_if("is_det").alias("n_det"), F.count("hit").alias("tp"))
+    return M.better_cell(counted).withColumns({c: micro(F.col(c)) for c in ("raw_f1", "preprocessed_f1", "mismatched_f1")})

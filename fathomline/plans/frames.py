@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fathomline.functions.confidence import Platt
 from fathomline.functions.numbers import micro
 from fathomline.operators import frames as K
 from fathomline.plans.registry import query
@@ -206,8 +207,7 @@ _PLACES = "b AS (SELECT frame, idx, x0, y0, x0 + 9 AS x1, y0 + 7 AS y1, 9 AS bw,
 def region_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG22: features of boxes in their frames, here four boxes in each."""
     p = pings(spark, sf_dir)
-    corners = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 9).alias("x1"), F.lit(y + 7).alias("y1")) for i, x, y in ((0, 10, 8), (1, 28, 20), (2, 50, 38), (3, 0, 0))])
-    found = K.region_features(p, p.select("frame").distinct().select("frame", F.inline(corners)))
+    found = K.region_features(p, _four_boxes(p))
     return found.select("frame", "idx", *[micro(F.col(c)).alias(c) for c in ("target_contrast", "shadow_ratio", "aspect_ratio", "background_roughness", "local_snr", "size_rank")])
 
 
@@ -232,3 +232,47 @@ def unit_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
 def condition_standard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG18: a whole profile of steps; each step has a query and a twin of its own."""
     return _shown(K.condition(pings(spark, sf_dir), "standard", 64))
+
+
+def _four_boxes(p: DataFrame) -> DataFrame:
+    """The four boxes of _PLACES in every frame, with raw scores."""
+    corners = F.array(*[F.struct(F.lit(i).alias("idx"), F.lit(x).alias("x0"), F.lit(y).alias("y0"), F.lit(x + 9).alias("x1"), F.lit(y + 7).alias("y1"), F.lit(0.1 + 0.2 * i).alias("raw")) for i, x, y in ((0, 10, 8), (1, 28, 20), (2, 50, 38), (3, 0, 0))])
+    return p.select("frame").distinct().select("frame", F.inline(corners))
+
+
+@query(
+    f"""WITH {PINGS}, {_PLACES}, e AS (SELECT frame, idx, max(v) FILTER (WHERE ping >= y0 AND ping < y1 AND bin >= x0 AND bin < x1) - avg(v) AS c FROM pings JOIN b USING (frame)
+    WHERE bin >= x0 - 20 AND bin < x1 + 20 AND ping >= y0 - 20 AND ping < y1 + 20 GROUP BY ALL) SELECT frame, count(*) AS n, {micro_sql("63 / 3200")} AS area, {micro_sql("avg(c)")} AS contrast FROM e GROUP BY frame"""
+)
+def frame_target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG21: number, size and contrast of each frame's targets."""
+    p = pings(spark, sf_dir)
+    return K.target_stats(p, _four_boxes(p)).withColumns({c: micro(F.col(c)) for c in ("area", "contrast")})
+
+
+@query(f"WITH {PINGS} SELECT frame, c::INTEGER AS channel, count(*) AS pixels, {micro_sql('avg(v)')} AS mean FROM pings CROSS JOIN range(3) t(c) GROUP BY ALL")
+def grey_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IMG28: grey frames as three equal channels."""
+    each = K.replicate(pings(spark, sf_dir)).select("frame", F.posexplode("v").alias("channel", "v"))
+    return each.groupBy("frame", "channel").agg(F.count(F.lit(1)).alias("pixels"), micro(F.avg("v")).alias("mean"))
+
+
+_VERDICT = "raw < 0.15 OR snr < 1.5 OR shadow < 0.03 OR aspect > 12"
+_ODDS = "1 / (1 + exp(-(0.85 * ln(raw / (1 - raw)) + -0.4)))"
+
+
+@query(
+    f"""WITH {PINGS}, {_QC}, {_PLACES}, near AS (SELECT b.*, v, ping >= y0 AND ping < y1 AS rws, ping >= y0 AND ping < y1 AND bin >= x0 AND bin < x1 AS ins, bin FROM pings JOIN b USING (frame) WHERE bin >= x0 - 17 AND bin < x1 + 17 AND ping >= y0 - 17 AND ping < y1 + 17),
+    s AS (SELECT frame, idx, max(v) FILTER (WHERE ins) AS tx, avg(v) FILTER (WHERE NOT ins) AS bm, stddev_pop(v) FILTER (WHERE NOT ins) AS bs,
+        avg(v) FILTER (WHERE rws AND bin >= x0 - 10 AND bin < x0) AS lm, avg(v) FILTER (WHERE rws AND bin >= x1 AND bin < x1 + 10) AS rm FROM near GROUP BY ALL),
+    f AS (SELECT frame, idx, 0.1::DOUBLE + 0.2::DOUBLE * idx AS raw, least(20, greatest(-10, (tx - bm) / (bs + 1e-6))) AS snr, 9 / 7 AS aspect,
+        least(1, greatest(0, greatest((bm - coalesce(lm, bm)) / (bm + 1e-6), (bm - coalesce(rm, bm)) / (bm + 1e-6)))) AS shadow FROM s),
+    g AS (SELECT *, NOT ({_VERDICT}) AS accepted, sqrt({_ODDS} * CASE WHEN {_VERDICT} THEN raw * 0.5 ELSE raw END) AS confidence FROM f)
+    SELECT frame, idx, {micro_sql("quality")} AS quality_score, accepted, {micro_sql("confidence")} AS confidence,
+        CASE WHEN 100 * confidence >= 85 THEN 'CRITICAL' WHEN 100 * confidence >= 65 THEN 'HIGH' WHEN 100 * confidence >= 40 THEN 'MEDIUM' ELSE 'LOW' END AS band FROM g JOIN scored USING (frame)"""
+)
+def process_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PL1: frames from quality control over features, filter and calibration to verdicts."""
+    p = pings(spark, sf_dir)
+    done = K.process(p, _four_boxes(p), 64, platt=Platt(0.85, -0.4, True))
+    return done.select("frame", "idx", micro(F.col("quality_score")).alias("quality_score"), "accepted", micro(F.col("confidence")).alias("confidence"), "band")

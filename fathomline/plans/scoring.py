@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.confidence import LinearFilter, Platt, RuleFilter, confidence_band, fused
-from fathomline.functions.numbers import micro
+from fathomline.functions.numbers import feature_map, micro
 from fathomline.operators import calibration as C
 from fathomline.plans.registry import query
 from fathomline.plans.views import CANDIDATES, SCORED, candidates, micro_sql, read, scored
@@ -160,3 +160,13 @@ def device_speed_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG26: ratio of two devices' mean timings."""
     kind = F.col("event_type")
     return read(spark, sf_dir, "events").agg(micro(F.avg(F.when(kind == "click", F.col("value"))) / F.avg(F.when(kind == "view", F.col("value")))).alias("speed_up"))
+
+
+_MAPPED = ("snr", "aspect", "compactness", "size_rank", "odds")
+
+
+@query(f"WITH {CANDIDATES}, o AS (SELECT *, CASE WHEN label = 1 THEN snr ELSE 'inf'::DOUBLE END AS odds FROM candidates) SELECT id, round(snr, 4) AS snr, round(aspect, 4) AS aspect, round(compactness, 4) AS compactness, round(size_rank, 4) AS size_rank, CASE WHEN label = 1 THEN round(odds, 4) ELSE 0 END AS odds, 5 AS entries FROM o")
+def feature_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """MP1: the features of each candidate as a map, one of them infinite where the label is 0."""
+    c = candidates(spark, sf_dir).withColumn("odds", F.when(F.col("label") == 1, F.col("snr")).otherwise(F.lit(float("inf"))))
+    return c.select("id", feature_map(*_MAPPED).alias("m")).select("id", *[F.col("m")[n].alias(n) for n in _MAPPED], F.size("m").alias("entries"))

@@ -163,7 +163,7 @@ def union_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH reality AS (SELECT l_returnflag AS cls, count(*) AS n FROM lineitem GROUP BY 1), manifest(cls, n) AS (SELECT l_returnflag, count(DISTINCT l_orderkey) FROM lineitem GROUP BY 1) SELECT cls, m.n AS listed, r.n AS counted FROM reality r JOIN manifest m USING (cls) WHERE m.n <> r.n")
 def manifest_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """DQ3, DQ4: classes whose listed number is not what is there."""
+    """DQ3: classes whose listed number is not what is there."""
     line = read(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("cls"))
     return line.agg(F.countDistinct("l_orderkey").alias("listed"), F.count(F.lit(1)).alias("counted")).filter("listed <> counted")
 
@@ -201,3 +201,15 @@ def iso_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Stored times carry no zone; they count as UTC, whatever zone the session is in.
     local = F.unix_millis(F.to_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone())) - F.unix_millis(F.to_utc_timestamp(F.lit("1970-01-01").cast("timestamp"), F.current_timezone()))
     return read(spark, sf_dir, "events").select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("utc"), F.concat(F.lit("RUN-"), F.lower(F.hex(local))).alias("run_id"))
+
+
+@query(
+    """WITH s AS (SELECT doc_id AS scenario, lang AS navigation, source AS license, toxic = 1 AS synthetic, nullif(text, '') AS track FROM documents LEFT JOIN labels USING (doc_id)),
+    r AS (SELECT scenario, CASE WHEN navigation IS NULL THEN 'no navigation status' WHEN license IS NULL THEN 'no license' WHEN track IS NOT NULL AND NOT coalesce(synthetic, false) THEN 'not declared synthetic'
+        WHEN track IS NOT NULL AND NOT contains(upper(substring(track, 1, 400)), 'SYNTHETIC') THEN 'track not labelled' END AS reason FROM s)
+    SELECT scenario, reason FROM r WHERE reason IS NOT NULL"""
+)
+def undeclared_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DQ4: scenarios whose navigation is not declared; documents stand for navigation files."""
+    docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("synthetic")), "doc_id", "left")
+    return S.undeclared_navigation(docs.select(F.col("doc_id").alias("scenario"), F.col("lang").alias("navigation"), F.col("source").alias("license"), "synthetic", F.nullif("text", F.lit("")).alias("track")))
