@@ -24,48 +24,101 @@ URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity score and the tagged spans of its text.
+
+    Null and empty texts are scored like any other, without spans; repeated rows
+    are scored alike; an empty table of documents gives an empty result.
+    """
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     scored = score_toxicity(docs, fit_toxicity(docs, labels.filter(~held_out())))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "toxic_spans")
 
 
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size and class under links of four-word shingles at 85 percent.
+
+    Null and empty texts have an empty set and are their own class, as are
+    documents without a link; equal texts share a class. A class is named by its
+    smallest doc_id. An empty table gives an empty result.
+    """
     return similar_components(read(spark, sf_dir, "documents"), k=4, percent=85)
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's shard and slot under the law of near equal counts.
+
+    Null texts weigh eight bytes and are a group of equal texts like any other;
+    repeated rows each get a slot; an empty table gives an empty result.
+    """
     placed = label_propagation_shards(read(spark, sf_dir, "documents"))
     return placed.withColumn("law", F.lit("rows")).withColumn("grown_shard", F.lit(None).cast("int"))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place in a sequence of at most 1024 tokens.
+
+    Null and empty texts are one piece of the separating id alone; a text longer
+    than a sequence is cut into pieces; an empty table gives an empty result.
+    """
     return pack(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score.
+
+    Null and empty texts are scored by their statistics, all of them 0; repeated
+    rows are scored alike; an empty table gives an empty result.
+    """
     docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "labels")
     scored = score_quality(docs, fit_quality(docs, labels.filter(~held_out())))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes and tokens.
+
+    Null counts as empty and has no token; very long texts are counted whole; an
+    empty table gives an empty result.
+    """
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that share a passage with a benchmark item, and where.
+
+    Null, empty and very short texts match nothing; repeated rows are
+    reported once and rows without doc_id not at all; an empty table on either
+    side gives an empty result.
+    """
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of equal texts and whether it is the one that stays, that of the largest doc_id.
+
+    Null counts as empty, so both are one group; an empty table gives an empty
+    result.
+    """
     return lsm_dedup(read(spark, sf_dir, "documents"), keep="largest")
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's bytes without those that repeat in strings of 400 bytes, and the spans that went.
+
+    Null and texts under 400 bytes stay whole; equal documents of 400 bytes or
+    more lose all bytes, in each copy; an empty table gives an empty result.
+    """
     return remove_repeats(read(spark, sf_dir, "documents"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, longest fitting rule and verdict.
+
+    Null urls and those without "://" have an empty host and path, fit no rule
+    and are allowed; repeated pages are each judged; an empty table gives an
+    empty result.
+    """
     return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
