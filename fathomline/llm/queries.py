@@ -8,9 +8,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathomline.llm.common import read
+from fathomline.llm.common import lower_ascii, read
+from fathomline.llm.conversation_repair import damaged, repair
 from fathomline.llm.decontamination import contaminated
 from fathomline.llm.exact_dedup import lsm_dedup
+from fathomline.llm.html_text import extract_text
+from fathomline.llm.merkle import manifest
 from fathomline.llm.ngram_join import similar_components
 from fathomline.llm.packing import pack
 from fathomline.llm.quality import fit_quality, score_quality
@@ -122,6 +125,39 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).drop("url")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation's faults after the stated damage, the cheapest edits that mend it, and the hash of what they give.
+
+    Nulls count as one space; conversations without a row left have zeros, an
+    empty audit and the hash of nothing; rows of one turn are taken by role and
+    text; an empty table gives an empty result.
+    """
+    return repair(damaged(read(spark, sf_dir, "conversations")))
+
+
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text.
+
+    Null, empty and textless pages give an empty text; broken markup is read as
+    browsers do; repeated pages are each read; an empty table gives an empty
+    result.
+    """
+    return extract_text(read(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof in the tree over its source and all sources, and the check of rows of which a fifth is tampered with.
+
+    Nulls are a value of their own; rows without doc_id come first in their
+    source and are not tampered with; repeated rows are leaves of their own; an
+    empty table gives an empty result.
+    """
+    docs = read(spark, sf_dir, "documents")
+    hit = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    shown = F.when(hit, lower_ascii(F.col("text"))).otherwise(F.col("text"))
+    return manifest(docs, presented=[F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), shown])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_ngram_join": op2_ngram_join,
@@ -133,6 +169,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_url_filter": op10_url_filter,
+    "op11_conversation_repair": op11_conversation_repair,
+    "op12_html_text": op12_html_text,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -155,4 +194,67 @@ ORACLE_SQL: dict[str, str] = {
         )
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM fits WHERE k = 1
     """,
+    "op12_html_text": r"""
+        WITH parts AS (
+            SELECT page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)</article>', 1), '</?(?:p|h1)>') AS raw FROM pages
+        ), plain AS (
+            SELECT page_id, url, list_transform(raw, lambda b: trim(regexp_replace(regexp_replace(replace(replace(replace(replace(regexp_replace(
+                   replace(b, '<br>', ' '), '</?[bi]>', '', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&#39;', chr(39)), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS blocks
+            FROM parts
+        ), joined AS (
+            SELECT page_id, url, coalesce(array_to_string(list_filter(blocks, lambda b: b <> ''), chr(10)), '') AS text FROM plain
+        )
+        SELECT page_id, url, text, length(text) AS n_chars FROM joined
+    """,
+    "op13_merkle_manifest": """
+        WITH RECURSIVE rows_ AS (
+            SELECT *, source IS NOT NULL AS named, coalesce(
+                xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::UBIGINT)),
+                    lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[], lambda x, _: xor(x >> 1, (x & 1) * 3988292384::UBIGINT))), 4294967295::UBIGINT) % 5 = 0,
+                false) AS hit
+            FROM documents
+        ), texts AS (
+            SELECT *, CASE WHEN hit THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS shown,
+                   coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+                   || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS head
+            FROM rows_
+        ), leaves AS (
+            SELECT doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(shown) || ':' || shown, '-')) AS offered
+            FROM texts
+        ), numbered AS (
+            SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY source) AS width FROM leaves
+        ), inner_ AS (
+            SELECT source, 0 AS level, pos, leaf AS node, width FROM numbered
+            UNION ALL
+            SELECT source, level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), any_value((width + 15) // 16)
+            FROM inner_ WHERE width > 1 GROUP BY source, level, pos // 16
+        ), subroots AS (
+            SELECT source, level AS high, node AS subroot, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS place, count(*) OVER () AS width FROM inner_ WHERE width = 1
+        ), outer_ AS (
+            SELECT 0 AS level, place AS pos, subroot AS node, width FROM subroots
+            UNION ALL
+            SELECT level + 1, pos // 16, sha256(string_agg(node, '' ORDER BY pos)), any_value((width + 15) // 16) FROM outer_ WHERE width > 1 GROUP BY level, pos // 16
+        ), steps AS (
+            SELECT n.doc_id, n.leaf, i.level, coalesce(string_agg(i.node, '' ORDER BY i.pos) FILTER (i.pos < n.pos // (16 ** i.level)::BIGINT), '') AS before_,
+                   coalesce(string_agg(i.node, '' ORDER BY i.pos) FILTER (i.pos > n.pos // (16 ** i.level)::BIGINT), '') AS after_
+            FROM (SELECT doc_id, leaf, source, pos, width FROM numbered) n
+            JOIN (SELECT source, level, pos, node, width, pos // 16 AS run FROM inner_ WHERE width > 1) i ON i.source IS NOT DISTINCT FROM n.source AND i.run = (n.pos // (16 ** i.level)::BIGINT) // 16
+            GROUP BY ALL
+            UNION ALL
+            SELECT n.doc_id, n.leaf, s.high + o.level, coalesce(string_agg(o.node, '' ORDER BY o.pos) FILTER (o.pos < s.place // ((16 ** o.level)::BIGINT)::BIGINT), ''),
+                   coalesce(string_agg(o.node, '' ORDER BY o.pos) FILTER (o.pos > s.place // ((16 ** o.level)::BIGINT)::BIGINT), '')
+            FROM numbered n JOIN subroots s ON s.source IS NOT DISTINCT FROM n.source
+            JOIN (SELECT *, pos // 16 AS run FROM outer_ WHERE width > 1) o ON o.run = (s.place // ((16 ** o.level)::BIGINT)::BIGINT) // 16
+            GROUP BY n.doc_id, n.leaf, n.pos, s.high, s.place, o.level
+        ), folded AS (
+            SELECT doc_id, leaf, source, 0 AS level, offered AS node, '' AS proof FROM numbered
+            UNION ALL
+            SELECT f.doc_id, f.leaf, f.source, f.level + 1, sha256(s.before_ || f.node || s.after_), f.proof || s.before_ || s.after_
+            FROM folded f JOIN steps s ON s.doc_id IS NOT DISTINCT FROM f.doc_id AND s.leaf = f.leaf AND s.level = f.level
+        ), done AS (
+            SELECT doc_id, leaf, source, arg_max(node, level) AS folded_root, sha256(arg_max(proof, level)) AS proof_sha256 FROM folded GROUP BY doc_id, leaf, source
+        )
+        SELECT d.doc_id, d.leaf, s.subroot, r.root, d.proof_sha256, d.folded_root, d.folded_root = r.root AS verified
+        FROM done d JOIN subroots s ON s.source IS NOT DISTINCT FROM d.source CROSS JOIN (SELECT node AS root FROM outer_ WHERE width = 1) r
+    """,
 }
