@@ -4,10 +4,25 @@ from __future__ import annotations
 
 import numpy as np
 
-from fathomline.llm.ngram_join import mix, powers
+from fathomline.llm.ngram_join import mix
 
 GRAM = 32
 PLACE_BITS = 24
+BASE = 0x9E3779B97F4A7C15 | 1
+
+_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of BASE and of its inverse modulo 2**64, at least n of each."""
+    size = 1 << max(12, n.bit_length())
+    if size not in _powers:
+        _powers.clear()
+        steps = [np.full(size, b, dtype=np.uint64) for b in (BASE, pow(BASE, -1, 2**64))]
+        for s in steps:
+            s[0] = 1
+        _powers[size] = tuple(np.multiply.accumulate(s) for s in steps)
+    return _powers[size]
 
 
 def window_minima(values: np.ndarray, width: int) -> np.ndarray:

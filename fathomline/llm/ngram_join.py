@@ -39,22 +39,45 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Primes and bases of the word hash: two polynomials modulo primes, so that no word is hit by the structure of powers of two.
+FIELDS = ((2147483647, 1103515245), (2147483629, 1566083941))
+#: Up to this many bytes the sums of byte times power stay below 2**64.
+UNREDUCED = 1 << 24
+_powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of BASE and of its inverse modulo 2**64, at least n of each."""
+def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each field, powers of its base and of the base's inverse, at least n of each."""
     size = 1 << max(12, n.bit_length())
     if size not in _powers:
         _powers.clear()
-        inverse = pow(BASE, -1, 2**64)
-        steps = [np.full(size, b, dtype=np.uint64) for b in (BASE, inverse)]
-        for s in steps:
-            s[0] = 1
-        _powers[size] = tuple(np.multiply.accumulate(s) for s in steps)
+        made = []
+        for prime, base in FIELDS:
+            pair = []
+            for b in (base, pow(base, -1, prime)):
+                steps = np.ones(size, dtype=np.uint64)
+                have = 1
+                while have < size:
+                    steps[have : 2 * have] = steps[:have] * np.uint64(pow(b, have, prime)) % np.uint64(prime)
+                    have *= 2
+                pair.append(steps)
+            made.append(tuple(pair))
+        _powers[size] = made
     return _powers[size]
 
 
+def stretch_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A hash of each stretch of bytes, 62 bits from two fields and its length."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    values = data.astype(np.uint64) + np.uint64(1)
+    for (prime, _), (up, down) in zip(FIELDS, powers(len(data) + 1), strict=True):
+        p = np.uint64(prime)
+        terms = values * up[: len(data)]
+        sums = np.concatenate([[np.uint64(0)], np.cumsum(terms if len(data) < UNREDUCED else terms % p)])
+        out = (out << np.uint64(31)) | ((sums[ends] - sums[starts]) % p * down[starts] % p)
+    return mix(out ^ mix((ends - starts).astype(np.uint64), 3))
+
+
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
@@ -69,12 +92,10 @@ def shingle_sets(texts: list[str], k: int) -> list[np.ndarray]:
     """
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     data = _LOWER[np.frombuffer(b"\n".join(raw) + b"\n", dtype=np.uint8)]
-    up, down = powers(len(data) + 1)
     with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
         inside = np.concatenate([[False], ~_BLANK[data]])
         starts, ends = np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(inside[:-1] & ~inside[1:])
-        words = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+        words = stretch_hashes(data, starts, ends)
         borders = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raw]))
         grams = np.zeros(max(0, len(words) - k + 1), dtype=np.uint64)
         for j in range(k):

@@ -79,24 +79,26 @@ def judge_urls(urls: DataFrame, rules: Sequence[Rule], url_col: str = "url", def
         return urls.withColumns({"host": host_of(F.col(url_col)), "path": path_of(F.col(url_col)), "rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
     name = ship(spark, rules)
     lengths = sorted({len(text) - text.find("/") if "/" in text else 0 for _, text in rules})
+    most = max(text.partition("/")[0].count(".") + 1 for _, text in rules)
     with_parts = urls.withColumn("host", host_of(F.col(url_col))).withColumn("path", path_of(F.col(url_col)))
 
     @F.pandas_udf("rule string, verdict string")
     def judge(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         array = DigestArray(SparkFiles.get(name))
         for hosts, paths in batches:
-            yield _judge(array, lengths, hosts, paths, default)
+            yield _judge(array, lengths, most, hosts, paths, default)
 
     (judged,) = fresh(with_parts.columns, "_judged")
     return with_parts.withColumn(judged, judge("host", "path")).withColumn("rule", F.col(judged)["rule"]).withColumn("verdict", F.col(judged)["verdict"]).drop(judged)
 
 
-def _judge(array: DigestArray, lengths: list[int], hosts: pd.Series, paths: pd.Series, default: str) -> pd.DataFrame:
+def _judge(array: DigestArray, lengths: list[int], most: int, hosts: pd.Series, paths: pd.Series, default: str) -> pd.DataFrame:
+    """Rules for hosts and paths; a suffix of more than ``most`` labels is longer than any rule's host."""
     candidates: list[bytes] = []
     owner: list[int] = []
     rank: list[tuple[int, int]] = []
     for i, (host, path) in enumerate(zip(hosts, paths, strict=True)):
-        labels = host.split(".")
+        labels = host.rsplit(".", most)[-most:]
         for k in range(len(labels)):
             suffix = ".".join(labels[k:])
             for n in lengths:

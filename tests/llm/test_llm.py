@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import re
+import time
 import zlib
 from collections import Counter as Count
 from collections import defaultdict
@@ -336,3 +337,29 @@ def test_queries_against_sql(spark, sf_dir, name):
     twin = con.sql(queries.ORACLE_SQL[name])
     df = queries.QUERIES[name](spark, sf_dir).select(twin.columns)
     assert sorted(map(tuple, df.collect()), key=repr) == sorted(twin.fetchall(), key=repr)
+
+
+def thue_morse(n, letters="ab"):
+    word = letters[0]
+    while len(word) < n:
+        word += word.translate(str.maketrans(letters, letters[::-1]))
+    return word
+
+
+def test_words_that_powers_of_two_confuse(spark):
+    """A Thue-Morse word and its complement agree under any polynomial modulo 2**64; they are different words."""
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, other), (3, f"{one} {other} c d e"), (4, f"{one} {one} c d e"), (5, one)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_components(docs, k=4, percent=85).collect()}
+    assert got == {1: (1, 1), 2: (1, 2), 3: (2, 3), 4: (2, 4), 5: (1, 1)}
+
+
+def test_hosts_of_many_labels(spark):
+    """Only as many labels as a rule's host has are looked at, so a host of 100,000 labels is one of a few probes."""
+    rules = [("block", "com/"), ("allow", "a.example.com/x")]
+    urls = [("http://" + "l." * 100_000 + "com/y",), ("http://" + "l." * 100_000 + "a.example.com/xy",), ("http://com/",), ("http://" + "." * 1000 + "/",), (None,)]
+    began = time.perf_counter()
+    got = judge_urls(spark.createDataFrame(urls, "url string"), rules).collect()
+    assert [(r.rule, r.verdict) for r in got] == [("com/", "block"), ("a.example.com/x", "allow"), ("com/", "block"), (None, "allow"), (None, "allow")]
+    assert time.perf_counter() - began < 20
