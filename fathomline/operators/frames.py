@@ -1,19 +1,17 @@
-"""Quality control and conditioning of sonar frames.
+"""Operators on frames whose pixels are rows ``frame, ping, bin, v`` with ``v`` from 0 to 1.
 
-A frame is rows ``frame, ping, bin, v`` with ``v`` from 0 to 1. Everything is
-grouped by frame at least, so frames spread over the cluster; steps along one
-axis work on the arrays of that axis.
+Everything is grouped by frame at least, so frames spread over the cluster.
+Quality control, conditioning and evidence are in ``fathomline.operators.images``,
+where a frame is one row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.functions.confidence import Platt, RuleFilter, confidence_band, fused
 from fathomline.functions.numbers import clip
 
 
@@ -27,66 +25,6 @@ def shapes(p: DataFrame) -> DataFrame:
     return p.groupBy("frame").agg((F.max("ping") + 1).alias("height"), (F.max("bin") + 1).alias("width"))
 
 
-def global_statistics(p: DataFrame) -> DataFrame:
-    """``frame, dynamic_range, unique_levels, saturated_ratio``: spread of the 1st to 99th percentile, 8-bit levels in use, clipped share."""
-    cut = F.percentile("v", F.array(F.lit(0.01), F.lit(0.99)))
-    stats = p.groupBy("frame").agg(cut.alias("cut"), F.countDistinct(F.floor(F.col("v") * 255)).alias("unique_levels"), F.avg(((F.col("v") <= 1e-6) | (F.col("v") >= 1 - 1e-6)).cast("double")).alias("saturated_ratio"))
-    return stats.select("frame", (F.get("cut", F.lit(1)) - F.get("cut", F.lit(0))).alias("dynamic_range"), "unique_levels", "saturated_ratio")
-
-
-def dropout_rows(p: DataFrame, flat: float = 1e-3, k: float = 4.0) -> DataFrame:
-    """``frame, ping, dead``: rows that are constant, or darker than the median row by ``k`` deviations (from the median absolute one)."""
-    rows = p.groupBy("frame", "ping").agg((F.max("v") - F.min("v")).alias("spread"), F.avg("v").alias("mean"))
-    whole = Window.partitionBy("frame")
-    centred = rows.withColumn("med", F.median("mean").over(whole)).withColumn("mad", F.median(F.abs(F.col("mean") - F.col("med"))).over(whole))
-    dark = (F.col("mad") > 1e-6) & (F.col("mean") < F.col("med") - k * 1.4826 * F.col("mad"))
-    return centred.select("frame", "ping", ((F.col("spread") < flat) | dark).alias("dead"))
-
-
-def speckle_index(p: DataFrame, patch: int = 16) -> DataFrame:
-    """``frame, speckle_index``: median variation of the flattest quarter of whole square patches; null without any that is not black."""
-    sized = p.join(shapes(p), "frame").filter((F.col("ping") < F.floor(F.col("height") / patch) * patch) & (F.col("bin") < F.floor(F.col("width") / patch) * patch))
-    blocks = sized.groupBy("frame", F.floor(F.col("ping") / patch), F.floor(F.col("bin") / patch)).agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd")).filter("mu > 1e-3")
-    cv = blocks.select("frame", (F.col("sd") / F.col("mu")).alias("cv")).withColumn("q", F.percentile("cv", F.lit(0.25)).over(Window.partitionBy("frame")))
-    return cv.filter("cv <= q").groupBy("frame").agg(F.median("cv").alias("speckle_index"))
-
-
-def blur_score(p: DataFrame) -> DataFrame:
-    """``frame, blur_score``: variance of the five-point Laplacian inside the frame."""
-    along, across = Window.partitionBy("frame", "bin").orderBy("ping"), Window.partitionBy("frame", "ping").orderBy("bin")
-    around = [F.lag("v").over(along), F.lead("v").over(along), F.lag("v").over(across), F.lead("v").over(across)]
-    lap = p.select("frame", (-4 * F.col("v") + around[0] + around[1] + around[2] + around[3]).alias("lap"))
-    return lap.groupBy("frame").agg(F.var_pop("lap").alias("blur_score"))  # outside, a neighbour is null and so is the sum
-
-
-def water_column(p: DataFrame, dark: float = 0.55, least: float = 0.01, most: float = 0.35) -> DataFrame:
-    """``frame, start, end``: the dark band under the sonar (end excluded); frames without one are left out.
-
-    Columns darker than a share of the median, after a zero-padded moving mean,
-    are joined over narrow bright gaps; the run over the centre, or else the
-    nearest, counts if it is wide, narrow and central enough.
-    """
-    columns = p.groupBy("frame", "bin").agg(F.avg("v").alias("m")).withColumn("width", F.max("bin").over(Window.partitionBy("frame")) + 1).filter("width >= 16")
-    half = F.greatest(F.lit(1), F.floor((F.floor(F.col("width") / 128)) / 2)).cast("int")
-    ordered = Window.partitionBy("frame").orderBy("bin")
-    sums = columns.withColumn("upto", F.sum("m").over(ordered))
-    listed = sums.withColumn("all", F.collect_list("upto").over(Window.partitionBy("frame").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    high, low = F.least(F.col("bin") + half, F.col("width") - 1), F.col("bin") - half - 1
-    smooth = (F.get("all", high) - F.coalesce(F.get("all", F.when(low >= 0, low)), F.lit(0.0))) / (2 * half + 1)
-    smoothed = listed.select("frame", "bin", "width", smooth.alias("s")).withColumn("med", F.median("s").over(Window.partitionBy("frame")))
-    bridge = F.greatest(F.lit(2), F.floor(F.col("width") * 0.03))
-    marked = smoothed.filter((F.col("med") > 1e-6) & (F.col("s") < dark * F.col("med"))).withColumn("gap", F.col("bin") - F.lag("bin").over(ordered))
-    island = F.sum(F.when(F.col("gap").isNull() | (F.col("gap") > bridge), 1).otherwise(0)).over(ordered)
-    runs = marked.withColumn("run", island).groupBy("frame", "run", "width").agg(F.min("bin").alias("start"), (F.max("bin") + 1).alias("end"))
-    centre = F.col("width") / 2
-    off = F.abs((F.col("start") + F.col("end")) / 2 - centre)
-    over = (F.col("start") <= centre) & (centre < F.col("end"))
-    best = runs.groupBy("frame", "width").agg(F.min(F.struct(F.when(over, 0).otherwise(1).alias("k"), F.when(over, 0.0).otherwise(off).alias("off"), "start", "end")).alias("best")).select("frame", "width", "best.start", "best.end")
-    wide = F.col("end") - F.col("start")
-    fits = (wide >= F.greatest(F.lit(3), F.floor(F.col("width") * least))) & (wide <= most * F.col("width")) & (off <= 0.25 * F.col("width"))
-    return best.filter(fits).select("frame", "start", "end")
-
-
 def quality_score(dynamic_range: Column, dropout: Column, saturated: Column, speckle: Column, usable: Column) -> Column:
     """0 to 1: five shares, weighted; an unknown speckle counts as one half."""
     spk = F.when(speckle.isNull() | F.isnan(speckle), 0.5).otherwise(1 - clip((speckle - 0.15) / 0.55, 0.0, 1.0))
@@ -94,181 +32,21 @@ def quality_score(dynamic_range: Column, dropout: Column, saturated: Column, spe
     return clip(reduce(lambda a, b: a + b, [w * p for w, p in zip((0.25, 0.25, 0.15, 0.20, 0.15), parts, strict=True)]), 0.0, 1.0)
 
 
-def assess(p: DataFrame) -> DataFrame:
-    """One row a frame: all quality figures, the band, the composite score and notes."""
-    drop = dropout_rows(p).groupBy("frame").agg(F.avg(F.col("dead").cast("double")).alias("dropout_ratio"))
-    out = reduce(lambda a, b: a.join(b, "frame", "left"), [shapes(p), global_statistics(p), drop, speckle_index(p), blur_score(p), water_column(p)])
-    band = F.coalesce((F.col("end") - F.col("start")) / F.col("width"), F.lit(0.0))
-    out = out.withColumn("usable_region_ratio", F.greatest(F.lit(0.0), 1 - (band + F.col("dropout_ratio"))))
+def quality_notes(band: Column) -> Column:
+    """What an operator should know of a frame, from its quality columns and its band's share of the width. Fixed values of the report."""
     share = lambda x: F.concat(F.format_number(100 * x, 1), F.lit("%"))
-    notes = F.array_compact(
+    return F.array_compact(
         F.array(
             F.when(F.col("dynamic_range") < 0.15, "Very low dynamic range - contrast normalisation strongly recommended."),
             F.when(F.col("dropout_ratio") > 0.05, F.concat(share(F.col("dropout_ratio")), F.lit(" of ping rows are dead (probable data dropout)."))),
             F.when(F.col("saturated_ratio") > 0.25, F.concat(share(F.col("saturated_ratio")), F.lit(" of pixels are clipped at black/white."))),
             F.when(F.col("speckle_index") > 0.5, "High speckle index - denoising recommended before detection."),
-            F.when(F.col("start").isNull(), "No water-column band detected (image may already be nadir-removed or georectified).").otherwise(
-                F.concat(F.lit("Water column detected at columns "), F.col("start").cast("string"), F.lit("-"), F.col("end").cast("string"), F.lit(" ("), share(band), F.lit(" of swath width)."))
+            F.when(F.col("band_start").isNull(), "No water-column band detected (image may already be nadir-removed or georectified).").otherwise(
+                F.concat(F.lit("Water column detected at columns "), F.col("band_start").cast("string"), F.lit("-"), F.col("band_end").cast("string"), F.lit(" ("), share(band), F.lit(" of swath width)."))
             ),
             F.when(F.col("unique_levels") < 32, F.concat(F.lit("Only "), F.col("unique_levels").cast("string"), F.lit(" distinct intensity levels - possible over-quantisation."))),
         )
     )
-    score = quality_score(F.col("dynamic_range"), F.col("dropout_ratio"), F.col("saturated_ratio"), F.col("speckle_index"), F.col("usable_region_ratio"))
-    return out.withColumn("quality_score", score).withColumn("notes", notes).withColumnRenamed("start", "band_start").withColumnRenamed("end", "band_end")
-
-
-def along(p: DataFrame, axis: str, columns: tuple[str, ...], make: Callable[[Column, Column], dict[str, Column]]) -> DataFrame:
-    """New values from a line's array: ``make(values, i)`` for index i of the array of structs along ``axis``.
-
-    A line is a ping's bins or a bin's pings, so it is as long as a frame is
-    wide or high, never longer.
-    """
-    other = "bin" if axis == "ping" else "ping"
-    lines = p.groupBy("frame", other).agg(F.array_sort(F.collect_list(F.struct(axis, *columns))).alias("line"))
-
-    def one(x: Column, i: Column) -> Column:
-        return F.struct(x[axis].alias(axis), *[v.alias(n) for n, v in make(F.col("line"), i).items()])
-
-    return lines.select("frame", other, F.inline(F.transform("line", one)))
-
-
-def mirrored(line: Column, i: Column, column: str) -> Column:
-    """The value at index i, which is mirrored at the ends without repeating them."""
-    n = F.size(line)
-    j = F.when(i < 0, -i).when(i >= n, 2 * n - 2 - i).otherwise(i)
-    return F.get(line, j)[column]
-
-
-def weighted(p: DataFrame, axis: str, columns: tuple[str, ...], weights: list[float]) -> DataFrame:
-    """A weighted mean of neighbours along an axis, of odd length, with mirrored ends."""
-    half = len(weights) // 2
-
-    def make(line: Column, i: Column) -> dict[str, Column]:
-        return {c: reduce(lambda a, b: a + b, [w * mirrored(line, i + (k - half), c) for k, w in enumerate(weights)]) for c in columns}
-
-    return along(p, axis, columns, make)
-
-
-def lee_filter(p: DataFrame, window: int = 5, damping: float = 1.0) -> DataFrame:
-    """Towards the local mean where the local variance is no more than speckle would make."""
-    window = max(3, window | 1)
-    weights = [1.0 / window] * window
-    local = weighted(weighted(p.select("frame", "ping", "bin", "v", (F.col("v") * F.col("v")).alias("vv")), "bin", ("v", "vv"), weights), "ping", ("v", "vv"), weights)
-    noise = p.groupBy("frame").agg((F.var_pop("v") / F.pow(F.avg("v") + 1e-6, F.lit(2))).alias("cu2"))
-    both = p.join(local.select("frame", "ping", "bin", F.col("v").alias("mean"), F.col("vv").alias("sq")), ["frame", "ping", "bin"]).join(noise, "frame")
-    var = F.greatest(F.col("sq") - F.col("mean") * F.col("mean"), F.lit(0.0))
-    k = var / (var + F.col("cu2") * F.col("mean") * F.col("mean") * damping + 1e-8)
-    return both.select("frame", "ping", "bin", clip(F.col("mean") + k * (F.col("v") - F.col("mean")), 0.0, 1.0).alias("v"))
-
-
-def gaussian_weights(size: int) -> list[float]:
-    """A normalised Gaussian of odd size; the usual fixed ones up to 7, else with the deviation that goes with the size."""
-    fixed = {1: [1.0], 3: [0.25, 0.5, 0.25], 5: [0.0625, 0.25, 0.375, 0.25, 0.0625], 7: [0.03125, 0.109375, 0.21875, 0.28125, 0.21875, 0.109375, 0.03125]}
-    if size in fixed:
-        return fixed[size]
-    import math
-
-    sigma = 0.3 * ((size - 1) * 0.5 - 1) + 0.8
-    raw = [math.exp(-((k - size // 2) ** 2) / (2 * sigma * sigma)) for k in range(size)]
-    return [x / sum(raw) for x in raw]
-
-
-def gain_normalize(p: DataFrame, width: int, strength: float = 1.0) -> DataFrame:
-    """Evens out the brightness across the track by each column's smoothed mean, for frames ``width`` bins wide."""
-    profile = p.groupBy("frame", "bin").agg(F.avg("v").alias("v")).withColumn("ping", F.lit(0))
-    smooth = weighted(profile, "bin", ("v",), gaussian_weights(max(3, (width // 32) | 1))).select("frame", "bin", F.greatest("v", F.lit(1e-3)).alias("profile"))
-    both = p.join(p.groupBy("frame").agg(F.avg("v").alias("target")), "frame").join(smooth, ["frame", "bin"])
-    flat = F.col("v") * (F.col("target") / F.col("profile"))
-    return both.select("frame", "ping", "bin", clip((1 - strength) * F.col("v") + strength * flat, 0.0, 1.0).alias("v"))
-
-
-def stretch(p: DataFrame, low: float = 1.0, high: float = 99.0) -> DataFrame:
-    """Percentile stretch to 0 to 1; a frame without contrast stays as it is."""
-    cut = p.groupBy("frame").agg(F.percentile("v", F.array(F.lit(low / 100), F.lit(high / 100))).alias("cut"))
-    both = p.join(cut, "frame").withColumn("lo", F.get("cut", F.lit(0))).withColumn("span", F.get("cut", F.lit(1)) - F.col("lo"))
-    return both.select("frame", "ping", "bin", F.when(F.col("span") < 1e-6, F.col("v")).otherwise(clip((F.col("v") - F.col("lo")) / F.col("span"), 0.0, 1.0)).alias("v"))
-
-
-def equalize(p: DataFrame) -> DataFrame:
-    """Global histogram equalisation over 256 levels."""
-    levelled = p.withColumn("level", F.floor(clip(F.col("v"), 0.0, 1.0) * 255))
-    counts = levelled.groupBy("frame", "level").agg(F.count(F.lit(1)).alias("n"))
-    up, whole = Window.partitionBy("frame").orderBy("level"), Window.partitionBy("frame")
-    placed = counts.select("frame", "level", F.sum("n").over(up).alias("upto"), F.sum("n").over(whole).alias("total"), F.first("n").over(up).alias("first"))
-    new = F.when(F.col("total") == F.col("first"), F.col("level")).otherwise(F.rint((F.col("upto") - F.col("first")) * (F.lit(255.0) / (F.col("total") - F.col("first")))))
-    return levelled.join(placed.select("frame", "level", (new / 255).alias("new")), ["frame", "level"]).select("frame", "ping", "bin", F.col("new").alias("v"))
-
-
-def repair_dropouts(p: DataFrame) -> DataFrame:
-    """Dead rows become a line between the good rows around them; at the ends the nearest good row."""
-    flagged = p.join(dropout_rows(p), ["frame", "ping"])
-    good = F.struct("ping", "v")
-    back = Window.partitionBy("frame", "bin").orderBy("ping").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("frame", "bin").orderBy("ping").rowsBetween(1, Window.unboundedFollowing)
-    known = F.when(~F.col("dead"), good)
-    near = flagged.withColumn("p", F.last(known, True).over(back)).withColumn("n", F.first(known, True).over(ahead))
-    w = (F.col("ping") - F.col("p.ping")) / (F.col("n.ping") - F.col("p.ping"))
-    line = (1 - w) * F.col("p.v") + w * F.col("n.v")
-    return near.select("frame", "ping", "bin", F.when(F.col("dead"), F.coalesce(line, F.col("p.v"), F.col("n.v"), F.col("v"))).otherwise(F.col("v")).alias("v"))
-
-
-def mask_water_column(p: DataFrame) -> DataFrame:
-    """The band takes the frame's median."""
-    both = p.join(water_column(p), "frame", "left").join(p.groupBy("frame").agg(F.median("v").alias("med")), "frame")
-    inside = (F.col("bin") >= F.col("start")) & (F.col("bin") < F.col("end"))
-    return both.select("frame", "ping", "bin", F.when(inside, F.col("med")).otherwise(F.col("v")).alias("v"))
-
-
-def split_water_column(p: DataFrame) -> DataFrame:
-    """The band is cut out and the sides closed up, so columns after it move."""
-    both = p.join(water_column(p), "frame", "left")
-    cut = both.filter(F.col("start").isNull() | (F.col("bin") < F.col("start")) | (F.col("bin") >= F.col("end")))
-    return cut.select("frame", "ping", F.when(F.col("bin") >= F.col("end"), F.col("bin") - (F.col("end") - F.col("start"))).otherwise(F.col("bin")).alias("bin"), "v")
-
-
-def slant_to_ground(p: DataFrame, width: int, altitude: float | None) -> DataFrame:
-    """Resamples slant range to ground range about the centre; without an altitude nothing is changed."""
-    if altitude is None:
-        return p
-    centre = width / 2
-    half = int(centre)
-    reach = max(max(abs(x - centre) ** 2 - altitude**2, 0.0) for x in range(width)) ** 0.5 + 1e-6
-    source = [min(max((k * reach / (half - 1)) ** 2 + altitude**2, 0.0) ** 0.5, centre - 1) for k in range(half)]
-    at = [min(max(x, 0.0), width - 1.0) for x in [centre - 1 - s for s in reversed(source)] + [centre + s for s in source]]
-    lines = p.groupBy("frame", "ping").agg(F.transform(F.array_sort(F.collect_list(F.struct("bin", "v"))), lambda x: x["v"]).alias("line"))
-    new = F.transform(F.array(*map(F.lit, at)), lambda x: F.get("line", F.floor(x).cast("int")) * (1 - (x - F.floor(x))) + F.get("line", F.least(F.floor(x).cast("int") + 1, F.lit(width - 1))) * (x - F.floor(x)))
-    return lines.select("frame", "ping", F.posexplode(new).alias("bin", "v"))
-
-
-def median_filter(p: DataFrame, size: int = 3) -> DataFrame:
-    """The median of each square neighbourhood; edges are repeated outwards."""
-    half = size // 2
-
-    def gather(line: Column, i: Column) -> dict[str, Column]:
-        last = F.size(line) - 1
-        return {"v": F.flatten(F.array(*[F.get(line, F.greatest(F.lit(0), F.least(i + d, last)))["v"] for d in range(-half, half + 1)]))}
-
-    seeded = p.select("frame", "ping", "bin", F.array("v").alias("v"))
-    boxes = along(along(seeded, "bin", ("v",), gather), "ping", ("v",), gather)
-    return boxes.select("frame", "ping", "bin", F.get(F.array_sort("v"), F.lit(size * size // 2)).alias("v"))
-
-
-def contrast(p: DataFrame, factor: float) -> DataFrame:
-    """Shrinks each frame's values towards its mean."""
-    mean = F.avg("v").over(Window.partitionBy("frame"))
-    return p.withColumn("v", clip(mean + (F.col("v") - mean) * factor, 0.0, 1.0))
-
-
-def gain(p: DataFrame, factor: float) -> DataFrame:
-    return p.withColumn("v", clip(F.col("v") * factor, 0.0, 1.0))
-
-
-def speckle(p: DataFrame, sigma: float, seed: int = 0) -> DataFrame:
-    """Multiplicative noise of mean 1 that depends on frame, place and seed only, so that it can be made again."""
-    u = (F.pmod(F.xxhash64("frame", "ping", "bin", F.lit(seed)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    w = (F.pmod(F.xxhash64("bin", "ping", "frame", F.lit(seed + 1)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    normal = F.sqrt(-2 * F.ln(u)) * F.cos(2 * F.pi() * w)
-    return p.withColumn("v", clip(F.col("v") * F.exp(sigma * normal - sigma * sigma / 2), 0.0, 1.0))
 
 
 def patches(p: DataFrame, size: int, step: int) -> DataFrame:
@@ -283,86 +61,6 @@ def patches(p: DataFrame, size: int, step: int) -> DataFrame:
     return sized.withColumn("py", F.explode(starts("ping", "height"))).withColumn("px", F.explode(starts("bin", "width"))).select("frame", "py", "px", "ping", "bin", "v")
 
 
-#: Chains of steps by name.
-PROFILES: dict[str, tuple[str, ...]] = {
-    "none": (),
-    "minimal": ("dropouts", "stretch"),
-    "standard": ("dropouts", "lee", "gain", "stretch"),
-    "aggressive": ("dropouts", "band", "lee7", "gain", "stretch"),
-}
-
-
-def condition(p: DataFrame, profile: str, width: int) -> DataFrame:
-    """The steps of a profile in order; an unknown name is an error."""
-    if profile not in PROFILES:
-        raise ValueError(f"unknown profile {profile!r}; known are {sorted(PROFILES)}")
-    steps: dict[str, Callable[[DataFrame], DataFrame]] = {
-        "dropouts": repair_dropouts, "band": mask_water_column, "lee": lee_filter, "lee7": lambda d: lee_filter(d, 7), "gain": lambda d: gain_normalize(d, width), "stretch": stretch,
-    }
-    return reduce(lambda d, name: steps[name](d), PROFILES[profile], p)
-
-
-def region_features(p: DataFrame, boxes: DataFrame) -> DataFrame:
-    """Contrast, shadow, aspect, roughness, signal to noise and size rank of boxes (``frame, idx``, corners) in their frames.
-
-    The background is a ring of one and a half box sides and four pixels; a
-    strip to either side of the box tells the shadow. A frame's pixels meet its
-    boxes by one equi-join that is cut to each box's surroundings.
-    """
-    sides = {c: F.rint(c).cast("int") for c in ("x0", "y0", "x1", "y1")}
-    b = boxes.select("frame", "idx", *[v.alias(c) for c, v in sides.items()]).join(shapes(p), "frame")
-    wide, high = F.greatest(F.col("x1") - F.col("x0"), F.lit(1)), F.greatest(F.col("y1") - F.col("y0"), F.lit(1))
-    b = b.withColumn("bw", wide).withColumn("bh", high).withColumn("pad", F.floor(F.greatest("bw", "bh") * 1.5).cast("int") + 4).withColumn("strip", F.greatest(F.lit(4), F.floor(F.col("bw") * 1.2).cast("int")))
-    reach = F.greatest("pad", "strip")
-    near = p.join(b, "frame").filter((F.col("bin") >= F.col("x0") - reach) & (F.col("bin") < F.col("x1") + reach) & (F.col("ping") >= F.col("y0") - F.col("pad")) & (F.col("ping") < F.col("y1") + F.col("pad")))
-    rows = (F.col("ping") >= F.col("y0")) & (F.col("ping") < F.col("y1"))
-    inside = rows & (F.col("bin") >= F.col("x0")) & (F.col("bin") < F.col("x1"))
-    ring = ~inside & (F.col("bin") >= F.col("x0") - F.col("pad")) & (F.col("bin") < F.col("x1") + F.col("pad"))
-    left = rows & (F.col("bin") >= F.col("x0") - F.col("strip")) & (F.col("bin") < F.col("x0"))
-    right = rows & (F.col("bin") >= F.col("x1")) & (F.col("bin") < F.col("x1") + F.col("strip"))
-    of = lambda where: F.when(where, F.col("v"))
-    s = near.groupBy("frame", "idx", "bw", "bh", "height", "width").agg(
-        F.avg(of(inside)).alias("t_mean"), F.max(of(inside)).alias("t_max"), F.count(of(inside)).alias("t_n"), F.avg(of(ring)).alias("b_mean"), F.stddev_pop(of(ring)).alias("b_std"),
-        F.avg(of(left)).alias("l_mean"), F.avg(of(right)).alias("r_mean"),
-    ).filter("t_n >= 4")
-    dark = lambda c: (F.col("b_mean") - F.coalesce(c, F.col("b_mean"))) / (F.col("b_mean") + 1e-6)
-    share = F.greatest(F.col("bw") * F.col("bh") / (F.col("height") * F.col("width")), F.lit(1e-6))
-    return s.select(
-        "frame", "idx", clip((F.col("t_mean") - F.col("b_mean")) / (F.col("b_std") + 1e-6), -10.0, 10.0).alias("target_contrast"), clip(F.greatest(dark(F.col("l_mean")), dark(F.col("r_mean"))), 0.0, 1.0).alias("shadow_ratio"),
-        clip(F.greatest("bw", "bh") / F.least("bw", "bh"), 1.0, 20.0).alias("aspect_ratio"), clip(F.col("b_std"), 0.0, 1.0).alias("background_roughness"),
-        clip((F.col("t_max") - F.col("b_mean")) / (F.col("b_std") + 1e-6), -10.0, 20.0).alias("local_snr"), clip((F.log10(share) + 6) / 6, 0.0, 1.0).alias("size_rank"),
-    )
-
-
-def _cross(p: DataFrame, pick: Callable[..., Column]) -> DataFrame:
-    """The least or greatest of a pixel and its four neighbours; what lies outside does not count."""
-    down, side = Window.partitionBy("frame", "bin").orderBy("ping"), Window.partitionBy("frame", "ping").orderBy("bin")
-    around = [F.lag("v").over(down), F.lead("v").over(down), F.lag("v").over(side), F.lead("v").over(side)]
-    return p.select("frame", "ping", "bin", pick(F.col("v"), *around).alias("v"))
-
-
-def morphology(p: DataFrame, op: str = "open") -> DataFrame:
-    """Opening, closing or top hat of 8-bit levels by the three by three ellipse, which is a cross."""
-    levels = p.withColumn("v", F.floor(clip(F.col("v"), 0.0, 1.0) * 255) / 255)
-    if op == "close":
-        return _cross(_cross(levels, F.greatest), F.least)
-    opened = _cross(_cross(levels, F.least), F.greatest)
-    if op == "open":
-        return opened
-    if op == "tophat":
-        return levels.join(opened.withColumnRenamed("v", "o"), ["frame", "ping", "bin"]).select("frame", "ping", "bin", (F.col("v") - F.col("o")).alias("v"))
-    raise ValueError(f"unknown operation {op!r}")
-
-
-def check_geometry_safe(profile: str | Sequence[str]) -> None:
-    """Refuses a profile, by name or as its steps, that moves pixels, as labels could not be copied; an unknown name is an error."""
-    if isinstance(profile, str) and profile not in PROFILES:
-        raise ValueError(f"unknown profile {profile!r}; known are {sorted(PROFILES)}")
-    moving = {"split", "slant"} & set(PROFILES[profile] if isinstance(profile, str) else profile)
-    if moving:
-        raise ValueError(f"profile {profile!r} moves pixels ({', '.join(sorted(moving))}); labels would no longer fit")
-
-
 def target_stats(p: DataFrame, boxes: DataFrame, pad: int = 20) -> DataFrame:
     """``frame, n, area, contrast``: how many boxes each frame has, their mean share of it, and how far their peaks stand above their surroundings.
 
@@ -386,17 +84,3 @@ def target_stats(p: DataFrame, boxes: DataFrame, pad: int = 20) -> DataFrame:
 def replicate(p: DataFrame, channels: int = 3) -> DataFrame:
     """Pixels with ``v`` repeated over ``channels``: grey stays grey, as a colour map would invent structure."""
     return p.withColumn("v", F.array_repeat("v", channels))
-
-
-def process(p: DataFrame, boxes: DataFrame, width: int, profile: str = "none", rules: RuleFilter = RuleFilter(), platt: Platt = Platt()) -> DataFrame:  # noqa: B008
-    """A frame from quality control to verdicts: one row per candidate box with at least four pixels.
-
-    ``boxes`` (``frame, idx``, corners, ``raw``) are the detector's. Quality is
-    judged on the frame as recorded, features on the conditioned frame. Adds
-    ``quality_score, reason, accepted, confidence, band`` to the features.
-    """
-    seen = condition(p, profile, width)
-    features = region_features(seen, boxes).join(boxes.select("frame", "idx", "raw"), ["frame", "idx"])
-    named = features.withColumns({"snr": F.col("local_snr"), "shadow": F.col("shadow_ratio"), "aspect": F.col("aspect_ratio")}).join(assess(p).select("frame", "quality_score"), "frame")
-    judged = named.withColumn("reason", rules.reasons()).withColumn("confidence", fused(platt.transform(F.col("raw")), rules.score()))
-    return judged.withColumn("accepted", F.col("reason") == "").withColumn("band", confidence_band(100 * F.col("confidence"))).drop("snr", "shadow", "aspect")

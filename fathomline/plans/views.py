@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.geo import circle
+from fathomline.operators.images import from_pings
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -127,6 +128,16 @@ def pings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("frame", "ping", "bin", F.when(dead, 0.0).when(dark, v * 0.05).otherwise(v).alias("v"))
 
 
+def frame_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The frames of ``pings`` as one row each: ``frame, height, width, pixels``."""
+    v = lambda e: (e.cast("double") + 0.6) / 1.2
+    frame, ping = F.floor(F.col("vec_id") / 50), F.col("vec_id") % 50
+    dark = lambda b: (frame % 2 == 0) & b.between(27, 36) & (b != 32)
+    dead = (frame % 3 == 0) & (ping == 30)
+    samples = F.transform("embedding", lambda e, b: F.when(dead, 0.0).when(dark(b), v(e) * 0.05).otherwise(v(e)))
+    return from_pings(read(spark, sf_dir, "embeddings").select(frame.alias("frame"), ping.alias("ping"), samples.alias("samples")))
+
+
 PINGS = """raw AS (
     SELECT CAST(floor(vec_id / 50) AS BIGINT) AS frame, vec_id % 50 AS ping, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS bin, unnest(embedding)::DOUBLE AS e FROM embeddings
 ), pings AS (

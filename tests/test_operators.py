@@ -10,7 +10,7 @@ from fathomline.functions import confidence as C
 from fathomline.functions import geo as G
 from fathomline.functions import priority as P
 from fathomline.functions.boxes import ios, iou
-from fathomline.operators import calibration, dedup, frames, matching, navigation, reports, store
+from fathomline.operators import calibration, dedup, matching, navigation, reports, store
 from fathomline.sources import readers, writers
 
 BOX = "frame int, idx int, x0 double, y0 double, x1 double, y1 double, score double, cls string"
@@ -143,33 +143,6 @@ def test_priority_halves_without_quality(spark):
     assert r.bad == pytest.approx(r.good / 2)
 
 
-def frame(spark):
-    """400 by 400: a dark band with a bright line, a target with a shadow, and a dead row."""
-    rng = np.random.default_rng(42)
-    v = np.clip(rng.gamma(4, 0.04, (400, 400)) * (1 - 0.5 * np.abs(np.linspace(-1, 1, 400))), 0, 1)
-    v[:, 185:215] *= 0.05
-    v[:, 199:201] = 0.9
-    v[150:165, 300:318], v[150:165, 318:340], v[300] = 0.85, 0.02, 0.0
-    rows = [(0, i, [float(x) for x in r]) for i, r in enumerate(v)]
-    return spark.createDataFrame(rows, "frame int, ping int, s array<double>").select("frame", "ping", F.posexplode("s").alias("bin", "v"))
-
-
-def test_quality_of_a_planted_frame(spark):
-    p = frame(spark).cache()
-    q = frames.assess(p).first()
-    assert q.band_start <= 190 and q.band_end >= 210
-    assert q.dropout_ratio == pytest.approx(1 / 400)
-    repaired = frames.repair_dropouts(p)
-    assert frames.dropout_rows(repaired).filter("dead").count() == 0
-    smooth = frames.lee_filter(p)
-    assert frames.speckle_index(smooth).first().speckle_index < frames.speckle_index(p).first().speckle_index
-    flat = p.withColumn("v", F.lit(0.4))
-    assert frames.water_column(flat).count() == 0
-    assert frames.region_features(p, spark.createDataFrame([(0, 1, 300.0, 150.0, 318.0, 165.0)], "frame int, idx int, x0 double, y0 double, x1 double, y1 double")).first().shadow_ratio > 0.5
-    with pytest.raises(ValueError):
-        frames.condition(p, "nothing", 400)
-
-
 def test_readers(spark, tmp_path):
     (tmp_path / "nav.csv").write_text("# banner\n; more\nPing,LAT,Lon,Hdg\n0,12.9,80.3,350\n1,bad,80.3,1\n2,12.8,80.2,\n")
     nav = readers.nav_table(readers.lines(spark, str(tmp_path / "nav.csv"))).orderBy("ping").collect()

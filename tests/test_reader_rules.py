@@ -1,4 +1,4 @@
-"""Navigation headers of each file, grey of colours, and the guard of profiles that move pixels."""
+"""Navigation headers of each file, and grey of colours."""
 
 import struct
 import zlib
@@ -6,7 +6,6 @@ import zlib
 import numpy as np
 import pytest
 
-from fathomline.operators import frames
 from fathomline.sources import readers
 
 
@@ -34,11 +33,3 @@ def test_grey_of_colours():
     assert readers.decode_raster(png(pure)).tolist() == [[76, 150, 29, 255]]
     flat = np.full((2, 2, 1), 700, dtype=np.uint16)
     assert readers.decode_raster(png(flat)).tolist() == [[0, 0], [0, 0]]
-
-
-def test_guard_of_moving_profiles():
-    frames.check_geometry_safe("standard")
-    with pytest.raises(ValueError):
-        frames.check_geometry_safe(("dropouts", "slant"))
-    with pytest.raises(ValueError):
-        frames.check_geometry_safe("no such profile")
