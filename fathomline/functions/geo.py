@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -63,56 +61,6 @@ def error_budget(ground: Column, altitude: Column, max_range: float, half_column
     return {**terms, "uncertainty_m": F.sqrt(total)}
 
 
-def let(values: dict[str, Column], then: Callable[[Column], Column]) -> Column:
-    """``then`` of a struct of ``values``: each is worked out once, however often it is used."""
-    return F.get(F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), then), F.lit(0))
-
-
-def geodesic_forward(lat: Column, lon: Column, azimuth: Column, distance: Column, rounds: int = 5) -> Column:
-    """Where ``distance`` metres from a point along ``azimuth`` lead: struct(lat, lon), by the direct geodesic series.
-
-    The iteration for the arc length is unrolled; five rounds are exact to far
-    below a millimetre at survey distances.
-    """
-    b = SEMI_MAJOR * (1 - FLATTENING)
-
-    def series(g: Column) -> Column:
-        u2 = g["u2"]
-        big_a = 1 + u2 / 16384 * (4096 + u2 * (-768 + u2 * (320 - 175 * u2)))
-        big_b = u2 / 1024 * (256 + u2 * (-128 + u2 * (74 - 47 * u2)))
-        return let({"g": g, "big_b": big_b, "first": g["distance"] / (b * big_a), "sigma": g["distance"] / (b * big_a)}, lambda s: turn(s, rounds))
-
-    def turn(s: Column, left: int) -> Column:
-        if not left:
-            return ended(s["g"], s["sigma"])
-        return let({"s": s, "c": F.cos(2 * s["g"]["sigma1"] + s["sigma"])}, lambda m: improved(m["s"], m["c"], left))
-
-    def improved(s: Column, c: Column, left: int) -> Column:
-        big_b, sigma = s["big_b"], s["sigma"]
-        last = big_b / 6 * c * (F.pow(F.sin(sigma), F.lit(2)) * 4 - 3) * (c * c * 4 - 3)
-        better = s["first"] + big_b * F.sin(sigma) * (c + big_b / 4 * (F.cos(sigma) * (c * c * 2 - 1) - last))
-        return let({"g": s["g"], "big_b": big_b, "first": s["first"], "sigma": better}, lambda n: turn(n, left - 1))
-
-    def ended(g: Column, sigma: Column) -> Column:
-        u1, a1, sin_a, cos2_a = g["u1"], g["a1"], g["sin_a"], g["cos2_a"]
-        c = F.cos(2 * g["sigma1"] + sigma)
-        across = F.sin(u1) * F.sin(sigma) - F.cos(u1) * F.cos(sigma) * F.cos(a1)
-        lat2 = F.atan2(F.sin(u1) * F.cos(sigma) + F.cos(u1) * F.sin(sigma) * F.cos(a1), (1 - FLATTENING) * F.sqrt(sin_a * sin_a + across * across))
-        swung = F.atan2(F.sin(sigma) * F.sin(a1), F.cos(u1) * F.cos(sigma) - F.sin(u1) * F.sin(sigma) * F.cos(a1))
-        k = FLATTENING / 16 * cos2_a * (4 + FLATTENING * (4 - 3 * cos2_a))
-        swing = swung - (1 - k) * FLATTENING * sin_a * (sigma + k * F.sin(sigma) * (c + k * F.cos(sigma) * (c * c * 2 - 1)))
-        return F.struct(F.degrees(lat2).alias("lat"), (g["lon"] + F.degrees(swing)).alias("lon"))
-
-    def begun(v: Column) -> Column:
-        sin_a = F.cos(v["u1"]) * F.sin(v["a1"])
-        cos2_a = 1 - sin_a * sin_a
-        sigma1 = F.atan2(F.tan(v["u1"]), F.cos(v["a1"]))
-        parts = {"u1": v["u1"], "a1": v["a1"], "lon": v["lon"], "distance": v["distance"], "sin_a": sin_a, "cos2_a": cos2_a, "sigma1": sigma1, "u2": cos2_a * ((SEMI_MAJOR**2 - b**2) / b**2)}
-        return let(parts, series)
-
-    return let({"u1": F.atan((1 - FLATTENING) * F.tan(F.radians(lat))), "a1": F.radians(azimuth), "lon": lon, "distance": distance}, begun)
-
-
 def utm_zone(lon: Column) -> Column:
     return F.floor((lon + 180) / 6).cast("int") + 1
 
@@ -137,6 +85,65 @@ def utm_project(lat: Column, lon: Column, zone: Column, south: Column) -> tuple[
     return F.lit(500000.0) + 0.9996 * radius * east, F.when(south, 10000000.0).otherwise(0.0) + 0.9996 * radius * north
 
 
+def utm_unproject(east: Column, north: Column, zone: Column, south: Column) -> tuple[Column, Column]:
+    """(latitude, longitude) by the inverse of the transverse Mercator series, to the fourth order in n: far below a millimetre."""
+    n = FLATTENING / (2 - FLATTENING)
+    radius = SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    xi = (north - F.when(south, 10000000.0).otherwise(0.0)) / (0.9996 * radius)
+    eta = (east - 500000.0) / (0.9996 * radius)
+    up, side = xi, eta
+    for j, b in enumerate(beta, start=1):
+        up = up - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        side = side - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(up) / F.cosh(side))
+    phi = chi
+    for j, d in enumerate(delta, start=1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return F.degrees(phi), (zone * 6 - 183) + F.degrees(F.atan2(F.sinh(side), F.cos(up)))
+
+
+def crs_kind(epsg: Column) -> Column:
+    """"geographic" for degrees on WGS84, "utm" for its zones, null for systems that are not known here."""
+    zone = epsg % 100
+    return F.when(epsg == 4326, "geographic").when((F.floor(epsg / 100).isin(326, 327)) & zone.between(1, 60), "utm")
+
+
+def to_wgs84(x: Column, y: Column, epsg: Column) -> tuple[Column, Column]:
+    """(latitude, longitude) of map coordinates; null where the system is not known here."""
+    lat, lon = utm_unproject(x, y, epsg % 100, F.floor(epsg / 100) == 327)
+    kind = crs_kind(epsg)
+    return F.when(kind == "geographic", y).when(kind == "utm", lat), F.when(kind == "geographic", x).when(kind == "utm", lon)
+
+
+def locate(x: Column, y: Column, georef: Column, height: Column, width: Column, pixels: float = 1.0) -> Column:
+    """Where a pixel of a georeferenced raster lies: struct(latitude, longitude, uncertainty_m, method, confidence, pixel_size_m).
+
+    Null where ``georef`` (struct of affine and epsg) is null or its system is
+    not known here: no place is made up. The uncertainty is the size of a
+    pixel, or of ``pixels`` of them; the error of the rectification is not in it.
+    """
+    a = [F.get(georef["affine"], F.lit(k)) for k in range(6)]
+    epsg = georef["epsg"]
+    at = lambda u, v: (a[0] * u + a[1] * v + a[2], a[3] * u + a[4] * v + a[5])
+    lat, lon = to_wgs84(*at(x, y), epsg)
+    middle = at(width / 2, height / 2)[1]
+    size = F.when(crs_kind(epsg) == "utm", F.sqrt(a[0] * a[0] + a[3] * a[3])).otherwise(F.abs(a[0]) * METRES_PER_DEGREE * F.greatest(F.cos(F.radians(middle)), F.lit(1e-6)))
+    uncertainty = size * max(pixels, 1.0)
+    fix = F.struct(
+        lat.alias("latitude"), lon.alias("longitude"), uncertainty.alias("uncertainty_m"), F.lit("geotiff_affine").alias("method"), uncertainty_band(uncertainty).alias("confidence"), size.alias("pixel_size_m")
+    )
+    return F.when(lat.isNotNull(), fix)
+
+
+def describe_georeference(georef: Column) -> Column:
+    """What a report says of a raster's georeference: struct(available, method, epsg, note)."""
+    known = crs_kind(georef["epsg"]).isNotNull()
+    note = F.when(georef.isNull(), "no georeferencing in the file").when(~known, "coordinate system not supported").otherwise("uncertainty is that of the raster's resolution only")
+    return F.struct((georef.isNotNull() & known).alias("available"), F.when(georef.isNotNull() & known, "geotiff_affine").otherwise("none").alias("method"), georef["epsg"].alias("epsg"), note.alias("note"))
+
+
 def affine(x: Column, y: Column, a: tuple[float, ...]) -> tuple[Column, Column]:
     """Pixel to map coordinates by the six affine terms of a raster."""
     return a[0] * x + a[1] * y + a[2], a[3] * x + a[4] * y + a[5]

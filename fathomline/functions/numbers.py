@@ -20,11 +20,6 @@ def ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def steady(x: Column) -> Column:
-    """To six decimals; hundredths of a millionth and means of a few millionths are far from where this steps."""
-    return F.floor(x * 1e6 + 0.3003) / 1e6
-
-
 def feature_map(*names: str) -> Column:
     """A map from feature to value at four decimals; what is not finite is 0."""
     finite = lambda c: F.when(F.isnan(c) | F.col(c).isNull() | (F.abs(F.col(c)) == float("inf")), F.lit(0.0)).otherwise(F.bround(c, 4))

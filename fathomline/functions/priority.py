@@ -24,6 +24,8 @@ OTHER_HARM = 0.4
 
 @dataclass(frozen=True)
 class Weights:
+    """How much each factor counts. The defaults are fixed values of the priority rule."""
+
     confidence: float = 0.35
     hazard_class: float = 0.25
     size: float = 0.15

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.numbers import ratio
+from fathomline.session import checkpoint
 
 
 def reliability_bins(scored: DataFrame, bins: int = 10) -> DataFrame:
@@ -71,7 +72,8 @@ def roc_auc(scored: DataFrame, id_col: str) -> DataFrame:
     """
     per = scored.groupBy("score").agg(F.sum("label").cast("long").alias("p"), F.sum(1 - F.col("label")).cast("long").alias("m"))
     parts = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = per.repartitionByRange(parts, "score").withColumn("part", F.spark_partition_id()).persist()
+    # Written, as a range that is dealt anew after a lost executor could have other bounds.
+    ranged = checkpoint(per.repartitionByRange(parts, "score").withColumn("part", F.spark_partition_id()))
     inside = Window.partitionBy("part").orderBy("score")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("part").agg(F.sum("m").alias("m")).withColumn("below", F.coalesce(F.sum("m").over(before), F.lit(0))).drop("m")

@@ -2,43 +2,84 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.boxes import iou
-from fathomline.functions.geo import METRES_PER_DEGREE, haversine_m
+from fathomline.functions.geo import haversine_m
+from fathomline.session import checkpoint
+
+
+#: Cells of the finest grid, in metres; each level is twice as coarse as the one before.
+FINEST_M = 1.0
+#: Less than a degree has anywhere, so that cells are never too narrow.
+LEAST_METRES_PER_DEGREE = 110_000.0
+COARSEST_LEVEL = 25
+
+
+def _level(reach: Column) -> Column:
+    """The first grid whose cells are as wide as twice a row's own reach."""
+    wide = 2 * reach / FINEST_M
+    return F.least(F.lit(COARSEST_LEVEL), F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(wide, F.lit(1e-9))))).cast("int"))
+
 
+def _row_of(lat: Column, level: Column) -> Column:
+    return F.floor(lat * LEAST_METRES_PER_DEGREE / (FINEST_M * F.pow(F.lit(2.0), level))).cast("long")
 
-def geographic_edges(obs: DataFrame, radius_m: float = 12.0, largest_uncertainty_m: float | None = None, class_aware: bool = True) -> DataFrame:
-    """``a, b`` of observations (``obs, cls, lat, lon, unc``) whose distance is at most the radius and half their uncertainties.
 
-    Positions go to a grid whose cells are as wide as the largest reach, and
-    each meets its own and the neighbouring cells by an equi-join; the exact
-    distance decides. A position far north or south looks wider in longitude,
-    so a cell's width there follows its row's latitude. The reach is one
-    number, computed first if it is not given.
+def _column_of(lon: Column, row: Column, level: Column) -> tuple[Column, Column]:
+    """(column, number of columns) of a longitude in a row of cells.
+
+    A row has a whole number of columns around the globe, as many as leave each
+    wide enough for the row itself and its neighbours, so the last is beside the first.
     """
-    if largest_uncertainty_m is None:
-        largest_uncertainty_m = obs.agg(F.max("unc")).first()[0] or 0.0
-    reach = (radius_m + largest_uncertainty_m) / (METRES_PER_DEGREE * 0.99)
-    located = obs.filter("lat is not null and lon is not null").select("obs", "cls", "lat", "lon", F.coalesce("unc", F.lit(0.0)).alias("unc"))
-    # The row of the lower neighbour sets the longitude scale, for both sides of a pair alike.
-    row = F.floor(F.col("lat") / reach)
-
-    def column(r) -> F.Column:
-        scale = F.greatest(F.cos(F.radians(F.least(F.abs(r) + 2, F.lit(math.floor(89.9 / reach))) * reach)), F.lit(1e-3))
-        return F.floor(F.col("lon") * scale / reach)
-
-    left = located.withColumn("row", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: row + d)))
-    left = left.withColumn("col", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: column(F.col("row")) + d)))
-    right = located.select(*[F.col(c).alias(f"b_{c}") for c in ("obs", "cls", "lat", "lon", "unc")], row.alias("row"), column(row).alias("col"))
-    pairs = left.join(right, ["row", "col"]).filter(F.col("obs") < F.col("b_obs"))
-    if class_aware:
-        pairs = pairs.filter("cls = b_cls")
-    near = haversine_m(F.col("lat"), F.col("lon"), F.col("b_lat"), F.col("b_lon")) <= radius_m + 0.5 * (F.col("unc") + F.col("b_unc"))
-    return pairs.filter(near).select(F.col("obs").alias("a"), F.col("b_obs").alias("b")).distinct()
+    degrees = FINEST_M * F.pow(F.lit(2.0), level) / LEAST_METRES_PER_DEGREE
+    farthest = F.least(F.lit(90.0), F.greatest(F.abs((row - 1) * degrees), F.abs((row + 2) * degrees)))
+    wide = 1.01 * degrees / F.greatest(F.cos(F.radians(farthest)), F.lit(1e-12))
+    n = F.when(wide > 30, F.lit(1)).otherwise(F.floor(360 / wide)).cast("long")
+    return F.pmod(F.floor((lon + 180) / 360 * n).cast("long"), n), n
+
+
+def geographic_edges(obs: DataFrame, radius_m: float = 12.0, class_aware: bool = True) -> DataFrame:
+    """``a, b`` (a before b) of observations (``obs, cls, lat, lon, unc``) whose distance is at most the radius and half their uncertainties.
+
+    A row's own reach is half of the radius and of its uncertainty, so a pair
+    is no farther apart than both reaches. Rows lie on grids of doubling cells:
+    each looks around itself on the first whose cells are twice its reach, and
+    is there to be found on that one and on all coarser ones in use. So one
+    poor fix widens its own cells only. Rows of cells close around the globe,
+    and the class is part of a cell's key. Each pair meets in one cell once.
+    Rows without a position are in no pair; a missing uncertainty counts as 0.
+    """
+    unc = F.coalesce("unc", F.lit(0.0))
+    located = obs.filter("lat is not null and lon is not null").select("obs", F.col("cls") if class_aware else F.lit(0).alias("cls"), "lat", "lon", unc.alias("unc"), _level(0.5 * (radius_m + unc)).alias("level"))
+    used = sorted(located.agg(F.collect_set("level")).first()[0] or [])  # at most COARSEST_LEVEL + 1
+    if not used:
+        return obs.select(F.col("obs").alias("a"), F.col("obs").alias("b")).limit(0)
+    there = located.withColumn("grid", F.explode(F.filter(F.array(*map(F.lit, used)), lambda g: g >= F.col("level")))).withColumn("row", _row_of(F.col("lat"), F.col("grid")))
+    there = there.withColumn("col", _column_of(F.col("lon"), F.col("row"), F.col("grid"))[0])
+    there = there.select("grid", "row", "col", "cls", *[F.col(c).alias(f"o_{c}") for c in ("obs", "lat", "lon", "unc", "level")])
+    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
+    here = located.withColumn("row", F.explode(F.transform(steps, lambda d: _row_of(F.col("lat"), F.col("level")) + d)))
+    column, n = _column_of(F.col("lon"), F.col("row"), F.col("level"))
+    here = here.withColumn("col", F.explode(F.array_distinct(F.transform(steps, lambda d: F.pmod(column + d, n))))).withColumnRenamed("level", "grid")
+    met = here.join(there, ["grid", "row", "col", "cls"]).filter((F.col("o_level") < F.col("grid")) | (F.col("obs") < F.col("o_obs"))).filter("obs <> o_obs")
+    near = haversine_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= radius_m + 0.5 * (F.col("unc") + F.col("o_unc"))
+    return met.filter(near).select(F.least("obs", "o_obs").alias("a"), F.greatest("obs", "o_obs").alias("b"))
+
+
+def geographic_links(obs: DataFrame, radius_m: float = 12.0, class_aware: bool = True) -> DataFrame:
+    """Links that connect what ``geographic_edges`` connects, without the pairs among rows at one place.
+
+    Rows of one class at one position are all linked to the one of largest
+    uncertainty, which reaches as far as any of them; only those meet others.
+    """
+    located = obs.filter("lat is not null and lon is not null").withColumn("unc", F.coalesce("unc", F.lit(0.0)))
+    place = ["cls", "lat", "lon"] if class_aware else ["lat", "lon"]
+    at = located.groupBy(*place).agg(F.max_by(F.struct("obs", "cls", "unc"), F.struct("unc", -F.col("obs"))).alias("one"), F.array_sort(F.collect_set("obs")).alias("all"))
+    ones = at.select("lat", "lon", "one.*") if not class_aware else at.select("lat", "lon", F.col("one.obs").alias("obs"), F.col("one.cls").alias("cls"), F.col("one.unc").alias("unc"))
+    star = at.select(F.col("one.obs").alias("a"), F.explode("all").alias("b")).filter("a <> b")
+    return geographic_edges(ones, radius_m, class_aware).unionByName(star)
 
 
 def sequence_edges(obs: DataFrame, gap: int = 3, least_iou: float = 0.20, class_aware: bool = True) -> DataFrame:
@@ -56,52 +97,68 @@ def sequence_edges(obs: DataFrame, gap: int = 3, least_iou: float = 0.20, class_
     return pairs.filter(iou("a_", "b_") >= least_iou).select(F.col("a_obs").alias("a"), F.col("b_obs").alias("b"))
 
 
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the cluster names; local sessions get one of their own."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and sc._jsc.sc().getCheckpointDir().isEmpty():
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="fathomline-"))
-    return df.checkpoint()
-
-
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``obs, cluster``: each observation with the least one it is connected to.
 
     In a round every node takes the least label around it, then that label's
     own label, so long chains need few rounds.
     """
-    both = _checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
+    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     labels = nodes.select("obs", F.col("obs").alias("cluster"))
-    linked = _checkpoint(both.select(F.col("a").alias("obs")).distinct().withColumn("cluster", F.col("obs")))
+    linked = checkpoint(both.select(F.col("a").alias("obs")).distinct().withColumn("cluster", F.col("obs")))
     while True:
         around = both.join(linked.withColumnRenamed("obs", "b"), "b").groupBy("a").agg(F.min("cluster").alias("near")).withColumnRenamed("a", "obs")
         lower = linked.join(around, "obs").select("obs", "cluster", F.least("cluster", "near").alias("next"))
         jump = lower.select(F.col("obs").alias("next"), F.col("next").alias("jump"))
-        stepped = _checkpoint(lower.join(jump, "next").select("obs", F.least("next", "jump").alias("cluster"), (F.least("next", "jump") < F.col("cluster")).alias("changed")))
+        stepped = checkpoint(lower.join(jump, "next").select("obs", F.least("next", "jump").alias("cluster"), (F.least("next", "jump") < F.col("cluster")).alias("changed")))
         linked = stepped.select("obs", "cluster")
         if stepped.filter("changed").isEmpty():
             return labels.join(linked.withColumnRenamed("cluster", "linked"), "obs", "left").select("obs", F.coalesce("linked", "cluster").alias("cluster"))
 
 
+def association_mode(obs: DataFrame) -> str:
+    """How observations can be told apart: "geographic" if all have a position, "sequence" if none has, else "mixed"."""
+    n, located = obs.agg(F.count(F.lit(1)), F.count_if(F.col("lat").isNotNull() & F.col("lon").isNotNull())).first()
+    return "geographic" if located == n else "mixed" if located else "sequence"
+
+
+def associate(obs: DataFrame, radius_m: float = 12.0, gap: int = 3, least_iou: float = 0.20, class_aware: bool = True) -> tuple[DataFrame, str]:
+    """(``obs, cluster``, mode): positions decide where every observation has one; otherwise overlap in neighbouring frames decides for all.
+
+    The choice is one aggregate. A survey of which some rows have no position
+    goes by the sequence as a whole, so that two ways of telling don't mix.
+    """
+    mode = association_mode(obs)
+    links = geographic_links(obs, radius_m, class_aware) if mode == "geographic" else sequence_edges(obs, gap, least_iou, class_aware)
+    return components(obs, links), mode
+
+
+def steady_mean(column: str) -> Column:
+    """The mean to a billionth, from a sum of whole billionths: the same in whatever order rows are added."""
+    return F.sum(F.rint(F.col(column) * 1e9).cast("long")) / F.count(column) / 1e9
+
+
+#: What an observation may bring along for its hazard's record, where it is the best one.
+EVIDENCE = ("raw", "quality", "calibrated", "reason", "shadow_ratio", "texture_homogeneity", "method")
+
+
 def rollup(obs: DataFrame, clusters: DataFrame) -> DataFrame:
     """One row per cluster: counts, confidences, mean position and its spread, uncertainty, mean box and the best member.
 
     Averaging n fixes lowers the uncertainty by the root of n, down to a half.
-    A position is the mean of the members that have one.
+    A position is the mean of the members that have one. Columns of EVIDENCE
+    that ``obs`` has go with the best member.
     """
     member = obs.join(clusters, "obs")
-    best = F.max_by(F.struct("obs", "cls", "frame_index", "x0", "y0", "x1", "y1"), F.struct("confidence", -F.col("obs")))
+    brought = [c for c in EVIDENCE if c in obs.columns]
+    best = F.max_by(F.struct("obs", "cls", "frame_index", "x0", "y0", "x1", "y1", *brought), F.struct("confidence", -F.col("obs")))
     first = F.min_by(F.struct("frame_index", "x0"), "obs")
     total = member.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("observation_count"),
         F.max("confidence").alias("best_confidence"),
-        F.avg("confidence").alias("mean_confidence"),
-        F.avg("lat").alias("lat"),
-        F.avg("lon").alias("lon"),
+        steady_mean("confidence").alias("mean_confidence"),
+        steady_mean("lat").alias("lat"),
+        steady_mean("lon").alias("lon"),
         F.count("lat").alias("_located"),
         F.avg("unc").alias("_unc"),
         F.count("unc").alias("_fixes"),
@@ -117,7 +174,7 @@ def rollup(obs: DataFrame, clusters: DataFrame) -> DataFrame:
     return total.join(far, "cluster", "left").drop("_located", "_unc", "_fixes")
 
 
-def number(hazards: DataFrame, prefix: str = "AQS") -> DataFrame:
+def number(hazards: DataFrame, prefix: str = "HAZ") -> DataFrame:
     """Adds ``hazard_id`` in the order of each cluster's first member: by frame, then by its left edge.
 
     Rows are ranked inside ranges of the order, and each range starts where
@@ -125,7 +182,7 @@ def number(hazards: DataFrame, prefix: str = "AQS") -> DataFrame:
     """
     key = ["first.frame_index", "first.x0", "cluster"]
     parts = hazards.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    ranged = _checkpoint(hazards.repartitionByRange(int(parts), *key).withColumn("_part", F.spark_partition_id()))
+    ranged = checkpoint(hazards.repartitionByRange(int(parts), *key).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = ranged.groupBy("_part").count().withColumn("_ahead", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     ranked = ranged.withColumn("_k", F.row_number().over(Window.partitionBy("_part").orderBy(*key))).join(F.broadcast(starts), "_part")  # one row a partition

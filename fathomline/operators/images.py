@@ -399,7 +399,7 @@ def perturbed(image: Image, condition: str, level: float | None, seed: list[int]
 
 
 def robustness_candidates(frames: DataFrame, boxes: DataFrame, profile: str | Conditioning, conditions: tuple[tuple[str, float | None], ...] = CONDITIONS, seed: int = 7) -> DataFrame:
-    """``condition, level`` and what ``process`` finds for every box in every frame under every condition, before the verdict.
+    """``k`` (a condition's place) and what ``process`` finds for every box in every frame under every condition, before the verdict.
 
     All conditions of a frame are made where it lies; frames are not copied in
     a shuffle. The noise depends on frame, condition and seed alone.
@@ -411,9 +411,21 @@ def robustness_candidates(frames: DataFrame, boxes: DataFrame, profile: str | Co
         for k, (name, level) in enumerate(conditions):
             changed = perturbed(R.to_unit(image), name, level, [seed, zlib.crc32(str(row["frame"]).encode()), k])
             for found in examined(changed, row["boxes"], c):
-                yield {"condition": name, "level": level, **found}
+                yield {"k": k, **found}
 
-    return _with_quality(each(with_boxes(frames, boxes, "raw"), work, f"condition string, level double, {examined_schema(kind)}", "boxes"))
+    return _with_quality(each(with_boxes(frames, boxes, "raw"), work, f"k int, {examined_schema(kind)}", "boxes"))
+
+
+def compared(frames: DataFrame, found: DataFrame, truths: DataFrame, variants: int, threshold: float) -> DataFrame:
+    """The survey's metrics of each variant ``k`` of accepted boxes, and the share of the first one's recall that is kept (null where that is 0)."""
+    keys = ["k", "frame"]
+    dets = found.select("k", "frame", "idx", "x0", "y0", "x1", "y1", F.col("confidence").alias("score"), F.lit(0).alias("cls"))
+    every = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.lit(variants - 1))).alias("k"))
+    spread = every(truths)
+    counts = match_counts(every(frames.select("frame")), dets, spread, greedy_match(dets, spread, keys, threshold), keys)
+    metrics = survey_metrics(counts, "k")
+    first = metrics.filter("k = 0").select(F.col("recall").alias("_first"))
+    return metrics.crossJoin(F.broadcast(first)).withColumn("recall_retained", F.when(F.col("_first") > 0, F.col("recall") / F.col("_first"))).drop("_first")  # one row
 
 
 def robustness(frames: DataFrame, boxes: DataFrame, truths: DataFrame, profile: str | Conditioning = "standard", rules: RuleFilter | LinearFilter | None = RuleFilter(), platt: Platt = Platt(), threshold: float = 0.3, conditions: tuple[tuple[str, float | None], ...] = CONDITIONS, seed: int = 7) -> DataFrame:  # noqa: B008
@@ -423,16 +435,20 @@ def robustness(frames: DataFrame, boxes: DataFrame, truths: DataFrame, profile:
     truths count, too. Null where the first condition's recall is 0.
     """
     found = verdicts(robustness_candidates(frames, boxes, profile, conditions, seed), rules, platt).filter("accepted")
-    grid = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(name).alias("condition"), F.lit(level).cast("double").alias("level")) for k, (name, level) in enumerate(conditions)])
-    # A condition is named by its place in the table, as a level may be null.
-    number = F.array_position(F.transform(grid, lambda g: F.struct(g["condition"], F.coalesce(g["level"], F.lit(-1.0)))), F.struct(F.col("condition"), F.coalesce(F.col("level"), F.lit(-1.0)))) - 1
-    dets = found.select("frame", "idx", "x0", "y0", "x1", "y1", F.col("confidence").alias("score"), F.lit(0).alias("cls"), number.cast("int").alias("k"))
-    keys = ["k", "frame"]
-    every = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(conditions) - 1))).alias("k"))
-    spread = every(truths)
-    counts = match_counts(every(frames.select("frame")), dets, spread, greedy_match(dets, spread, keys, threshold), keys)
-    metrics = survey_metrics(counts, "k")
-    first = metrics.filter("k = 0").select(F.col("recall").alias("first_recall"))
-    kept = F.when(F.col("first_recall") > 0, F.col("recall") / F.col("first_recall"))
-    named = F.get(grid, F.col("k"))
-    return metrics.crossJoin(F.broadcast(first)).select(named["condition"].alias("condition"), named["level"].alias("level"), *[c for c in metrics.columns if c != "k"], kept.alias("recall_retained"))  # one row
+    metrics = compared(frames, found, truths, len(conditions), threshold)
+    named = F.get(F.array(*[F.struct(F.lit(name).alias("condition"), F.lit(level).cast("double").alias("level")) for name, level in conditions]), F.col("k"))
+    return metrics.select(named["condition"].alias("condition"), named["level"].alias("level"), *[c for c in metrics.columns if c != "k"])
+
+
+def ablation(frames: DataFrame, boxes: DataFrame, truths: DataFrame, profiles: Mapping[str, Conditioning] = PROFILES, rules: RuleFilter | LinearFilter | None = RuleFilter(), platt: Platt = Platt(), threshold: float = 0.3) -> DataFrame:  # noqa: B008
+    """The survey's metrics with every profile (``profile``), and the share of the first one's recall that each keeps; all profiles in one pass over the frames."""
+    kind, chains = boxes.schema["idx"].dataType.simpleString(), list(profiles.values())
+
+    def work(image: Image, row: dict) -> Iterator[dict]:
+        for k, c in enumerate(chains):
+            for found in examined(R.to_unit(image), row["boxes"], c):
+                yield {"k": k, **found}
+
+    candidates = _with_quality(each(with_boxes(frames, boxes, "raw"), work, f"k int, {examined_schema(kind)}", "boxes"))
+    metrics = compared(frames, verdicts(candidates, rules, platt).filter("accepted"), truths, len(chains), threshold)
+    return metrics.select(F.get(F.array(*map(F.lit, profiles)), F.col("k")).alias("profile"), *[c for c in metrics.columns if c != "k"])

@@ -6,11 +6,12 @@ they stay inside the JVM; frames are the unit of distribution.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathomline.functions.boxes import ios, iou
 from fathomline.functions.numbers import ratio
+from fathomline.session import checkpoint
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -31,19 +32,28 @@ def greedy_match(dets: DataFrame, truths: DataFrame, keys: list[str], threshold:
     A truth is taken only from ``threshold`` on; equal overlaps go to the
     lowest truth, equal scores to the lowest detection first.
     """
-    pairs = pairwise(dets, truths, keys, "cls").filter(F.col("iou") >= threshold)
+    pairs = _scored_pairs(dets, truths, keys).filter(F.col("iou") >= threshold)
     if class_aware:
         pairs = pairs.filter("a_cls = b_cls")
-    offers = pairs.groupBy(*keys, F.col("a_idx").alias("idx")).agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col("b_idx").alias("t")))).alias("offers"))
-    queued = offers.join(dets.select(*keys, "idx", "score"), [*keys, "idx"])
-    frames = queued.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "idx", "offers"))).alias("queue"))
-    kind = dets.schema["idx"].dataType.simpleString()
-    empty = F.array().cast(f"array<struct<det_idx:{kind},truth_idx:{kind},iou:double>>")
+    return _taken(pairs, keys).drop("score")
+
+
+def _scored_pairs(dets: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
+    pairs = _side(dets, keys, "a_", "cls", "score").join(_side(truths, keys, "b_", "cls"), keys)
+    return pairs.withColumn("iou", iou("a_", "b_"))
+
+
+def _taken(pairs: DataFrame, keys: list[str]) -> DataFrame:
+    """The greedy choice among pairs (``a_idx, a_score, b_idx, iou``) inside each of ``keys``; a detection without a pair takes nothing anyhow."""
+    offers = pairs.groupBy(*keys, "a_idx", "a_score").agg(F.array_sort(F.collect_list(F.struct((-F.col("iou")).alias("o"), F.col("b_idx").alias("t")))).alias("offers"))
+    frames = offers.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("a_score")).alias("s"), F.col("a_idx").alias("idx"), "offers"))).alias("queue"))
+    det, truth, score = (pairs.schema[c].dataType.simpleString() for c in ("a_idx", "b_idx", "a_score"))
+    empty = F.array().cast(f"array<struct<det_idx:{det},truth_idx:{truth},iou:double,score:{score}>>")
 
     def step(state: Column, det: Column) -> Column:
         free = F.filter(det["offers"], lambda o: ~F.array_contains(state["truth_idx"], o["t"]))
         pick = F.get(free, F.lit(0))
-        made = F.struct(det["idx"].alias("det_idx"), pick["t"].alias("truth_idx"), (-pick["o"]).alias("iou"))
+        made = F.struct(det["idx"].alias("det_idx"), pick["t"].alias("truth_idx"), (-pick["o"]).alias("iou"), (-det["s"]).alias("score"))
         return F.when(F.size(free) > 0, F.concat(state, F.array(made))).otherwise(state)
 
     return frames.select(*keys, F.inline(F.aggregate("queue", empty, step)))
@@ -143,3 +153,62 @@ def better_cell(cells: DataFrame) -> DataFrame:
     of = lambda a, b: F.max(F.when((F.col("trained_on") == a) & (F.col("inference_on") == b), f1))
     found = cells.agg(of("raw", "raw").alias("raw_f1"), of("preprocessed", "preprocessed").alias("preprocessed_f1"), of("raw", "preprocessed").alias("mismatched_f1"))
     return found.withColumn("better", F.when(F.col("preprocessed_f1") > F.col("raw_f1"), "preprocessing").otherwise("raw imagery"))
+
+
+#: Overlaps at which mean precision is taken.
+LEVELS = tuple(round(0.5 + 0.05 * k, 2) for k in range(10))
+
+
+def average_precision(flagged: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, n_gt, n_det, ap``: the area under the precision envelope of detections (``keys, score, tp`` 0 or 1) against ``totals`` (``keys, n_gt``).
+
+    Detections enter by falling score, those of one score together. After each
+    score there is a recall and a precision; the envelope at a recall is the
+    best precision at it or any higher one, and each step of recall counts with
+    the envelope there. A class without truths has a null ``ap``, one that
+    nothing was found for 0.
+
+    Sums run over counts per distinct score, dealt by ranges of keys and score;
+    each range adds what the ranges before it hold, and takes the best of those
+    behind it, so no task sees all detections of a class.
+    """
+    return _area_of(flagged.groupBy(*keys, "score").agg(F.sum("tp").cast("long").alias("_t"), F.count(F.lit(1)).alias("_n")), totals, keys)
+
+
+def _area_of(cells: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """``average_precision`` from hits and detections of each score (``keys, score, _t, _n``)."""
+    cells = cells.withColumn("_down", -F.col("score"))
+    ranged = checkpoint(cells.repartitionByRange(*keys, "_down").withColumn("_part", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "_part").orderBy("_down")
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    behind = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_t").alias("_pt"), F.sum("_n").alias("_pn"))
+    starts = sums.select(*keys, "_part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}0") for c in ("_pt", "_pn")])
+    upto = ranged.join(starts, [*keys, "_part"]).withColumns({"_found": F.col("_pt0") + F.sum("_t").over(inside), "_seen": F.col("_pn0") + F.sum("_n").over(inside)})
+    curve = upto.withColumn("_precision", F.col("_found") / F.col("_seen"))
+    later = curve.groupBy(*keys, "_part").agg(F.max("_precision").alias("_best")).withColumn("_later", F.max("_best").over(behind)).drop("_best")
+    # From the far end on: a frame that only loses rows would be gone through anew for each of them.
+    rest = Window.partitionBy(*keys, "_part").orderBy(F.desc("_down")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    envelope = F.greatest(F.max("_precision").over(rest), F.coalesce("_later", F.lit(0.0)))
+    area = curve.join(later, [*keys, "_part"]).withColumn("_area", F.col("_t") * envelope).groupBy(*keys).agg(F.sum("_area").alias("_area"), F.sum("_n").alias("n_det"))
+    out = totals.join(area, keys, "left")
+    ap = F.when(F.col("n_gt") > 0, F.coalesce("_area", F.lit(0.0)) / F.col("n_gt"))
+    return out.select(*keys, "n_gt", F.coalesce("n_det", F.lit(0)).alias("n_det"), ap.alias("ap"))
+
+
+def mean_precision(dets: DataFrame, truths: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
+    """``cls, ap50, ap50_95`` of every class of ``truths`` (``frame, idx, cls``, corners; detections with ``score``), and of all as class null: their means.
+
+    At each overlap detections take truths of their class and frame greedily by
+    falling score; ``ap50`` is that of the first level. Boxes are paired once,
+    and a pair goes to all levels that it reaches.
+    """
+    wanted = F.array(*map(F.lit, levels))
+    pairs = _scored_pairs(dets.withColumn("kind", F.col("cls")), truths.withColumn("kind", F.col("cls")), ["kind", "frame"]).filter(F.col("iou") >= min(levels))
+    hits = _taken(pairs.withColumn("level", F.explode(F.filter(wanted, lambda v: F.col("iou") >= v))), ["level", "kind", "frame"])
+    hits = hits.groupBy("level", F.col("kind").alias("cls"), "score").agg(F.count(F.lit(1)).alias("_t"))
+    seen = dets.groupBy("cls", "score").agg(F.count(F.lit(1)).alias("_n")).withColumn("level", F.explode(wanted))
+    cells = seen.join(hits, ["level", "cls", "score"], "left").withColumn("_t", F.coalesce("_t", F.lit(0)))
+    totals = truths.groupBy("cls").agg(F.count(F.lit(1)).alias("n_gt")).withColumn("level", F.explode(wanted))
+    per = _area_of(cells, totals, ["cls", "level"]).groupBy("cls").agg(F.max(F.when(F.col("level") == levels[0], F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+    return per.unionByName(per.agg(F.avg("ap50").alias("ap50"), F.avg("ap50_95").alias("ap50_95")).withColumn("cls", F.lit(None).cast(truths.schema["cls"].dataType)))

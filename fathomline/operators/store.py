@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathomline.operators.dedup import _checkpoint
+from fathomline.session import checkpoint
 
 
 def list_surveys(surveys: DataFrame, runs: DataFrame) -> DataFrame:
@@ -70,7 +70,7 @@ def ranked(df: DataFrame, key: list[str]) -> DataFrame:
     the one before it ended, so no task sorts all of them.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = _checkpoint(df.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()))
+    ranged = checkpoint(df.repartitionByRange(parts, *key).withColumn("_part", F.spark_partition_id()))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     # One row a range from here on.
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_size"))

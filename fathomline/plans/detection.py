@@ -330,3 +330,46 @@ def better_cell(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = every.join(found, ["frame", "idx", "is_det"], "left").groupBy(trained.alias("trained_on"), inferred.alias("inference_on"))
     counted = cells.agg(F.count_if(~F.col("is_det")).alias("n_gt"), F.count_if("is_det").alias("n_det"), F.count("hit").alias("tp"))
     return M.better_cell(counted).withColumns({c: micro(F.col(c)) for c in ("raw_f1", "preprocessed_f1", "mismatched_f1")})
+
+
+@query(
+    f"""WITH {BOXES}, d AS (SELECT cls, floor(score * 100) AS score, (floor(idx)::BIGINT % 3 > 0)::INTEGER AS tp FROM boxes WHERE is_det), t AS (SELECT cls, count(*) AS n_gt FROM boxes GROUP BY cls),
+    c AS (SELECT cls, score, sum(tp) AS t, count(*) AS n FROM d GROUP BY ALL), p AS (SELECT *, sum(t) OVER w / sum(n) OVER w AS precision FROM c WINDOW w AS (PARTITION BY cls ORDER BY score DESC)),
+    e AS (SELECT *, max(precision) OVER (PARTITION BY cls ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM p)
+    SELECT cls, any_value(n_gt) AS n_gt, sum(n)::BIGINT AS n_det, {micro_sql("sum(t * best) / any_value(n_gt)")} AS ap FROM e JOIN t USING (cls) GROUP BY cls"""
+)
+def average_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG25: area under the precision envelope of each class, for detections whose hits are given."""
+    b = boxes(spark, sf_dir)
+    found = b.filter("is_det").select("cls", F.floor(F.col("score") * 100).alias("score"), (F.floor("idx") % 3 > 0).cast("int").alias("tp"))
+    totals = b.groupBy("cls").agg(F.count(F.lit(1)).alias("n_gt"))
+    return M.average_precision(found, totals, ["cls"]).withColumn("ap", micro(F.col("ap")))
+
+
+_MEAN_PRECISION = f"""
+WITH RECURSIVE {BOXES}, levels AS (SELECT unnest([{", ".join(map(repr, M.LEVELS))}])::DOUBLE AS level), dets AS (
+    SELECT b.*, row_number() OVER (PARTITION BY cls, frame ORDER BY score DESC, idx) AS k FROM boxes b WHERE is_det
+), truths AS (SELECT * FROM boxes WHERE NOT is_det), pairs AS (
+    SELECT a.cls, a.frame, a.k, b.idx AS t, {IOU} AS iou FROM dets a JOIN truths b ON a.frame = b.frame AND a.cls = b.cls
+), offers AS (
+    SELECT level, d.cls, d.frame, d.k, d.score, list(p.t ORDER BY p.iou DESC, p.t) FILTER (WHERE p.t IS NOT NULL) AS offers
+    FROM dets d CROSS JOIN levels LEFT JOIN pairs p ON p.cls = d.cls AND p.frame = d.frame AND p.k = d.k AND p.iou >= level GROUP BY ALL
+), step AS (
+    SELECT level, cls, frame, 0::BIGINT AS k, CAST([] AS DOUBLE[]) AS taken, CAST(NULL AS DOUBLE) AS score, 0 AS tp FROM (SELECT DISTINCT level, cls, frame FROM offers)
+    UNION ALL
+    SELECT level, cls, frame, k, CASE WHEN pick IS NULL THEN taken ELSE list_append(taken, pick) END, score, CASE WHEN pick IS NULL THEN 0 ELSE 1 END
+    FROM (SELECT o.level, o.cls, o.frame, o.k, s.taken, o.score, list_filter(o.offers, lambda t: NOT list_contains(s.taken, t))[1] AS pick FROM step s JOIN offers o ON o.level = s.level AND o.cls = s.cls AND o.frame = s.frame AND o.k = s.k + 1)
+), c AS (SELECT cls, level, score, sum(tp) AS t, count(*) AS n FROM step WHERE k > 0 GROUP BY ALL
+), p AS (SELECT *, sum(t) OVER w / sum(n) OVER w AS precision FROM c WINDOW w AS (PARTITION BY cls, level ORDER BY score DESC)
+), e AS (SELECT *, max(precision) OVER (PARTITION BY cls, level ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS best FROM p
+), a AS (SELECT cls, level, sum(t * best) / any_value(n_gt) AS ap FROM e JOIN (SELECT cls, count(*) AS n_gt FROM truths GROUP BY cls) USING (cls) GROUP BY ALL
+), per AS (SELECT cls, max(ap) FILTER (WHERE level = 0.5) AS ap50, avg(ap) AS ap50_95 FROM a GROUP BY cls)
+SELECT cls, {micro_sql("ap50")} AS ap50, {micro_sql("ap50_95")} AS ap50_95 FROM per UNION ALL SELECT NULL, {micro_sql("avg(ap50)")}, {micro_sql("avg(ap50_95)")} FROM per"""
+
+
+@query(_MEAN_PRECISION)
+def mean_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG25: precision at ten overlaps of every class and their mean, from boxes to areas."""
+    b = boxes(spark, sf_dir)
+    out = M.mean_precision(b.filter("is_det"), b.filter("not is_det"))
+    return out.select("cls", micro(F.col("ap50")).alias("ap50"), micro(F.col("ap50_95")).alias("ap50_95"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from fathomline.functions.confidence import LinearFilter, Platt
 from fathomline.functions.numbers import micro
 from fathomline.operators import frames as K
 from fathomline.operators import images as I
+from fathomline.operators.calibration import roc_auc
 from fathomline.plans.registry import query
 from fathomline.plans.views import PINGS, frame_arrays, micro_sql, pings
 
@@ -473,3 +475,30 @@ def perturbed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield {"condition": name, "level": level, "mean": float(changed.mean()), "top": float(changed.max())}
 
     return I.each(frame_arrays(spark, sf_dir), work, "condition string, level double, mean double, top double").withColumns({c: micro(F.col(c)) for c in ("mean", "top")})
+
+
+@query(
+    f"""WITH {PINGS}, e AS (SELECT frame, abs(v - avg(v) OVER (PARTITION BY frame)) AS e FROM pings), a AS (SELECT frame, quantile_cont(e, 0.99) AS p99, avg(e) AS mean, frame % 3 = 0 AS odd FROM e GROUP BY frame),
+    r AS (SELECT odd, rank() OVER (ORDER BY p99) AS rp, rank() OVER (ORDER BY mean) AS rm FROM a), n AS (SELECT count_if(odd) AS p, count_if(NOT odd) AS m, sum(CASE WHEN odd THEN rp END) AS sp, sum(CASE WHEN odd THEN rm END) AS sm FROM r)
+    SELECT {micro_sql("(sp - p * (p + 1) / 2) / (p * m)")} AS auc_p99, {micro_sql("(sm - p * (p + 1) / 2) / (p * m)")} AS auc_mean, p AS positives, m AS negatives FROM n"""
+)
+def anomaly_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PL6: areas under the curve of two reductions of a frame's error field; frames with a dead ping are the odd ones."""
+
+    def work(image, _):
+        error = abs(image - image.mean())
+        yield {"p99": float(np.percentile(error, 99)), "mean": float(error.mean())}
+
+    scores = I.each(frame_arrays(spark, sf_dir), work, "p99 double, mean double").withColumn("label", (F.col("frame") % 3 == 0).cast("int"))
+    p99, mean = (roc_auc(scores.select("frame", F.col(c).alias("score"), "label"), "frame") for c in ("p99", "mean"))
+    return p99.crossJoin(F.broadcast(mean.select(F.col("auc").alias("auc_mean")))).select(micro(F.col("auc")).alias("auc_p99"), micro(F.col("auc_mean")).alias("auc_mean"), "positives", "negatives")  # one row each
+
+
+@query()
+def preprocess_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PL4: the metrics of every profile through process and matching, against the frames as recorded."""
+    frames = frame_arrays(spark, sf_dir)
+    boxes = _five_boxes(frames)
+    truths = boxes.filter("idx in (0, 1, 3) and frame % 3 <> 0").withColumn("cls", F.lit(0))
+    rows = I.ablation(frames, boxes, truths)
+    return rows.select("profile", *[F.col(c).cast("long").alias(c) for c in ("n_frames", "n_gt_objects", "n_detections", "tp", "fp", "fn", "false_alarm_frames")], *[micro(F.col(c)).alias(c) for c in ("precision", "recall", "f1", "recall_retained")])

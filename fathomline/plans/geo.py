@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions import geo as G
-from fathomline.functions.numbers import micro, steady
+from fathomline.functions.numbers import micro
 from fathomline.operators import navigation as N
 from fathomline.plans.registry import query
-from fathomline.plans.views import NAV, micro_sql, nav, read, steady_sql
+from fathomline.plans.views import NAV, micro_sql, nav, read
 
 #: Image rows of a track.
 HEIGHT = 400
@@ -55,10 +55,10 @@ def _at_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.at_rows(rows, n, HEIGHT)
 
 
-@query(f"WITH {_AT} SELECT track, row, {steady_sql('lat')} AS lat, {steady_sql('lon')} AS lon, {micro_sql('heading')} AS heading, {micro_sql('altitude')} AS altitude FROM at_rows")
+@query(f"WITH {_AT} SELECT track, row, {micro_sql('lat')} AS lat, {micro_sql('lon')} AS lon, {micro_sql('heading')} AS heading, {micro_sql('altitude')} AS altitude FROM at_rows")
 def nav_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN6, SC2, SC3: position, heading and altitude at image rows."""
-    return _at_rows(spark, sf_dir).withColumns({c: steady(F.col(c)) for c in ("lat", "lon")} | {c: micro(F.col(c)) for c in ("heading", "altitude")})
+    return _at_rows(spark, sf_dir).withColumns({c: micro(F.col(c)) for c in ("lat", "lon", "heading", "altitude")})
 
 
 _SLANT = "abs((track * 37 + row) % 640 - 320) / 320.0::DOUBLE * 60"
@@ -103,18 +103,23 @@ def _forward_sql() -> str:
     return (
         out
         + f"""), last AS (SELECT *, cos(2 * sigma1 + sigma) AS c, sin(u1) * sin(sigma) - cos(u1) * cos(sigma) * cos(a1) AS across, {f / 16!r}::DOUBLE * cos2_a * (4 + {f!r}::DOUBLE * (4 - 3 * cos2_a)) AS k FROM round5
-), ended AS (SELECT track, row, degrees(atan2(sin(u1) * cos(sigma) + cos(u1) * sin(sigma) * cos(a1), {1 - f!r}::DOUBLE * sqrt(sin_a * sin_a + across * across))) AS lat2,
+), ended AS (SELECT track, row, lat, lon, degrees(atan2(sin(u1) * cos(sigma) + cos(u1) * sin(sigma) * cos(a1), {1 - f!r}::DOUBLE * sqrt(sin_a * sin_a + across * across))) AS lat2,
     lon + degrees(atan2(sin(sigma) * sin(a1), cos(u1) * cos(sigma) - sin(u1) * sin(sigma) * cos(a1))
         - (1 - k) * {f!r}::DOUBLE * sin_a * (sigma + k * sin(sigma) * (c + k * cos(sigma) * (c * c * 2 - 1)))) AS lon2 FROM last)"""
     )
 
 
-@query(f"WITH {_BUDGET}, {_forward_sql()} SELECT track, row, {steady_sql('lat2')} AS lat, {steady_sql('lon2')} AS lon FROM ended")
+_PLACED = "SELECT track, row, {0} AS lat, {1} AS lon, floor(({2}) * 1e7 + 0.5) / 1e7 AS north, floor(({3}) * 1e7 + 0.5) / 1e7 AS east FROM ended".format(
+    *[f"floor({c} * 1e5 + 0.5) / 1e5" for c in ("lat2", "lon2")], "lat2 - lat", "lon2 - lon"
+)
+
+
+@query(f"WITH {_BUDGET}, {_forward_sql()} {_PLACED}")
 def geodesic_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SC5, SC6: the point on the bottom, along the bearing across the track."""
-    point = G.geodesic_forward(F.col("lat"), F.col("lon"), G.bearing(F.col("heading"), F.col("starboard")), F.col("ground"))
-    reached = _located(spark, sf_dir).select("track", "row", point.alias("p"))
-    return reached.select("track", "row", steady(F.col("p.lat")).alias("lat"), steady(F.col("p.lon")).alias("lon"))
+    """SC5, SC6: the point on the bottom, along the bearing across the track, and how far it is from the fix, in degrees to a centimetre."""
+    reached = N.geodesic_forward(_located(spark, sf_dir), F.col("lat"), F.col("lon"), G.bearing(F.col("heading"), F.col("starboard")), F.col("ground"))
+    cut = lambda x, digits: F.floor(x * 10**digits + 0.5) / 10**digits
+    return reached.select("track", "row", cut(F.col("lat2"), 5).alias("lat"), cut(F.col("lon2"), 5).alias("lon"), cut(F.col("lat2") - F.col("lat"), 7).alias("north"), cut(F.col("lon2") - F.col("lon"), 7).alias("east"))
 
 
 @query(
@@ -148,6 +153,44 @@ def utm_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nav(spark, sf_dir).select("track", "nav_idx", milli(east).alias("easting"), milli(north).alias("northing"))
 
 
+@query(f"WITH {NAV} SELECT track, nav_idx, true AS exact FROM nav")
+def utm_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC10: fixes projected and back again are less than a tenth of a millimetre off."""
+    n = nav(spark, sf_dir)
+    zone, south = F.col("track") % 60 + 1, F.col("track") % 2 == 0
+    lat, lon = F.when(south, -F.col("lat")).otherwise(F.col("lat") * 6.2), zone * 6 - 183 + (F.col("lon") - 80.3) * 3000
+    moved = n.select("track", "nav_idx", lat.alias("lat"), lon.alias("lon"), zone.alias("zone"), south.alias("south"))
+    east, north = G.utm_project(F.col("lat"), F.col("lon"), F.col("zone"), F.col("south"))
+    back = moved.withColumns({"east": east, "north": north})
+    lat2, lon2 = G.utm_unproject(F.col("east"), F.col("north"), F.col("zone"), F.col("south"))
+    return back.select("track", "nav_idx", (G.haversine_m(F.col("lat"), F.col("lon"), lat2, lon2) < 1e-4).alias("exact"))
+
+
+def _unproject_sql() -> str:
+    """Pixels of a raster in zone 44 north, turned a little, to degrees by the inverse series."""
+    n = G.FLATTENING / (2 - G.FLATTENING)
+    scale = 0.9996 * (G.SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64))
+    beta = (n / 2 - 2 * n**2 / 3 + 37 * n**3 / 96 - n**4 / 360, n**2 / 48 + n**3 / 15 - 437 * n**4 / 1440, 17 * n**3 / 480 - 37 * n**4 / 840, 4397 * n**4 / 161280)
+    delta = (2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630)
+    up = " - ".join(["xi", *(f"{b!r}::DOUBLE * sin({2 * j} * xi) * cosh({2 * j} * eta)" for j, b in enumerate(beta, start=1))])
+    side = " - ".join(["eta", *(f"{b!r}::DOUBLE * cos({2 * j} * xi) * sinh({2 * j} * eta)" for j, b in enumerate(beta, start=1))])
+    phi = " + ".join(["chi", *(f"{d!r}::DOUBLE * sin({2 * j} * chi)" for j, d in enumerate(delta, start=1))])
+    nano = "floor(({}) * 1e8 + 0.5) / 1e8"
+    return f"""WITH grid AS (SELECT p_partkey AS id, 0.25::DOUBLE * (p_partkey % 4000) + 0.01::DOUBLE * p_size + 423000.5::DOUBLE AS x, 0.01::DOUBLE * (p_partkey % 4000) - 0.25::DOUBLE * p_size + 1426000.25::DOUBLE AS y FROM part
+    ), s AS (SELECT id, y / {scale!r}::DOUBLE AS xi, (x - 500000.0) / {scale!r}::DOUBLE AS eta FROM grid), t AS (SELECT id, {up} AS up, {side} AS side FROM s), c AS (SELECT *, asin(sin(up) / cosh(side)) AS chi FROM t)
+    SELECT id, {nano.format(f"degrees({phi})")} AS latitude, {nano.format("81 + degrees(atan2(sinh(side), cos(up)))")} AS longitude, {micro_sql("sqrt(0.25::DOUBLE * 0.25 + 0.01::DOUBLE * 0.01)")} AS pixel_m, 'HIGH' AS confidence FROM c"""
+
+
+@query(_unproject_sql())
+def crs_to_wgs84(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SC9, SC10, SC11: pixels of a georeferenced raster in a projected system to degrees on WGS84, with the uncertainty of its resolution."""
+    georef = F.struct(F.array(*map(F.lit, (0.25, 0.01, 423000.5, 0.01, -0.25, 1426000.25))).alias("affine"), F.lit(32644).alias("epsg"))
+    pixels = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 4000).alias("x"), F.col("p_size").alias("y"))
+    fix = pixels.select("id", G.locate(F.col("x"), F.col("y"), georef, F.lit(64), F.lit(4000)).alias("fix"))
+    nano = lambda c: F.floor(F.col(c) * 1e8 + 0.5) / 1e8
+    return fix.select("id", nano("fix.latitude").alias("latitude"), nano("fix.longitude").alias("longitude"), micro(F.col("fix.pixel_size_m")).alias("pixel_m"), "fix.confidence")
+
+
 @query(
     f"""SELECT p_partkey AS id, {micro_sql("0.001::DOUBLE * p_size + 80.0 - 10 * 0.001::DOUBLE")} AS lon, {micro_sql("-0.0005::DOUBLE * (p_partkey % 100) + (13.0 + 20 * 0.0005::DOUBLE)")} AS lat,
     {micro_sql("0.001::DOUBLE * 111320.0 * cos(radians(-0.0005::DOUBLE * (p_partkey % 100) + (13.0 + 20 * 0.0005::DOUBLE)))")} AS pixel_m FROM part"""

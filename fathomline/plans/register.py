@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from fathomline.functions import confidence as C
 from fathomline.functions import geo as G
 from fathomline.functions import priority as P
-from fathomline.functions.numbers import micro, steady
+from fathomline.functions.numbers import micro
 from fathomline.operators import dedup as D
 from fathomline.operators import reports as R
 from fathomline.plans.registry import query
-from fathomline.plans.views import HAVERSINE, IOU, OBSERVATIONS, micro_sql, observations, steady_sql
+from fathomline.plans.views import HAVERSINE, IOU, OBSERVATIONS, micro_sql, observations, read
 
 _GEO_EDGES = f"edges AS (SELECT a.obs AS a, b.obs AS b FROM observations a JOIN observations b ON a.cls = b.cls AND a.obs < b.obs AND abs(a.lat - b.lat) < 5e-4 AND abs(a.lon - b.lon) < 5e-4 AND {HAVERSINE} <= 12.0 + 0.5 * (a.unc + b.unc))"
 _SEQ_EDGES = f"edges AS (SELECT a.obs AS a, b.obs AS b FROM observations a JOIN observations b ON a.cls = b.cls AND a.obs < b.obs AND b.frame_index - a.frame_index BETWEEN 0 AND 3 AND {IOU} >= 0.2)"
@@ -21,16 +21,23 @@ reach AS (SELECT obs, obs AS other FROM observations UNION SELECT r.obs, e.b FRO
 clusters AS (SELECT obs, min(other) AS cluster FROM reach GROUP BY obs)"""
 _WITH = f"WITH RECURSIVE {OBSERVATIONS}, {_GEO_EDGES}, {_CLUSTERS}"
 _ROLLUP = f"""member AS (SELECT o.*, c.cluster FROM observations o JOIN clusters c USING (obs)), total AS (
-    SELECT cluster, count(*) AS observation_count, max(confidence) AS best_confidence, avg(confidence) AS mean_confidence, avg(lat) AS lat, avg(lon) AS lon,
-           greatest(avg(unc) / sqrt(count(unc)), avg(unc) * 0.5) AS unc, avg(x1 - x0) AS width_px, avg(y1 - y0) AS height_px, arg_max(cls, confidence) AS cls,
+    SELECT cluster, count(*) AS observation_count, max(confidence) AS best_confidence, sum(round_even(confidence * 1e9, 0)::BIGINT) / count(confidence) / 1e9 AS mean_confidence, sum(round_even(lat * 1e9, 0)::BIGINT) / count(lat) / 1e9 AS lat, sum(round_even(lon * 1e9, 0)::BIGINT) / count(lon) / 1e9 AS lon,
+           greatest(avg(unc) / sqrt(count(unc)), avg(unc) * 0.5) AS unc, avg(x1 - x0) AS width_px, avg(y1 - y0) AS height_px, arg_max(cls, confidence) AS cls, arg_max(frame_index, confidence) AS b_frame, arg_max(x0, confidence) AS b_x0, arg_max(y0, confidence) AS b_y0, arg_max(x1, confidence) AS b_x1, arg_max(y1, confidence) AS b_y1,
            string_agg(DISTINCT frame_index::VARCHAR, ';' ORDER BY frame_index::VARCHAR) AS frames, arg_min(frame_index, obs) AS first_frame, arg_min(x0, obs) AS first_x0 FROM member GROUP BY cluster
 ), far AS (SELECT a.cluster, max({HAVERSINE}) AS spread_m FROM total a JOIN member b USING (cluster) WHERE a.observation_count > 1 GROUP BY a.cluster),
-hazards AS (SELECT t.*, f.spread_m, printf('AQS-%05d', row_number() OVER (ORDER BY first_frame, first_x0, t.cluster)) AS hazard_id FROM total t LEFT JOIN far f USING (cluster))"""
+hazards AS (SELECT t.*, f.spread_m, printf('HAZ-%05d', row_number() OVER (ORDER BY first_frame, first_x0, t.cluster)) AS hazard_id FROM total t LEFT JOIN far f USING (cluster))"""
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations with what their frames and verdicts say of them."""
+    return observations(spark, sf_dir).withColumns(
+        {"raw": F.col("confidence"), "quality": (F.col("frame_index") % 10) / 10, "calibrated": F.col("cls") != "N", "reason": F.concat(F.lit("seen as "), F.col("cls")), "shadow_ratio": F.col("y0") / 20, "texture_homogeneity": F.col("x0") / 50}
+    )
 
 
 def _geo(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    obs = observations(spark, sf_dir)
-    return obs, D.components(obs, D.geographic_edges(obs))
+    obs = _observed(spark, sf_dir)
+    return obs, D.associate(obs)[0]
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +56,14 @@ def dedup_seq_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.sequence_edges(observations(spark, sf_dir))
 
 
+@query(f"WITH RECURSIVE {OBSERVATIONS}, {_SEQ_EDGES}, {_CLUSTERS} SELECT obs, cluster, 'mixed' AS mode FROM clusters")
+def associate_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JN4, AG4, PL2: a survey of which one class has no positions goes by the sequence as a whole."""
+    obs = observations(spark, sf_dir).withColumn("lat", F.when(F.col("cls") != "R", F.col("lat")))
+    clusters, mode = D.associate(obs)
+    return clusters.withColumn("mode", F.lit(mode))
+
+
 @query(f"{_WITH} SELECT obs, cluster FROM clusters")
 def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     """JN15: the clusters that the pairs connect."""
@@ -56,7 +71,7 @@ def dedup_components(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_WITH}, {_ROLLUP} SELECT cluster, observation_count, frames, cls, {", ".join(f"{micro_sql(c)} AS {c}" for c in ("best_confidence", "unc", "width_px", "height_px"))}, {", ".join(f"{steady_sql(c)} AS {c}" for c in ("mean_confidence", "lat", "lon"))},
+    f"""{_WITH}, {_ROLLUP} SELECT cluster, observation_count, frames, cls, {", ".join(f"{micro_sql(c)} AS {c}" for c in ("best_confidence", "unc", "width_px", "height_px"))}, {", ".join(f"{micro_sql(c)} AS {c}" for c in ("mean_confidence", "lat", "lon"))},
     floor(spread_m * 1e3 + 0.5) / 1e3 AS spread_m FROM hazards"""
 )
 def hazard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,7 +80,7 @@ def hazard_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = F.array_join(F.array_sort(F.transform("frames", lambda f: f.cast("string"))), ";")
     return total.select(
         "cluster", "observation_count", frames.alias("frames"), F.col("best.cls").alias("cls"), *[micro(F.col(c)).alias(c) for c in ("best_confidence", "unc", "width_px", "height_px")],
-        *[steady(F.col(c)).alias(c) for c in ("mean_confidence", "lat", "lon")],
+        *[micro(F.col(c)).alias(c) for c in ("mean_confidence", "lat", "lon")],
         (F.floor(F.col("spread_m") * 1e3 + 0.5) / 1e3).alias("spread_m"),
     )
 
@@ -77,46 +92,78 @@ def hazard_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TAXONOMY = "taxonomy(cls, native_name, level1, level2) AS (VALUES ('A', 'MILCO', 'MAN_MADE', 'mine_like_object'), ('N', 'NOMBO', 'AMBIGUOUS', 'bottom_object_uncertain'))"
-_SCORE = """100 * ((0.35 * least(greatest(100 * best_confidence / 100, 0), 1) + 0.25 * harm + 0.15 * 0.5 + 0.15 * least(1, ln(1 + greatest(observation_count, 1)) / ln(9.0::DOUBLE))
-    + 0.1 * CASE WHEN lat IS NULL THEN 0.15 WHEN unc IS NULL THEN 0.6 ELSE sqrt(greatest(0.1, least(1, 5 / greatest(unc, 5)))) END) / 1.0) * (0.5 + 0.5 * 0.8)"""
+_SCORE = """100 * ((0.35 * least(greatest(100 * best_confidence / 100, 0), 1) + 0.25 * harm + 0.15 * least(1, greatest(0, log10(greatest(length_m, 0.5) / 0.5) / log10(40))) + 0.15 * least(1, ln(1 + greatest(observation_count, 1)) / ln(9.0::DOUBLE))
+    + 0.1 * CASE WHEN lat IS NULL THEN 0.15 WHEN unc IS NULL THEN 0.6 ELSE sqrt(greatest(0.1, least(1, 5 / greatest(unc, 5)))) END) / 1.0) * (0.5 + 0.5 * quality)"""
 _RECORDS = f"""{_TAXONOMY}, scored AS (
-    SELECT h.*, coalesce(native_name, 'UNMAPPED_' || h.cls) AS detector_class, coalesce(level1, 'AMBIGUOUS') AS level1, coalesce(level2, 'unknown_anomaly') AS level2,
+    SELECT h.*, greatest(width_px, height_px) * 0.05 AS length_m, least(width_px, height_px) * 0.05 AS width_m, (b_frame % 10) / 10 AS quality, cls <> 'N' AS calibrated, coalesce(native_name, 'UNMAPPED_' || h.cls) AS detector_class, coalesce(level1, 'AMBIGUOUS') AS level1, coalesce(level2, 'unknown_anomaly') AS level2,
            CASE coalesce(level2, 'unknown_anomaly') WHEN 'mine_like_object' THEN 0.85 WHEN 'bottom_object_uncertain' THEN 0.3 ELSE 0.4 END AS harm FROM hazards h LEFT JOIN taxonomy t USING (cls)
 ), records AS (SELECT *, {_SCORE} AS priority, 100 * best_confidence AS pct FROM scored)"""
+_NOTES = "CASE WHEN calibrated THEN '' ELSE 'Confidence is a RAW detector score, not a calibrated probability (no calibration fitted for this model).' END"
+
+
+def _utm_sql(lat: str, lon: str, zone: int) -> tuple[str, str]:
+    """(easting, northing) of a position in a northern zone."""
+    n = G.FLATTENING / (2 - G.FLATTENING)
+    scale = 0.9996 * (G.SEMI_MAJOR / (1 + n) * (1 + n**2 / 4 + n**4 / 64))
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16, 13 * n**2 / 48 - 3 * n**3 / 5, 61 * n**3 / 240)
+    e = 2 * n**0.5 / (1 + n)
+    t = f"sinh(atanh(sin(radians({lat}))) - {e!r}::DOUBLE * atanh({e!r}::DOUBLE * sin(radians({lat}))))"
+    lam = f"radians({lon} - {zone * 6 - 183})"
+    xi, eta = f"atan2({t}, cos({lam}))", f"atanh(sin({lam}) / sqrt(1 + power({t}, 2)))"
+    east = " + ".join(f"{a!r}::DOUBLE * cos({2 * j} * {xi}) * sinh({2 * j} * {eta})" for j, a in enumerate(alpha, start=1))
+    north = " + ".join(f"{a!r}::DOUBLE * sin({2 * j} * {xi}) * cosh({2 * j} * {eta})" for j, a in enumerate(alpha, start=1))
+    milli = "floor(({}) * 1e3 + 0.5) / 1e3"
+    return milli.format(f"500000.0 + {scale!r}::DOUBLE * ({eta} + {east})"), milli.format(f"{scale!r}::DOUBLE * ({xi} + {north})")
+
+
+_EAST, _NORTH = _utm_sql("lat", "lon", 44)
 _BAND = "CASE WHEN priority >= 75 THEN 'URGENT' WHEN priority >= 55 THEN 'HIGH' WHEN priority >= 35 THEN 'ELEVATED' ELSE 'ROUTINE' END"
 _CONF = "CASE WHEN pct >= 85 THEN 'CRITICAL' WHEN pct >= 65 THEN 'HIGH' WHEN pct >= 40 THEN 'MEDIUM' ELSE 'LOW' END"
 TAXONOMY = {"A": ("MILCO", "MAN_MADE", "mine_like_object"), "N": ("NOMBO", "AMBIGUOUS", "bottom_object_uncertain")}
 
 
 def _records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.hazard_records(_numbered(spark, sf_dir), TAXONOMY, quality=0.8)
+    obs = _observed(spark, sf_dir)
+    clusters, mode = D.associate(obs)
+    return R.with_utm(R.hazard_records(D.number(D.rollup(obs, clusters)), TAXONOMY, gsd=0.05, mode=mode))
+
+
+def _milli(x) -> F.Column:
+    return F.floor(x * 1e3 + 0.5) / 1e3
 
 
 @query(
-    f"""{_WITH}, {_ROLLUP}, {_RECORDS} SELECT hazard_id, detector_class, level1, level2, {micro_sql("pct")} AS confidence_pct, {_CONF} AS confidence_band, {micro_sql("priority")} AS priority_score, {_BAND} AS priority_band,
-    {steady_sql("lat")} AS latitude, {steady_sql("lon")} AS longitude, CASE WHEN unc <= 10 THEN 'HIGH' WHEN unc <= 40 THEN 'MEDIUM' ELSE 'LOW' END AS geolocation_confidence, observation_count, frames AS frame_ids,
-    'Confidence is a RAW detector score, not a calibrated probability (no calibration fitted for this model). | Physical dimensions unavailable: ground sample distance unknown. Bounding box is reported in pixels only.' AS notes
+    f"""{_WITH}, {_ROLLUP}, {_RECORDS} SELECT hazard_id, detector_class, level1, level2, {micro_sql("pct")} AS confidence_pct, {_CONF} AS confidence_band, calibrated, {micro_sql("priority")} AS priority_score, {_BAND} AS priority_band,
+    {micro_sql("lat")} AS latitude, {micro_sql("lon")} AS longitude, {_EAST} AS utm_easting, {_NORTH} AS utm_northing, '44N' AS utm_zone, CASE WHEN unc <= 10 THEN 'HIGH' WHEN unc <= 40 THEN 'MEDIUM' ELSE 'LOW' END AS geolocation_confidence,
+    {micro_sql("length_m")} AS estimated_length_m, {micro_sql("width_m")} AS estimated_width_m, observation_count, 'geographic' AS association_mode, frames AS frame_ids, quality AS frame_quality_score, {_NOTES} AS notes
     FROM records WHERE pct >= 10"""
 )
 def hazard_register(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """PL2, PRJ4, PRJ5, PRJ6, SC13-SC17, FLT3: the register, from observations to prioritised records."""
+    """PL2, PRJ4, PRJ5, PRJ6, SC12-SC17, SC22, FLT3: the register, from observations to prioritised records."""
     records = _records(spark, sf_dir).filter("confidence_pct >= 10")
     frames = F.array_join(F.array_sort(F.transform("frames", lambda f: f.cast("string"))), ";")
     return records.select(
-        "hazard_id", "detector_class", "level1", "level2", micro(F.col("confidence_pct")).alias("confidence_pct"), "confidence_band", micro(F.col("priority_score")).alias("priority_score"), "priority_band",
-        steady(F.col("latitude")).alias("latitude"), steady(F.col("longitude")).alias("longitude"), "geolocation_confidence", "observation_count", frames.alias("frame_ids"), F.array_join("notes", " | ").alias("notes"),
+        "hazard_id", "detector_class", "level1", "level2", micro(F.col("confidence_pct")).alias("confidence_pct"), "confidence_band", "calibrated", micro(F.col("priority_score")).alias("priority_score"), "priority_band",
+        *[micro(F.col(c)).alias(c) for c in ("latitude", "longitude")], *[_milli(F.col(c)).alias(c) for c in ("utm_easting", "utm_northing")], "utm_zone", "geolocation_confidence",
+        *[micro(F.col(c)).alias(c) for c in ("estimated_length_m", "estimated_width_m")], "observation_count", "association_mode", frames.alias("frame_ids"), "frame_quality_score", F.array_join("notes", " | ").alias("notes"),
     )
 
 
 @query(
     f"""{_WITH}, {_ROLLUP}, {_RECORDS} SELECT (SELECT count(*) FROM observations) AS observations, count(*) AS unique_hazards, {micro_sql("(SELECT count(*) FROM observations) / count(*)")} AS deduplication_ratio,
     count_if(level1 = 'MAN_MADE') AS man_made_hazards, count_if(level1 = 'AMBIGUOUS') AS ambiguous_hazards, count_if(pct >= 65) AS high_confidence_hazards, count_if(priority >= 55) AS high_priority_hazards,
-    count(lat) AS geolocated_hazards, {micro_sql("avg(lat)")} AS centre_lat, {micro_sql("avg(lon)")} AS centre_lon FROM records"""
+    count(lat) AS geolocated_hazards, {micro_sql("avg(lat)")} AS centre_lat, {micro_sql("avg(lon)")} AS centre_lon, (SELECT count(DISTINCT l_orderkey) FROM lineitem) AS frames_processed,
+    {micro_sql("(SELECT avg(k % 10 / 10) FROM (SELECT DISTINCT l_orderkey AS k FROM lineitem))")} AS mean_frame_quality, (SELECT count(*) FROM lineitem) AS candidate_detections_raw,
+    (SELECT count_if(l_linestatus = 'F') FROM lineitem) AS detections_accepted, (SELECT count_if(l_linestatus <> 'F') FROM lineitem) AS detections_rejected,
+    {micro_sql("(SELECT count_if(l_linestatus <> 'F') / count(*) FROM lineitem)")} AS rejection_rate FROM records"""
 )
 def survey_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """AG2, AG20: the summary of a survey."""
+    """AG2, AG20: the summary of a survey; order lines are the candidates, those of status F accepted, and orders the frames."""
     n = observations(spark, sf_dir).agg(F.count(F.lit(1)).alias("observations"))
-    return R.summary(_records(spark, sf_dir), n).withColumns({c: micro(F.col(c)) for c in ("deduplication_ratio", "centre_lat", "centre_lon")})
+    line = read(spark, sf_dir, "lineitem")
+    frames = line.select("l_orderkey").distinct().select((F.col("l_orderkey") % 10 / 10).alias("quality_score"))
+    found = R.summary(_records(spark, sf_dir), n, frames, line.select((F.col("l_linestatus") == "F").alias("accepted")))
+    return found.withColumns({c: micro(F.col(c)) for c in ("deduplication_ratio", "centre_lat", "centre_lon", "mean_frame_quality", "rejection_rate")})
 
 
 @query(f"{_WITH}, {_ROLLUP}, {_RECORDS} SELECT level2, count(*) AS hazards FROM records GROUP BY level2")
@@ -133,29 +180,65 @@ def topk_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_WITH}, {_ROLLUP} SELECT hazard_id, {steady_sql("lon")} AS lon, {steady_sql("lat")} AS lat, 'Point' AS geometry, (SELECT count(*) FROM hazards WHERE lat IS NULL) AS skipped FROM hazards WHERE lat IS NOT NULL"""
+    f"""{_WITH}, {_ROLLUP}, {_RECORDS} SELECT hazard_id, {micro_sql("lon")} AS lon, {micro_sql("lat")} AS lat, 'Point' AS geometry, 'FeatureCollection' AS kind, (SELECT count(*) FROM hazards WHERE lat IS NULL) AS skipped,
+    level2, {micro_sql("priority")} AS priority_score FROM records WHERE lat IS NOT NULL"""
 )
 def hazard_geojson(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK4: GeoJSON features of located hazards, read back for the comparison."""
-    features, skipped = R.geojson_features(_records(spark, sf_dir))
-    read = F.from_json("feature", "struct<type string, geometry struct<type string, coordinates array<double>>, properties struct<hazard_id string>>").alias("f")
-    rows = features.select(read).crossJoin(F.broadcast(skipped))  # one row
+    """SNK4: the FeatureCollection of located hazards, read back for the comparison."""
+    lines = R.feature_collection(_records(spark, sf_dir))
+    head = lines.filter(F.col("line").startswith('{"type":"FeatureCollection"')).select(F.from_json(F.concat("line", F.lit("]}")), "type string, omitted_without_position long").alias("h"))
+    read_ = F.from_json(F.ltrim("line", F.lit(",")), "type string, geometry struct<type string, coordinates array<double>>, properties struct<hazard_id string, level2 string, priority_score double>").alias("f")
+    rows = lines.filter(F.ltrim("line", F.lit(",")).startswith('{"type":"Feature",')).select(read_).crossJoin(F.broadcast(head))  # one row
     at = F.col("f.geometry.coordinates")
-    return rows.select(F.col("f.properties.hazard_id").alias("hazard_id"), steady(F.get(at, F.lit(0))).alias("lon"), steady(F.get(at, F.lit(1))).alias("lat"), F.col("f.geometry.type").alias("geometry"), "skipped")
+    return rows.select(
+        F.col("f.properties.hazard_id").alias("hazard_id"), micro(F.get(at, F.lit(0))).alias("lon"), micro(F.get(at, F.lit(1))).alias("lat"), F.col("f.geometry.type").alias("geometry"), F.col("h.type").alias("kind"),
+        F.col("h.omitted_without_position").alias("skipped"), F.col("f.properties.level2").alias("level2"), micro(F.col("f.properties.priority_score")).alias("priority_score"),
+    )
+
 
+_TEXTS = ("hazard_id", "survey_id", "detector_class", "level1", "level2", "confidence_band", "calibrated", "priority_band", "utm_zone", "geolocation_method", "geolocation_confidence", "association_mode", "frame_ids", "ping_id", "timestamp_utc", "fp_filter_verdict", "notes")
+_FLAT = {
+    "hazard_id": "hazard_id", "survey_id": "'SURVEY-1'", "detector_class": "detector_class", "level1": "level1", "level2": "level2", "confidence_pct": micro_sql("pct"), "confidence_band": _CONF, "calibrated": "calibrated::VARCHAR",
+    "raw_detector_score": micro_sql("best_confidence"), "priority_score": micro_sql("priority"), "priority_band": _BAND, "latitude": micro_sql("lat"), "longitude": micro_sql("lon"), "utm_easting": _EAST, "utm_northing": _NORTH, "utm_zone": "'44N'",
+    "geolocation_method": "'navigation_pingwise'", "geolocation_confidence": "CASE WHEN unc <= 10 THEN 'HIGH' WHEN unc <= 40 THEN 'MEDIUM' ELSE 'LOW' END", "geoloc_uncertainty_m": micro_sql("unc"), "estimated_length_m": micro_sql("length_m"),
+    "estimated_width_m": micro_sql("width_m"), "ground_sample_distance_m": "0.05::DOUBLE", "bbox_x0": "b_x0", "bbox_y0": "b_y0", "bbox_x1": micro_sql("b_x1"), "bbox_y1": micro_sql("b_y1"), "observation_count": "observation_count::DOUBLE",
+    "association_mode": "'geographic'", "frame_ids": "frames", "ping_id": "''", "timestamp_utc": "''", "frame_quality_score": "quality", "fp_filter_verdict": "'seen as ' || cls", "evidence_model": micro_sql("best_confidence"),
+    "evidence_shadow": micro_sql("b_y0 / 20"), "evidence_texture": micro_sql("b_x0 / 50"), "evidence_persistence": "least(1, observation_count / 8)", "evidence_data_quality": "quality", "notes": _NOTES,
+}
 
-@query(f"{_WITH}, {_ROLLUP}, {_RECORDS} SELECT hazard_id, level2, observation_count::VARCHAR AS observation_count, '' AS utm_zone, frames AS frame_ids FROM records")
+
+@query(f"{_WITH}, {_ROLLUP}, {_RECORDS} SELECT {', '.join(f'{v} AS {k}' for k, v in _FLAT.items())} FROM records")
 def hazard_flat_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK3: the flat table of the register; missing values are empty text."""
-    return R.flat(_records(spark, sf_dir)).select("hazard_id", "level2", "observation_count", "utm_zone", "frame_ids")
+    """SNK3: all columns of the flat table, numbers read back from its texts for the comparison."""
+    flat = R.flat(_records(spark, sf_dir))
+
+    def shown(c: str) -> F.Column:
+        if c in _TEXTS:
+            return F.col(c)
+        number = F.expr(f"try_cast({c} as double)")
+        return (_milli(number) if c.startswith("utm_") else micro(number)).alias(c)
 
+    return flat.select(*map(shown, R.CSV_COLUMNS))
 
-@query(f"{_WITH}, {_ROLLUP}, {_RECORDS} SELECT 'SURVEY-1' AS survey_id, count(*) AS hazards, max(hazard_id) AS last FROM records")
+
+@query(
+    f"""{_WITH}, {_ROLLUP}, {_RECORDS} SELECT hazard_id, level2, {micro_sql("priority")} AS priority_score, calibrated, observation_count, 'geographic' AS association_mode, least(1, observation_count / 8) AS persistence, {_NOTES} AS notes,
+    'SURVEY-1' AS survey_id, (SELECT count(*) FROM records) AS unique_hazards, 'none' AS model, '1.0' AS version, true AS disclaimed FROM records"""
+)
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """SNK1, PRV1: the nested report as JSON lines, read back for the comparison."""
-    lines = R.report_lines(_records(spark, sf_dir), "SURVEY-1", {"model": "none", "taxonomy": "two classes"})
-    got = lines.select(F.from_json("line", "kind string, survey_id string, record struct<hazard_id string>").alias("r")).filter("r.kind = 'hazard'")
-    return got.agg(F.max("r.survey_id").alias("survey_id"), F.count(F.lit(1)).alias("hazards"), F.max("r.record.hazard_id").alias("last"))
+    """SNK1, PRV1: the nested report as one document, read back for the comparison."""
+    records = _records(spark, sf_dir)
+    survey = {"survey_id": "SURVEY-1", "unique_hazards": records.count()}
+    lines = R.report_document(records, survey, {"model": "none", "taxonomy": "two classes"}, "1.0", "2026-01-01T00:00:00Z")
+    head = lines.filter(F.col("line").startswith('{"generator"')).select(
+        F.from_json(F.concat("line", F.lit("]}")), "generator struct<version string>, survey struct<survey_id string, unique_hazards long>, provenance struct<model string>, disclaimer string").alias("h")
+    )
+    schema = "hazard_id string, level2 string, priority_score double, calibrated boolean, observation_count long, association_mode string, evidence struct<persistence double>, notes array<string>"
+    body = lines.filter(F.ltrim("line", F.lit(",")).startswith('{"hazard_id"')).select(F.from_json(F.ltrim("line", F.lit(",")), schema).alias("r"))
+    return body.crossJoin(F.broadcast(head)).select(  # one row
+        "r.hazard_id", "r.level2", micro(F.col("r.priority_score")).alias("priority_score"), "r.calibrated", "r.observation_count", "r.association_mode", F.col("r.evidence.persistence").alias("persistence"),
+        F.array_join("r.notes", " | ").alias("notes"), "h.survey.survey_id", "h.survey.unique_hazards", "h.provenance.model", "h.generator.version", (F.length("h.disclaimer") > 100).alias("disclaimed"),
+    )
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +13,8 @@ from fathomline.functions.numbers import feature_map, micro
 from fathomline.operators import calibration as C
 from fathomline.plans.registry import query
 from fathomline.plans.views import CANDIDATES, SCORED, candidates, micro_sql, read, scored
+from fathomline.session import shared_folder
+from fathomline.sources import models
 
 FEATURES = ["contrast", "shadow", "snr", "aspect", "compactness", "size_rank", "raw"]
 WEIGHTS = dict(zip(FEATURES, (0.8, -0.3, 1.1, -0.4, 0.25, 0.1, 0.9), strict=True))
@@ -170,3 +174,21 @@ def feature_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """MP1: the features of each candidate as a map, one of them infinite where the label is 0."""
     c = candidates(spark, sf_dir).withColumn("odds", F.when(F.col("label") == 1, F.col("snr")).otherwise(F.lit(float("inf"))))
     return c.select("id", feature_map(*_MAPPED).alias("m")).select("id", *[F.col("m")[n].alias(n) for n in _MAPPED], F.size("m").alias("entries"))
+
+
+@query(
+    f"""WITH {CANDIDATES} SELECT id, {micro_sql("1 / (1 + exp(-(-0.2 + 0.7 * ((snr - 2.5) / 1.4) - 0.4 * ((aspect - 7.0) / 4.3))))")} AS score, {micro_sql("1 / (1 + exp(-(0.8 * ln(greatest(1e-6, least(1 - 1e-6, raw)) / (1 - greatest(1e-6, least(1 - 1e-6, raw)))) - 0.3)))")} AS calibrated,
+    {micro_sql("raw")} AS uncalibrated, 'linear' AS filter, 'rules' AS fallback, 'standard' AS profile, 'none' AS assumed FROM candidates"""
+)
+def stored_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PRV2, SRC9: a filter, a calibrator and a model card written and read again, and what stands in where there is none."""
+    path = f"{shared_folder(spark)}/models-{uuid.uuid4().hex}"
+    models.save_filter(spark, LinearFilter({"snr": 0.7, "aspect": -0.4}, {"snr": 2.5, "aspect": 7.0}, {"snr": 1.4, "aspect": 4.3}, -0.2), f"{path}/filter")
+    models.save_calibrator(spark, Platt(0.8, -0.3, True), f"{path}/platt")
+    models.save_model_card(spark, f"{path}/net.pt", {"preprocess_profile": "standard"})
+    found, fallback = models.load_filter(spark, f"{path}/filter"), models.load_filter(spark, f"{path}/missing")
+    kind = lambda m: F.lit("linear" if isinstance(m, LinearFilter) else "rules")
+    return candidates(spark, sf_dir).select(
+        "id", micro(found.score()).alias("score"), micro(models.load_calibrator(spark, f"{path}/platt").transform(F.col("raw"))).alias("calibrated"), micro(models.load_calibrator(spark, f"{path}/missing").transform(F.col("raw"))).alias("uncalibrated"),
+        kind(found).alias("filter"), kind(fallback).alias("fallback"), F.lit(models.read_model_card(spark, f"{path}/net.pt")["preprocess_profile"]).alias("profile"), F.lit(models.read_model_card(spark, f"{path}/other.pt")["preprocess_profile"]).alias("assumed"),
+    )

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathomline.functions.numbers import micro
+from fathomline.operators import images as I
 from fathomline.operators import store as S
 from fathomline.plans.registry import query
 from fathomline.plans.views import micro_sql, read
+from fathomline.session import shared_folder
+from fathomline.sources import models
+from fathomline.sources import writers as W
 
 
 def surveys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +148,11 @@ def leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.leaks(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("recording"), split.alias("split")), "recording", "split", ["train", "val", "test"])
 
 
-@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT c_custkey AS id FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_totalprice > 300000")
 def set_except(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SO4: frames minus those with targets."""
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")))
+    held = read(spark, sf_dir, "orders").filter("o_totalprice > 300000").select(F.col("o_custkey").alias("id"))
+    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id")).subtract(held)
 
 
 @query("SELECT DISTINCT l_returnflag || l_linestatus AS note FROM lineitem ORDER BY note LIMIT 12")
@@ -213,3 +220,61 @@ def undeclared_navigation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """DQ4: scenarios whose navigation is not declared; documents stand for navigation files."""
     docs = read(spark, sf_dir, "documents").join(read(spark, sf_dir, "labels").select("doc_id", (F.col("toxic") == 1).alias("synthetic")), "doc_id", "left")
     return S.undeclared_navigation(docs.select(F.col("doc_id").alias("scenario"), F.col("lang").alias("navigation"), F.col("source").alias("license"), "synthetic", F.nullif("text", F.lit("")).alias("track")))
+
+
+@query(
+    """WITH l AS (SELECT l_orderkey AS frame, l_returnflag AS cls FROM lineitem), m AS (SELECT o_orderkey AS frame, CASE WHEN o_orderkey % 4 = 0 THEN 'test' WHEN o_orderkey % 4 = 1 THEN 'val' ELSE 'train' END AS split FROM orders),
+    h AS (SELECT split, count(*) AS total_objects, count(DISTINCT frame) AS positive_frames, count_if(cls = 'A') AS a, count_if(cls = 'N') AS n, count_if(cls = 'R') AS r FROM l JOIN m USING (frame) GROUP BY split)
+    SELECT split, frames, positive_frames, frames - positive_frames AS negative_frames, total_objects, 'A=' || a || ' N=' || n || ' R=' || r AS objects FROM h JOIN (SELECT split, count(*) AS frames FROM m GROUP BY split) USING (split)"""
+)
+def split_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK10: what a data set's manifest says of each split."""
+    r = F.col("o_orderkey") % 4
+    frames = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("frame"), F.when(r == 0, "test").when(r == 1, "val").otherwise("train").alias("split"))
+    found = W.split_manifest(frames, read(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_returnflag").alias("cls")))
+    objects = F.array_join(F.transform(F.map_entries("objects"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), " ")
+    return found.withColumn("objects", objects)
+
+
+@query(
+    """WITH r AS (SELECT 'E' || p_partkey AS experiment_id, p_size / 50 AS recall, CASE WHEN p_partkey % 2 = 0 THEN p_brand END AS notes FROM part UNION ALL SELECT 'F' || c_custkey, NULL, NULL FROM customer)
+    SELECT experiment_id, recall, notes FROM r"""
+)
+def experiment_registry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SNK7, SRC10: two batches of experiments, of different columns, appended to a registry of JSON lines and read again."""
+    path = f"{shared_folder(spark)}/registry-{uuid.uuid4().hex}"
+    first = read(spark, sf_dir, "part").select(F.concat(F.lit("E"), "p_partkey").alias("experiment_id"), (F.col("p_size") / 50).alias("recall"), F.when(F.col("p_partkey") % 2 == 0, F.col("p_brand")).alias("notes"))
+    W.append_registry(first, path)
+    W.append_registry(read(spark, sf_dir, "customer").select(F.concat(F.lit("F"), "c_custkey").alias("experiment_id")), path)
+    return models.read_experiments(spark, path).select("experiment_id", "recall", "notes")
+
+
+@query(
+    """SELECT lang AS scenario, 'Scenario ' || lang AS title, count(*) AS frame_count, min('d' || lpad(doc_id::VARCHAR, 9, '0')) AS first_frame, max('d' || lpad(doc_id::VARCHAR, 9, '0')) AS last_frame,
+    CASE WHEN lang = 'en' THEN 'SYNTHETIC - see navigation.csv header' ELSE 'none - geolocation will report UNAVAILABLE' END AS navigation, 'CC BY 4.0' AS license FROM documents GROUP BY lang"""
+)
+def scenario_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """GEN2: descriptions of scenarios, written and read again; documents stand for frames and languages for scenarios."""
+    path = f"{shared_folder(spark)}/scenarios-{uuid.uuid4().hex}"
+    frames = read(spark, sf_dir, "documents").select(F.col("lang").alias("scenario"), F.concat(F.lit("d"), F.lpad(F.col("doc_id").cast("string"), 9, "0")).alias("frame"))
+    info = frames.select("scenario").distinct().select("scenario", F.concat(F.lit("Scenario "), "scenario").alias("title"), F.lit("CC BY 4.0").alias("license"), (F.col("scenario") == "en").alias("synthetic_navigation"))
+    W.write_scenarios(W.scenarios(frames, info), path)
+    back = spark.read.text(path).select("scenario", F.from_json("value", "title string, frame_count long, frames array<string>, navigation string, license string").alias("s"))
+    return back.select("scenario", "s.title", "s.frame_count", F.get("s.frames", F.lit(0)).alias("first_frame"), F.element_at("s.frames", -1).alias("last_frame"), "s.navigation", "s.license")
+
+
+@query("SELECT p_partkey AS id, ['none', 'standard', 'split', 'slant', 'blind', 'unknown'][p_size % 6 + 1] AS profile, p_size % 6 IN (0, 1, 4) AS safe FROM part")
+def geometry_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """FLT8: whether labels may be copied along with frames of a profile: not where it moves pixels, nor where nobody knows it."""
+    profiles = {"none": "none", "standard": "standard", "split": I.Conditioning(band="split"), "slant": I.Conditioning(slant=True, altitude=4.0), "blind": I.Conditioning(slant=True), "unknown": "no such profile"}
+
+    def safe(profile: str | I.Conditioning) -> bool:
+        try:
+            I.check_geometry_safe(profile)
+        except ValueError:
+            return False
+        return True
+
+    verdicts = F.create_map(*[F.lit(x) for name, profile in profiles.items() for x in (name, safe(profile))])
+    named = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(*map(F.lit, profiles)), (F.col("p_size") % 6 + 1).cast("int")).alias("profile"))
+    return named.withColumn("safe", verdicts[F.col("profile")])

@@ -41,10 +41,6 @@ IOU = f"({INTER}) / greatest({AREA_A} + {AREA_B} - ({INTER}), 1e-9)"
 IOS = f"({INTER}) / greatest(least({AREA_A}, {AREA_B}), 1e-9)"
 
 
-def steady_sql(x: str) -> str:
-    return f"floor(({x}) * 1e6 + 0.3003) / 1e6"
-
-
 def micro_sql(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 

@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
 
@@ -23,3 +23,22 @@ def ship(spark: SparkSession) -> None:
             z.write(file, file.relative_to(package.parent))
     spark.sparkContext.addPyFile(str(archive))
     _sent.add(app)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; local sessions get one of their own, a cluster without one is an error."""
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = tempfile.mkdtemp(prefix="fathomline-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(named)
+    return named.rstrip("/")
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cuts the lineage in the shared folder: what follows reads files, so a lost executor can't change what they hold."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()

@@ -56,10 +56,20 @@ def load_calibrator(spark: SparkSession, path: str) -> Platt:
     return Platt(found["a"], found["b"], True) if found.get("fitted") else Platt()
 
 
+def _card_path(weights: str) -> str:
+    folder, _, name = weights.rpartition("/")
+    card = f"{name.rpartition('.')[0] or name}.meta.json"
+    return f"{folder}/{card}" if folder else card
+
+
+def save_model_card(spark: SparkSession, weights: str, content: dict[str, Any]) -> None:
+    """Writes what a model was trained on beside its weights."""
+    _save(spark, _card_path(weights), content)
+
+
 def read_model_card(spark: SparkSession, weights: str) -> dict[str, Any]:
     """What is known of a model: the ``.meta.json`` beside its weights, or the profile "none", marked as assumed, if that is missing or broken."""
-    folder, _, name = weights.rpartition("/")
-    path = f"{folder}/{name.rpartition('.')[0] or name}.meta.json" if folder else f"{name.rpartition('.')[0] or name}.meta.json"
+    path = _card_path(weights)
     text = _text(spark, path)
     try:
         return {**json.loads(text or ""), "_source": path}

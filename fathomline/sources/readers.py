@@ -9,16 +9,20 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Mapping
+from collections.abc import Callable, Iterator, Mapping
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from fathomline.functions.boxes import from_centre
+from fathomline.operators.images import to_pixels
+from fathomline.sources import tiff
 
-RASTER_SUFFIXES = (".png", ".pgm")
+RASTER_SUFFIXES = (".png", ".jpg", ".jpeg", ".tif", ".tiff", ".bmp", ".pgm")
 
 #: Names under which a navigation table's columns are known. Fixed values of the format.
 NAV_ALIASES = {
@@ -131,19 +135,72 @@ def taxonomy(spark: SparkSession, mapping: Mapping, source: str) -> DataFrame:
 LUMA = np.array([0.299, 0.587, 0.114])
 
 
-def decode_raster(data: bytes) -> np.ndarray | None:
-    """A grey image of 8 bits from PNG (8 or 16 bits, not interlaced) or binary PGM bytes; None if it can't be read.
+Decoder = Callable[[bytes], np.ndarray]
+
+
+def to_8_bits(image: np.ndarray) -> np.ndarray:
+    """Levels of 16 bits are stretched between their 0.1st and 99.9th percentile, other values between their extremes."""
+    if image.dtype == np.uint8:
+        return image
+    values = image.astype(np.float64)
+    if image.dtype == np.uint16:
+        low, high = np.percentile(values, [0.1, 99.9])
+        return (np.clip((values - low) / max(high - low, 1.0), 0, 1) * 255).astype(np.uint8)
+    low, high = values.min(), values.max()
+    return ((values - low) / max(high - low, 1e-6) * 255).astype(np.uint8)
+
 
-    Values of 16 bits are stretched between their 0.1st and 99.9th percentile.
+def decoded(data: bytes, suffix: str = "", decoders: Mapping[str, Decoder] | None = None) -> tuple[np.ndarray, dict | None]:
+    """(grey image of 8 bits, georeference or None) of a file's bytes; a ValueError says why there is none.
+
+    A decoder given for the suffix (with its dot, in lower case) comes first
+    and returns an array of height by width, or by width by channels. Else the
+    bytes themselves tell PNG, TIFF, BMP and PGM apart.
     """
+    if decoders and suffix in decoders:
+        image = np.asarray(decoders[suffix](data))
+        if image.ndim == 3:
+            image = image[..., :3].astype(float) @ LUMA if image.shape[-1] >= 3 else image[..., 0]
+            image = np.rint(image).astype(np.uint8) if image.max(initial=0) <= 255 else image
+        return to_8_bits(image), None
+    try:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            return to_8_bits(_png(data)), None
+        if data[:2] == b"P5":
+            return to_8_bits(_pgm(data)), None
+        if data[:2] == b"BM":
+            return _bmp(data), None
+        if data[:4] in (b"II*\0", b"MM\0*"):
+            file = tiff.read(data)
+            return to_8_bits(tiff.grey(file, LUMA)), tiff.georeference(file.tags)
+    except (IndexError, struct.error, zlib.error) as error:
+        raise ValueError(f"broken file: {error!r}") from error
+    raise ValueError(f"no decoder for {suffix}" if data else "empty file")
+
+
+def decode_raster(data: bytes) -> np.ndarray | None:
+    """A grey image of 8 bits from PNG, TIFF, BMP or PGM bytes; None if it can't be read."""
     try:
-        image = _png(data) if data[:8] == b"\x89PNG\r\n\x1a\n" else _pgm(data) if data[:2] == b"P5" else None
-    except (ValueError, IndexError, struct.error, zlib.error):
+        return decoded(data)[0]
+    except ValueError:
         return None
-    if image is None or image.dtype == np.uint8:
-        return image
-    low, high = np.percentile(image, [0.1, 99.9])
-    return (np.clip((image - low) / max(high - low, 1.0), 0, 1) * 255).astype(np.uint8)
+
+
+def _bmp(data: bytes) -> np.ndarray:
+    """Uncompressed bitmaps of 8, 24 or 32 bits."""
+    (start, _, width, height, _, depth, packed) = struct.unpack("<IIiiHHI", data[10:34])
+    if packed not in (0, 3) or depth not in (8, 24, 32) or width <= 0:
+        raise ValueError(f"bitmap of {depth} bits, compression {packed}")
+    line = (width * depth // 8 + 3) // 4 * 4
+    rows = np.frombuffer(data, np.uint8, line * abs(height), start).reshape(abs(height), line)
+    rows = rows[::-1] if height > 0 else rows
+    pixels = rows[:, : width * depth // 8].reshape(abs(height), width, depth // 8)
+    if depth == 8:
+        (used,) = struct.unpack("<I", data[46:50])
+        (head,) = struct.unpack("<I", data[14:18])
+        table = np.frombuffer(data, np.uint8, 4 * (used or 256), 14 + head).reshape(-1, 4)
+        pixels = table[pixels[..., 0]]
+    return np.rint(pixels[..., 2::-1].astype(float) @ LUMA).astype(np.uint8)
 
 
 def _pgm(data: bytes) -> np.ndarray:
@@ -202,16 +259,46 @@ def _png(data: bytes) -> np.ndarray:
     return grey.round().astype(np.uint16 if depth == 16 else np.uint8)
 
 
-def read_rasters(spark: SparkSession, path: str) -> DataFrame:
-    """``frame, ping, bin, v`` of all images at ``path``; files that can't be decoded, or aren't rasters, are left out."""
-    files = spark.read.format("binaryFile").load(path).filter(F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).isin(*RASTER_SUFFIXES))
+GEOREFERENCE = "struct<affine: array<double>, epsg: int>"
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for name, data in zip(batch["frame"], batch["content"], strict=True):
-                image = decode_raster(data)
-                if image is not None:
-                    yield pd.DataFrame({"frame": name, "ping": np.arange(len(image)), "samples": [row.astype(float) / 255 for row in image]})
 
-    pings = files.select(stem(F.col("path")).alias("frame"), "content").mapInPandas(decode, "frame string, ping long, samples array<double>")
-    return pings.select("frame", "ping", F.posexplode("samples").alias("bin", "v"))
+def read_frames(spark: SparkSession, path: str, decoders: Mapping[str, Decoder] | None = None) -> DataFrame:
+    """``path, frame, height, width, pixels, georef, error`` of every file at ``path``: an image, or why it is none.
+
+    Pixels are 8-bit levels over 255 in reading order. ``georef`` is null for
+    files that say nothing of their place. Files of other suffixes than
+    RASTER_SUFFIXES and those of ``decoders`` are reported like undecodable
+    ones, with null pixels; nothing is left out. Formats without a decoder here
+    (JPEG) need one given by suffix; it runs on the executors.
+    """
+    known = {*RASTER_SUFFIXES, *(decoders or {})}
+    files = spark.read.format("binaryFile").load(path).select("path", stem(F.col("path")).alias("frame"), F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"), "content")
+    schema = f"path string, frame string, height int, width int, pixels array<double>, georef {GEOREFERENCE}, error string"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for name, frame, suffix, data in zip(*[batch.column(c).to_pylist() for c in ("path", "frame", "suffix", "content")], strict=True):
+                row = {"path": name, "frame": frame}
+                try:
+                    if suffix not in known:
+                        raise ValueError(f"not a raster: {suffix or 'no suffix'}")
+                    image, georef = decoded(data, suffix, decoders)
+                    row |= {"height": image.shape[0], "width": image.shape[1], "pixels": image.ravel() / 255, "georef": georef}
+                except ValueError as error:
+                    row["error"] = str(error)
+                rows.append(row)
+            yield pa.RecordBatch.from_arrays([pa.array([r.get(f.name) for r in rows], f.type) for f in arrow], schema=arrow)
+
+    return files.mapInArrow(decode, schema)
+
+
+def left_out(frames: DataFrame) -> DataFrame:
+    """``path, error`` of the files that gave no image."""
+    return frames.filter("error is not null").select("path", "error")
+
+
+def read_rasters(spark: SparkSession, path: str, decoders: Mapping[str, Decoder] | None = None) -> DataFrame:
+    """``frame, ping, bin, v`` of all images at ``path``; ``left_out`` of ``read_frames`` tells which files are none."""
+    return to_pixels(read_frames(spark, path, decoders).filter("error is null"))
