@@ -41,40 +41,43 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 
 #: Primes and bases of the word hash: two polynomials modulo primes, so that no word is hit by the structure of powers of two.
 FIELDS = ((2147483647, 1103515245), (2147483629, 1566083941))
-#: Up to this many bytes the sums of byte times power stay below 2**64.
+#: Words are hashed in runs of about this many bytes, which bounds the memory; a longer word is a run of its own.
+RUN = 1 << 20
+#: Up to this many bytes a sum of byte times power stays below 2**64.
 UNREDUCED = 1 << 24
-_powers: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+_powers: dict[int, list[np.ndarray]] = {}
 
 
-def powers(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each field, powers of its base and of the base's inverse, at least n of each."""
-    size = 1 << max(12, n.bit_length())
+def powers(n: int) -> list[np.ndarray]:
+    """For each field, powers of its base, at least n of them."""
+    size = 1 << max(10, n.bit_length())
     if size not in _powers:
         _powers.clear()
-        made = []
-        for prime, base in FIELDS:
-            pair = []
-            for b in (base, pow(base, -1, prime)):
-                steps = np.ones(size, dtype=np.uint64)
-                have = 1
-                while have < size:
-                    steps[have : 2 * have] = steps[:have] * np.uint64(pow(b, have, prime)) % np.uint64(prime)
-                    have *= 2
-                pair.append(steps)
-            made.append(tuple(pair))
-        _powers[size] = made
+        _powers[size] = [np.ones(size, dtype=np.uint64) for _ in FIELDS]
+        for steps, (prime, base) in zip(_powers[size], FIELDS, strict=True):
+            have = 1
+            while have < size:
+                steps[have : 2 * have] = steps[:have] * np.uint64(pow(base, have, prime)) % np.uint64(prime)
+                have *= 2
     return _powers[size]
 
 
 def stretch_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A hash of each stretch of bytes, 62 bits from two fields and its length."""
     out = np.zeros(len(starts), dtype=np.uint64)
-    values = data.astype(np.uint64) + np.uint64(1)
-    for (prime, _), (up, down) in zip(FIELDS, powers(len(data) + 1), strict=True):
-        p = np.uint64(prime)
-        terms = values * up[: len(data)]
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(terms if len(data) < UNREDUCED else terms % p)])
-        out = (out << np.uint64(31)) | ((sums[ends] - sums[starts]) % p * down[starts] % p)
+    begin = 0
+    while begin < len(starts):
+        end = max(begin + 1, int(np.searchsorted(ends, starts[begin] + RUN)))
+        sizes = ends[begin:end] - starts[begin:end]
+        at = np.cumsum(sizes) - sizes
+        within = np.arange(int(sizes.sum())) - np.repeat(at, sizes)
+        values = data[within + np.repeat(starts[begin:end], sizes)].astype(np.uint64) + np.uint64(1)
+        longest = int(sizes.max())
+        for (prime, _), up in zip(FIELDS, powers(longest), strict=True):
+            terms = values * up[within]
+            sums = np.add.reduceat(terms if longest < UNREDUCED else terms % np.uint64(prime), at) % np.uint64(prime)
+            out[begin:end] = (out[begin:end] << np.uint64(31)) | sums
+        begin = end
     return mix(out ^ mix((ends - starts).astype(np.uint64), 3))
 
 
