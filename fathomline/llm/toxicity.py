@@ -297,8 +297,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Fits on at most ``rows_per_label`` labelled documents of each label, chosen by a hash of their identifier.
 
     Rows of ``labels`` without a label or identifier are not used; a document
-    labelled twice counts as toxic if either label says so. Without any
-    labelled row the scores are all the same.
+    labelled twice counts as toxic if either label says so, and of several rows
+    of one identifier the least text is taken. Without any labelled row the
+    scores are all the same.
     """
     marks = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     order = F.xxhash64("_id", F.lit(1))
@@ -306,7 +307,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     for value in (0, 1):
         part = marks.filter(F.col("_y") == value).orderBy(order, "_id").limit(rows_per_label)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").collect()
+    rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(chosen), "_id").groupBy("_id", "_y").agg(F.min("_text").alias("_text")).collect()
     rows = sorted({(r["_id"], r["_text"], r["_y"]) for r in rows})
     return train([r[1] for r in rows], np.array([r[2] for r in rows], dtype=float))
 
@@ -340,7 +341,7 @@ def score_toxicity(docs: DataFrame, model: Chain, text_col: str = "text") -> Dat
     return tagged.withColumn("score", F.col(tags)["score"]).withColumn("toxic_spans", F.col(tags)["spans"]).drop(tags)
 
 
-def portions(texts: list[str], chars: int = 4_000_000) -> Iterator[list[str]]:
+def portions(texts: list[str], chars: int = 1_000_000) -> Iterator[list[str]]:
     """Consecutive texts of about ``chars`` characters together."""
     part: list[str] = []
     size = 0
