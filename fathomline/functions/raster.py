@@ -371,7 +371,9 @@ def inpaint(image: Image, hole: np.ndarray, radius: int = 3) -> Image:
                     distance[ny, nx] = when
                     heapq.heappush(front, (when, ny, nx))
 
-    for y, x in zip(*np.nonzero(~hole), strict=True):
+    beside = np.pad(hole, 1)
+    beside = (beside[:-2, 1:-1] | beside[2:, 1:-1] | beside[1:-1, :-2] | beside[1:-1, 2:]) & ~hole
+    for y, x in zip(*np.nonzero(beside), strict=True):
         push_around(int(y), int(x))
     while front:
         when, y, x = heapq.heappop(front)

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 
+from fathomline.functions.geo import affine_from_tiepoint, epsg_from_geokeys
+
 #: Bytes of each field type. Fixed values of the format.
 SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 CODES = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d"}
@@ -179,7 +181,8 @@ def grey(tiff: Tiff, luma: np.ndarray) -> np.ndarray:
     if tags[BITS][0] == 1:
         pixels = pixels * np.uint8(255)
     if pixels.ndim == 3:
-        pixels = (pixels[..., :3].astype(float) @ luma if pixels.shape[-1] >= 3 else pixels[..., 0].astype(float)).astype(pixels.dtype) if pixels.dtype.kind == "f" else np.rint(pixels[..., :3].astype(float) @ luma if pixels.shape[-1] >= 3 else pixels[..., 0]).astype(pixels.dtype)
+        one = pixels[..., :3].astype(float) @ luma if pixels.shape[-1] >= 3 else pixels[..., 0].astype(float)
+        pixels = (one if pixels.dtype.kind == "f" else np.rint(one)).astype(pixels.dtype)
     if photometric == 0 and pixels.dtype.kind == "u":
         return np.iinfo(pixels.dtype).max - pixels
     return pixels
@@ -191,8 +194,6 @@ def georeference(tags: dict[int, tuple]) -> dict | None:
     A transformation matrix comes before pixel scale and tie point. Without
     an EPSG code in place among the keys, degrees on WGS84 are meant.
     """
-    from fathomline.functions.geo import affine_from_tiepoint, epsg_from_geokeys
-
     if len(tags.get(TRANSFORMATION, ())) >= 8:
         m = tags[TRANSFORMATION]
         affine = (m[0], m[1], m[3], m[4], m[5], m[7])
