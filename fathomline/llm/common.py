@@ -13,6 +13,8 @@ FILTER_BLOCKS = 256
 FILTER_BITS = FILTER_BLOCKS * 32768
 #: Spark's setting that removes an execution's shuffle files at its end.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Spark's setting of how many rows an Arrow batch has at most.
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -55,11 +57,14 @@ class Scratch:
     Writing a table cuts the lineage and survives lost executors: every later
     stage reads files that all machines see. The shuffle files of a table are
     removed once it is written. ``drop`` and ``keep`` free tables that no
-    lazily evaluated result still needs.
+    lazily evaluated result still needs. Where ``arrow_rows`` is set, Arrow
+    batches of what is written hold at most so many rows, for rows that may be
+    long lists.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        self.arrow_rows: int | None = None
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
 
@@ -70,12 +75,15 @@ class Scratch:
     def table(self, df: DataFrame, sort: str | None = None, **options: str) -> DataFrame:
         path = self.path()
         out = df.sortWithinPartitions(sort) if sort else df
-        before = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
+        during = {CLEANUP: "true"} | ({ARROW_ROWS: str(self.arrow_rows)} if self.arrow_rows else {})
+        before = {key: self.spark.conf.get(key, "false" if key == CLEANUP else "10000") for key in during}
         try:
+            for key, value in during.items():
+                self.spark.conf.set(key, value)
             out.write.options(compression="zstd", **options).parquet(path)
         finally:
-            self.spark.conf.set(CLEANUP, before)
+            for key, value in before.items():
+                self.spark.conf.set(key, value)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept.scratch_path = path
         return kept

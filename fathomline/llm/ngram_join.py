@@ -27,7 +27,9 @@ COMPARED = 1024
 #: How often large buckets are centred anew before all their pairs are looked at.
 LEVELS = 3
 ORDERS = 3
-PORTION = 2_000_000
+PORTION = 1_000_000
+#: Rows of an Arrow batch: two sets of a long text each are some 300 KB a row.
+BATCH = 256
 BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -42,7 +44,7 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
 #: Primes and bases of the word hash: two polynomials modulo primes, so that no word is hit by the structure of powers of two.
 FIELDS = ((2147483647, 1103515245), (2147483629, 1566083941))
 #: Words are hashed in runs of about this many bytes, which bounds the memory; a longer word is a run of its own.
-RUN = 1 << 20
+RUN = 1 << 19
 #: Up to this many bytes a sum of byte times power stays below 2**64.
 UNREDUCED = 1 << 24
 _powers: dict[int, list[np.ndarray]] = {}
@@ -353,6 +355,7 @@ def similar_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "ngram-join")
+    scratch.arrow_rows = BATCH
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
     named = source.filter("id is not null")
     common = spark.sparkContext.broadcast(common_shingles(named, k, scratch))
