@@ -59,10 +59,11 @@ def geographic_edges(obs: DataFrame, radius_m: float = 12.0, class_aware: bool =
     there = located.withColumn("grid", F.explode(F.filter(F.array(*map(F.lit, used)), lambda g: g >= F.col("level")))).withColumn("row", _row_of(F.col("lat"), F.col("grid")))
     there = there.withColumn("col", _column_of(F.col("lon"), F.col("row"), F.col("grid"))[0])
     there = there.select("grid", "row", "col", "cls", *[F.col(c).alias(f"o_{c}") for c in ("obs", "lat", "lon", "unc", "level")])
-    steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    here = located.withColumn("row", F.explode(F.transform(steps, lambda d: _row_of(F.col("lat"), F.col("level")) + d)))
+    # Plain columns and literal arrays compile; the same in lambdas would be interpreted row by row.
+    here = located.withColumn("step", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1)))).withColumn("row", _row_of(F.col("lat"), F.col("level")) + F.col("step"))
     column, n = _column_of(F.col("lon"), F.col("row"), F.col("level"))
-    here = here.withColumn("col", F.explode(F.array_distinct(F.transform(steps, lambda d: F.pmod(column + d, n))))).withColumnRenamed("level", "grid")
+    here = here.withColumn("n", n).withColumn("at", column).withColumn("step", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).filter("step < n")
+    here = here.withColumn("col", F.pmod(F.col("at") + F.col("step") - 1, F.col("n"))).drop("at", "n", "step").withColumnRenamed("level", "grid")
     met = here.join(there, ["grid", "row", "col", "cls"]).filter((F.col("o_level") < F.col("grid")) | (F.col("obs") < F.col("o_obs"))).filter("obs <> o_obs")
     near = haversine_m(F.col("lat"), F.col("lon"), F.col("o_lat"), F.col("o_lon")) <= radius_m + 0.5 * (F.col("unc") + F.col("o_unc"))
     return met.filter(near).select(F.least("obs", "o_obs").alias("a"), F.greatest("obs", "o_obs").alias("b"))
