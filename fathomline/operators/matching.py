@@ -100,21 +100,23 @@ def suppress(boxes: DataFrame, keys: list[str], iou_over: float, ios_over: float
     Too much is an IoU over ``iou_over`` or, where given, an intersection over
     the smaller box above ``ios_over``. Boxes of different ``keys`` never meet,
     so a class in ``keys`` makes the suppression class-wise. Equal scores go by
-    ``idx``.
+    ``idx``, and boxes of one ``idx``, which are boxes of their own, by their corners.
     """
-    pairs = pairwise(boxes, boxes, keys).filter("a_idx <> b_idx")
+    order = Window.partitionBy(*keys).orderBy((-F.col("score")).asc_nulls_last(), "idx", "x0", "y0", "x1", "y1")
+    ranked = boxes.withColumn("shown", F.col("idx")).withColumn("idx", F.row_number().over(order))
+    pairs = pairwise(ranked, ranked, keys).filter("b_idx < a_idx")
     over = F.col("iou") > iou_over
     pairs = pairs.filter(over if ios_over is None else over | (F.col("ios") > ios_over))
     against = pairs.groupBy(*keys, F.col("a_idx").alias("idx")).agg(F.collect_list("b_idx").alias("against"))
-    queued = boxes.select(*keys, "idx", "score").join(against, [*keys, "idx"], "left")
-    frames = queued.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "idx", "against"))).alias("queue"))
-    kind = boxes.schema["idx"].dataType.simpleString()
+    queued = ranked.select(*keys, "idx", "shown").join(against, [*keys, "idx"], "left")
+    frames = queued.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "shown", "against"))).alias("queue"))
 
     def step(kept: Column, box: Column) -> Column:
         clear = ~F.coalesce(F.arrays_overlap(kept, box["against"]), F.lit(False))
         return F.when(clear, F.concat(kept, F.array(box["idx"]))).otherwise(kept)
 
-    return frames.select(*keys, F.explode(F.aggregate("queue", F.array().cast(f"array<{kind}>"), step)).alias("idx"))
+    stay = frames.select(*keys, "queue", F.explode(F.aggregate("queue", F.array().cast("array<int>"), step)).alias("at"))
+    return stay.select(*keys, F.get("queue", F.col("at") - 1)["shown"].alias("idx"))
 
 
 def plan_tiles(frames: DataFrame, size: int, overlap: int) -> DataFrame:

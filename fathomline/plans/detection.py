@@ -84,7 +84,7 @@ def _suppress_sql(keys: str, over: str) -> str:
     same = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
     join = " AND ".join(f"q.{k} = s.{k}" for k in keys.split(", "))
     return f"""WITH RECURSIVE {BOXES}, ranked AS (
-        SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, idx) AS k FROM boxes
+        SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY score DESC, idx, x0, y0, x1, y1) AS k FROM boxes
     ), against AS (SELECT {", ".join("a." + k for k in keys.split(", "))}, a.k, list(b.k) AS against FROM ranked a JOIN ranked b ON {same} AND b.k < a.k AND ({over}) GROUP BY ALL
     ), queue AS (SELECT r.*, coalesce(x.against, []) AS against FROM ranked r LEFT JOIN against x USING ({keys}, k)
     ), step AS (
