@@ -62,8 +62,8 @@ def fused_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {CANDIDATES}, parts AS ({" UNION ALL ".join(f"SELECT id, '{n}' AS feature, {p} AS c FROM candidates" for n, p in _PARTS.items())}),
-    ranked AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(c) DESC, feature) AS place FROM parts) SELECT id, place, feature, {micro_sql("c")} AS contribution FROM ranked WHERE place <= 3"""
+    f"""WITH {CANDIDATES}, each AS MATERIALIZED (SELECT *, row_number() OVER () AS one FROM candidates), parts AS ({" UNION ALL ".join(f"SELECT one, id, '{n}' AS feature, {p} AS c FROM each" for n, p in _PARTS.items())}),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY one ORDER BY abs(c) DESC, feature) AS place FROM parts) SELECT id, place, feature, {micro_sql("c")} AS contribution FROM ranked WHERE place <= 3"""
 )
 def top3_contributions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WN12: the three features that move a candidate most."""
