@@ -34,7 +34,7 @@ band AS (SELECT frame, a, b FROM pick WHERE k = 1 AND b - a >= 3 AND b - a <= 0.
 
 _GLOBAL = "globals AS (SELECT frame, quantile_cont(v, 0.99) - quantile_cont(v, 0.01) AS dr, count(DISTINCT floor(v * 255)) AS levels, avg(CASE WHEN v <= 1e-6 OR v >= 1 - 1e-6 THEN 1.0 ELSE 0.0 END) AS sat FROM pings GROUP BY frame)"
 _DEAD = _dead_sql("pings")
-_SPECKLE = """blocks AS (SELECT frame, avg(v) AS mu, stddev_pop(v) AS sd FROM pings WHERE ping < 48 AND bin < 64 GROUP BY frame, ping // 16, bin // 16), cvs AS (SELECT frame, sd / mu AS cv FROM blocks WHERE mu > 1e-3),
+_SPECKLE = """blocks AS (SELECT frame, avg(v) AS mu, stddev_pop(v) AS sd FROM (SELECT *, max(ping) OVER (PARTITION BY frame) + 1 AS high FROM pings) WHERE high >= 4 AND ping < high // least(16, high) * least(16, high) AND bin < 64 GROUP BY frame, ping // least(16, high), bin // 16), cvs AS (SELECT frame, sd / mu AS cv FROM blocks WHERE mu > 1e-3),
 cut AS (SELECT frame, quantile_cont(cv, 0.25) AS q FROM cvs GROUP BY frame), speckle AS (SELECT frame, median(cv) AS speckle FROM cvs JOIN cut USING (frame) WHERE cv <= q GROUP BY frame)"""
 _BLUR = """lap AS (SELECT frame, -4 * v + lag(v) OVER al + lead(v) OVER al + lag(v) OVER ac + lead(v) OVER ac AS lap FROM pings WINDOW al AS (PARTITION BY frame, bin ORDER BY ping), ac AS (PARTITION BY frame, ping ORDER BY bin)),
 blur AS (SELECT frame, var_pop(lap) AS blur FROM lap GROUP BY frame)"""
@@ -53,13 +53,24 @@ def _repair_sql(src: str, out: str) -> str:
     ), {out} AS (SELECT frame, ping, bin, CASE WHEN dead THEN coalesce((1 - (ping - p) / (n - p)) * pv + (ping - p) / (n - p) * nv, pv, nv, v) ELSE v END AS v FROM {out}_near)"""
 
 
-_MIRROR = "CASE WHEN {0} < 0 THEN -({0}) WHEN {0} >= {1} THEN 2 * {1} - 2 - ({0}) ELSE {0} END"
+#: Mirrored at the edges without repeating them, as often as it takes; a frame of one row stands for all.
+_MIRROR = "CASE WHEN {1} = 1 THEN 0 ELSE ({1}) - 1 - abs(({1}) - 1 - (({0}) + 4 * (({1}) - 1)) % (2 * greatest(({1}) - 1, 1))) END"
+
+
+def _across(bin: str) -> str:
+    """A bin mirrored at the sides; in a frame of one ping, which can't be mirrored, the ends are repeated."""
+    return f"CASE WHEN a.high = 1 THEN least(greatest({bin}, 0), 63) ELSE {_MIRROR.format(bin, '64')} END"
+
+
+def _tall(src: str) -> str:
+    """``src`` with each frame's own number of pings; the last frame of a table may have fewer than the others."""
+    return f"(SELECT *, max(ping) OVER (PARTITION BY frame) + 1 AS high FROM {src})"
 
 
 def _lee_sql(src: str, out: str) -> str:
     return f"""{out}_d(d) AS (VALUES (-2), (-1), (0), (1), (2)),
-    {out}_h AS (SELECT a.frame, a.ping, a.bin, sum(b.v) / 5 AS m, sum(b.v * b.v) / 5 AS q FROM {src} a CROSS JOIN {out}_d JOIN {src} b ON b.frame = a.frame AND b.ping = a.ping AND b.bin = {_MIRROR.format("a.bin + d", 64)} GROUP BY ALL),
-    {out}_l AS (SELECT a.frame, a.ping, a.bin, sum(b.m) / 5 AS m, sum(b.q) / 5 AS q FROM {out}_h a CROSS JOIN {out}_d JOIN {out}_h b ON b.frame = a.frame AND b.bin = a.bin AND b.ping = {_MIRROR.format("a.ping + d", 50)} GROUP BY ALL),
+    {out}_h AS (SELECT a.frame, a.ping, a.bin, a.high, sum(b.v) / 5 AS m, sum(b.v * b.v) / 5 AS q FROM {_tall(src)} a CROSS JOIN {out}_d JOIN {src} b ON b.frame = a.frame AND b.ping = a.ping AND b.bin = {_across("a.bin + d")} GROUP BY ALL),
+    {out}_l AS (SELECT a.frame, a.ping, a.bin, sum(b.m) / 5 AS m, sum(b.q) / 5 AS q FROM {out}_h a CROSS JOIN {out}_d JOIN {out}_h b ON b.frame = a.frame AND b.bin = a.bin AND b.ping = {_MIRROR.format("a.ping + d", "a.high")} GROUP BY ALL),
     {out}_g AS (SELECT frame, var_pop(v) / power(avg(v) + 1e-6, 2) AS cu2 FROM {src} GROUP BY frame), {out}_s AS (SELECT *, greatest(q - m * m, 0) AS var FROM {src} JOIN {out}_l USING (frame, ping, bin) JOIN {out}_g USING (frame)),
     {out} AS (SELECT frame, ping, bin, least(1, greatest(0, m + var / (var + cu2 * m * m + 1e-8) * (v - m))) AS v FROM {out}_s)"""
 
@@ -82,23 +93,26 @@ def _equalise_sql(src: str, out: str) -> str:
 
 
 def _clahe_sql(src: str, out: str) -> str:
-    """A grid of eight on 50 by 64 pixels: mirrored to 56 by 72, cells of 7 by 9, at most one pixel of a level."""
-    return f"""{out}_g AS (SELECT frame, ping, bin, floor(v * 255)::INTEGER AS g FROM {src}),
-    {out}_w AS (SELECT frame, y // 7 AS ty, x // 9 AS tx, g, count(*) AS n FROM range(56) a(y) CROSS JOIN range(72) b(x)
-        JOIN {out}_g ON ping = CASE WHEN y < 50 THEN y ELSE 98 - y END AND bin = CASE WHEN x < 64 THEN x ELSE 126 - x END GROUP BY ALL),
-    {out}_c AS (SELECT frame, ty, tx, sum(greatest(n - 1, 0))::INTEGER AS c FROM {out}_w GROUP BY ALL),
-    {out}_m AS (SELECT c.frame, c.ty, c.tx, r.k, least(coalesce(w.n, 0), 1) + CASE WHEN c > 0 AND k % greatest(256 // nullif(c, 0), 1) = 0 AND k // greatest(256 // nullif(c, 0), 1) < c THEN 1 ELSE 0 END AS n
+    """A grid of eight on frames of 64 columns: mirrored by what the grid lacks (a whole grid where one side fits already), cells of their own area."""
+    return f"""{out}_g AS (SELECT frame, ping, bin, high, floor(v * 255)::INTEGER AS g FROM {_tall(src)}),
+    {out}_a AS (SELECT *, (high + 8 - high % 8) // 8 AS ch, 9 AS cw FROM (SELECT frame, any_value(high) AS high FROM {out}_g GROUP BY frame) WHERE high % 8 > 0 UNION ALL
+        SELECT *, high // 8, 8 FROM (SELECT frame, any_value(high) AS high FROM {out}_g GROUP BY frame) WHERE high % 8 = 0),
+    {out}_b AS (SELECT *, ch * cw AS area, greatest(2 * ch * cw // 256, 1) AS clip FROM {out}_a),
+    {out}_p AS (SELECT frame, y // ch AS ty, x // cw AS tx, {_MIRROR.format("y", "high")} AS ping, {_across("x")} AS bin FROM {out}_b a JOIN range(64) p(y) ON y < 8 * ch JOIN range(72) q(x) ON x < 8 * cw),
+    {out}_w AS (SELECT frame, ty, tx, g, count(*) AS n FROM {out}_p JOIN {out}_g USING (frame, ping, bin) GROUP BY ALL),
+    {out}_c AS (SELECT frame, ty, tx, any_value(area) AS area, any_value(clip) AS clip, sum(greatest(n - clip, 0))::INTEGER AS c FROM {out}_w JOIN {out}_b USING (frame) GROUP BY ALL),
+    {out}_m AS (SELECT c.frame, c.ty, c.tx, c.area, r.k, least(coalesce(w.n, 0), clip) + c // 256 + CASE WHEN c % 256 > 0 AND k % greatest(256 // nullif(c % 256, 0), 1) = 0 AND k // greatest(256 // nullif(c % 256, 0), 1) < c % 256 THEN 1 ELSE 0 END AS n
         FROM {out}_c c CROSS JOIN range(256) r(k) LEFT JOIN {out}_w w ON w.frame = c.frame AND w.ty = c.ty AND w.tx = c.tx AND w.g = r.k),
-    {out}_t AS (SELECT frame, ty, tx, k, least(255, round_even(sum(n) OVER (PARTITION BY frame, ty, tx ORDER BY k) * (255.0::DOUBLE / 63), 0)) AS t FROM {out}_m),
-    {out}_x AS (SELECT frame, ping, bin, g, floor(ping / 7 - 0.5)::INTEGER AS fy, ping / 7 - 0.5 - floor(ping / 7 - 0.5) AS dy, floor(bin / 9 - 0.5)::INTEGER AS fx, bin / 9 - 0.5 - floor(bin / 9 - 0.5) AS dx FROM {out}_g),
+    {out}_t AS (SELECT frame, ty, tx, k, least(255, round_even(sum(n) OVER (PARTITION BY frame, ty, tx ORDER BY k) * (255.0::DOUBLE / area), 0)) AS t FROM {out}_m),
+    {out}_x AS (SELECT frame, ping, bin, g, floor(ping / ch - 0.5)::INTEGER AS fy, ping / ch - 0.5 - floor(ping / ch - 0.5) AS dy, floor(bin / cw - 0.5)::INTEGER AS fx, bin / cw - 0.5 - floor(bin / cw - 0.5) AS dx FROM {out}_g JOIN {out}_b USING (frame)),
     {out} AS (SELECT x.frame, ping, bin, round_even((a.t * (1 - dx) + b.t * dx) * (1 - dy) + (c.t * (1 - dx) + d.t * dx) * dy, 0) / 255 AS v FROM {out}_x x
         JOIN {out}_t a ON a.frame = x.frame AND a.k = g AND a.ty = greatest(fy, 0) AND a.tx = greatest(fx, 0) JOIN {out}_t b ON b.frame = x.frame AND b.k = g AND b.ty = a.ty AND b.tx = least(fx + 1, 7)
         JOIN {out}_t c ON c.frame = x.frame AND c.k = g AND c.ty = least(fy + 1, 7) AND c.tx = a.tx JOIN {out}_t d ON d.frame = x.frame AND d.k = g AND d.ty = c.ty AND d.tx = b.tx)"""
 
 
 def _median_sql(src: str, out: str) -> str:
-    return f"""{out}_d(dx) AS (VALUES (-1), (0), (1)), {out}_e(dy) AS (VALUES (-1), (0), (1)), {out} AS (SELECT a.frame, a.ping, a.bin, median(b.v) AS v FROM {src} a CROSS JOIN {out}_d CROSS JOIN {out}_e
-    JOIN {src} b ON b.frame = a.frame AND b.ping = least(greatest(a.ping + dy, 0), 49) AND b.bin = least(greatest(a.bin + dx, 0), 63) GROUP BY ALL)"""
+    return f"""{out}_d(dx) AS (VALUES (-1), (0), (1)), {out}_e(dy) AS (VALUES (-1), (0), (1)), {out} AS (SELECT a.frame, a.ping, a.bin, median(b.v) AS v FROM {_tall(src)} a CROSS JOIN {out}_d CROSS JOIN {out}_e
+    JOIN {src} b ON b.frame = a.frame AND b.ping = least(greatest(a.ping + dy, 0), a.high - 1) AND b.bin = least(greatest(a.bin + dx, 0), 63) GROUP BY ALL)"""
 
 
 def _levels_sql(src: str, out: str) -> str:
@@ -242,7 +256,7 @@ def median_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {PINGS}, y AS (SELECT unnest(range(0, 35, 8)) AS py), x AS (SELECT unnest(range(0, 49, 8)) AS px) SELECT frame, py::INTEGER AS py, px::INTEGER AS px, count(*) AS pixels, {micro_sql("avg(v)")} AS mean
-    FROM pings JOIN y ON ping >= py AND ping < py + 16 JOIN x ON bin >= px AND bin < px + 16 GROUP BY ALL"""
+    FROM {_tall("pings")} JOIN y ON ping >= py AND ping < py + 16 AND py + 16 <= high JOIN x ON bin >= px AND bin < px + 16 GROUP BY ALL"""
 )
 def patch_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """IMG25, IMG23: overlapping square patches."""
@@ -354,8 +368,8 @@ def clahe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""WITH {PINGS}, o AS (SELECT dy, dx FROM range(-2, 3) a(dy) CROSS JOIN range(-2, 3) b(dx) WHERE dy * dy + dx * dx <= 4),
-    w AS (SELECT a.frame, a.ping, a.bin, b.v, exp(-(dy * dy + dx * dx) / 50.0 - power(b.v - a.v, 2) / 0.02) AS w FROM pings a CROSS JOIN o
-        JOIN pings b ON b.frame = a.frame AND b.ping = {_MIRROR.format("a.ping + dy", 50)} AND b.bin = {_MIRROR.format("a.bin + dx", 64)}),
+    w AS (SELECT a.frame, a.ping, a.bin, b.v, exp(-(dy * dy + dx * dx) / 50.0 - power(b.v - a.v, 2) / 0.02) AS w FROM {_tall("pings")} a CROSS JOIN o
+        JOIN pings b ON b.frame = a.frame AND b.ping = {_MIRROR.format("a.ping + dy", "a.high")} AND b.bin = {_across("a.bin + dx")}),
     done AS (SELECT frame, ping, bin, sum(w * v) / sum(w) AS v FROM w GROUP BY ALL) {_OUT.format(_five('v'), 'done')}"""
 )
 def bilateral(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -398,8 +412,11 @@ def _five_boxes(frames: DataFrame) -> DataFrame:
 
 
 @query(
-    f"""WITH {PINGS}, {_PLACES}, e AS (SELECT frame, idx, max(v) FILTER (WHERE ping >= y0 AND ping < y1 AND bin >= x0 AND bin < x1) - avg(v) AS c FROM pings JOIN b USING (frame)
-    WHERE idx < 4 AND bin >= x0 - 20 AND bin < x1 + 20 AND ping >= y0 - 20 AND ping < y1 + 20 GROUP BY ALL) SELECT frame, count(*) AS n, {micro_sql("63 / 3200")} AS area, {micro_sql("avg(c)")} AS contrast FROM e GROUP BY frame"""
+    f"""WITH {PINGS}, {_PLACES}, h AS (SELECT frame, max(ping) + 1 AS high FROM pings GROUP BY frame),
+    cut AS (SELECT frame, idx, high, x0, y0, least(x1, 64) AS x1, least(y1, high) AS y1 FROM b JOIN h USING (frame) WHERE idx < 4), n AS (SELECT frame, count(*) AS n FROM cut GROUP BY frame),
+    e AS (SELECT frame, idx, (x1 - x0) * (y1 - y0) / (high * 64) AS area, max(v) FILTER (WHERE ping >= y0 AND ping < y1 AND bin >= x0 AND bin < x1) - avg(v) AS c FROM pings JOIN cut USING (frame)
+    WHERE x1 > x0 AND y1 > y0 AND bin >= x0 - 20 AND bin < x1 + 20 AND ping >= y0 - 20 AND ping < y1 + 20 GROUP BY frame, idx, x0, y0, x1, y1, high)
+    SELECT frame, any_value(n) AS n, coalesce({micro_sql("avg(area)")}, 0) AS area, coalesce({micro_sql("avg(c)")}, 0) AS contrast FROM n LEFT JOIN e USING (frame) GROUP BY frame"""
 )
 def frame_target_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AG21: number, size and contrast of each frame's targets."""
