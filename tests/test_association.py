@@ -233,3 +233,23 @@ def test_precision_of_nothing(spark):
     flags = spark.createDataFrame([("b", 0.5, 0)], "cls string, score double, tp int")
     got = {r.cls: (r.n_det, r.ap) for r in matching.average_precision(flags, totals, ["cls"]).collect()}
     assert got == {"a": (0, 0.0), "b": (1, None)}
+
+
+def test_rows_close_together_are_linked_in_proportion(spark):
+    """Rows within the radius of each other, at places of their own: one link each, not one a pair; cells meet once."""
+    rows = [(k, "A", 12.9 + (k % 40) * 1e-6, 80.3 + (k // 40) * 1e-6, 5.0) for k in range(1600)]
+    obs = spark.createDataFrame(rows, "obs long, cls string, lat double, lon double, unc double")
+    links = dedup.geographic_links(obs)
+    assert links.count() < 1620
+    assert {r.cluster for r in dedup.components(obs, links).collect()} == {0}
+
+
+def test_rows_without_class_stand_alone(spark):
+    obs = spark.createDataFrame([(1, None, 1.0, 1.0, 5.0), (2, None, 1.0, 1.0, 5.0), (3, "A", 1.0, 1.0, 5.0), (4, "A", 1.0, 1.0, 5.0)], "obs long, cls string, lat double, lon double, unc double")
+    assert {r.obs: r.cluster for r in dedup.associate(obs)[0].collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_components_of_long_chains(spark):
+    edges = spark.range(3000).selectExpr("id as a", "id + 1 as b").filter("a % 1000 <> 999")
+    got = dedup.components(spark.range(3000).selectExpr("id as obs"), edges).collect()
+    assert len(got) == 3000 and all(r.cluster == r.obs // 1000 * 1000 for r in got)
