@@ -253,3 +253,35 @@ def test_components_of_long_chains(spark):
     edges = spark.range(3000).selectExpr("id as a", "id + 1 as b").filter("a % 1000 <> 999")
     got = dedup.components(spark.range(3000).selectExpr("id as obs"), edges).collect()
     assert len(got) == 3000 and all(r.cluster == r.obs // 1000 * 1000 for r in got)
+
+
+@pytest.mark.parametrize("centre", [(12.9, 80.3), (60.0, 179.99995)])
+def test_neighbours_are_counted_as_edges_are(spark, centre):
+    rng = np.random.default_rng(6)
+    rows = [(1000, "a", None, 1.0, 5.0), (1001, None, *centre, 5.0)]
+    for i in range(250):
+        lat, lon = centre[0] + float(rng.integers(-9, 9)) * 3e-5, centre[1] + float(rng.integers(-9, 9)) * 3e-5
+        rows.append((i, "ab"[i % 2], lat, (lon + 180) % 360 - 180, float(rng.choice([0.0, 1.0, 5.0, 90.0])) if i % 11 else None))
+    pairs = brute([r for r in rows if r[1]])
+    of_class = roots([r[0] for r in rows], pairs)
+    links = {r[0]: sum(r[0] in p for p in pairs) for r in rows}
+    got = dedup.geographic_neighbours(spark.createDataFrame(rows, "obs long, cls string, lat double, lon double, unc double")).collect()
+    assert sorted((r.obs, r.cluster, r.links) for r in got) == sorted((r[0], of_class[r[0]], links[r[0]]) for r in rows)
+
+
+def test_cells_that_are_near_as_a_whole_are_one_pair(spark):
+    """Two cells of 1,500 rows each, all within reach: one pair of cells and no pair of rows, and 2,999 links a row."""
+    rows = [(i, "a", 12.0, 80.0 + 1e-8 * i + 5e-5 * (i % 2), 9.0) for i in range(3000)]
+    obs = spark.createDataFrame(rows, "obs long, cls string, lat double, lon double, unc double")
+    cells = dedup._spots(dedup._in_cells(obs, 12.0, True))[1]
+    assert cells.count() == 2 and [r["all"] for r in dedup._cell_pairs(cells, 12.0).collect()] == [True]
+    assert {(r.cluster, r.links) for r in dedup.geographic_neighbours(obs).collect()} == {(0, 2999)}
+
+
+def test_rows_of_one_identifier_count_once_each(spark, tmp_path):
+    """Two lines of one price in an order were four observations when clusters met their rows by identifier."""
+    from fathomline.plans import register
+
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    spark.createDataFrame([(1, 1, 1, k, 5.0, 900.0, 0.0, 0.0, "A", "F") for k in (1, 2)] + [(2, 1, 1, 1, 5.0, 901.0, 0.0, 0.0, "A", "F")], columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [(r.observation_count, r.frames) for r in register.hazard_rollup(spark, str(tmp_path)).collect()] == [(3, "1;2")]
