@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fathomline.functions.boxes import ios, iou
 from fathomline.functions.numbers import ratio
-from fathomline.session import checkpoint
+from fathomline.session import saved
 
 BOX = ("x0", "y0", "x1", "y1")
 
@@ -174,28 +174,28 @@ def average_precision(flagged: DataFrame, totals: DataFrame, keys: list[str]) ->
     each range adds what the ranges before it hold, and takes the best of those
     behind it, so no task sees all detections of a class.
     """
-    return _area_of(flagged.groupBy(*keys, "score").agg(F.sum("tp").cast("long").alias("_t"), F.count(F.lit(1)).alias("_n")), totals, keys)
+    cells = flagged.groupBy(*keys, "score").agg(F.sum("tp").cast("long").alias("_t"), F.count(F.lit(1)).alias("_n"))
+    return _area_of(cells, totals, keys, ["_t"]).withColumnRenamed("_t", "ap")
 
 
-def _area_of(cells: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    """``average_precision`` from hits and detections of each score (``keys, score, _t, _n``)."""
+def _area_of(cells: DataFrame, totals: DataFrame, keys: list[str], hits: list[str]) -> DataFrame:
+    """``average_precision`` from detections (``_n``) and one or several columns of hits of each score (``keys, score, _n``); each column of hits becomes its area."""
     cells = cells.withColumn("_down", -F.col("score"))
-    ranged = checkpoint(cells.repartitionByRange(*keys, "_down").withColumn("_part", F.spark_partition_id()))
+    ranged = saved(cells.repartitionByRange(*keys, "_down").withColumn("_part", F.spark_partition_id()))
     inside = Window.partitionBy(*keys, "_part").orderBy("_down")
     ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     behind = Window.partitionBy(*keys).orderBy(F.desc("_part")).rowsBetween(Window.unboundedPreceding, -1)
-    sums = ranged.groupBy(*keys, "_part").agg(F.sum("_t").alias("_pt"), F.sum("_n").alias("_pn"))
-    starts = sums.select(*keys, "_part", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}0") for c in ("_pt", "_pn")])
-    upto = ranged.join(starts, [*keys, "_part"]).withColumns({"_found": F.col("_pt0") + F.sum("_t").over(inside), "_seen": F.col("_pn0") + F.sum("_n").over(inside)})
-    curve = upto.withColumn("_precision", F.col("_found") / F.col("_seen"))
-    later = curve.groupBy(*keys, "_part").agg(F.max("_precision").alias("_best")).withColumn("_later", F.max("_best").over(behind)).drop("_best")
+    sums = ranged.groupBy(*keys, "_part").agg(*[F.sum(c).alias(f"{c}0") for c in ("_n", *hits)])
+    starts = sums.select(*keys, "_part", *[F.coalesce(F.sum(f"{c}0").over(ahead), F.lit(0)).alias(f"{c}0") for c in ("_n", *hits)])
+    upto = ranged.join(starts, [*keys, "_part"]).withColumns({f"{c}+": F.col(f"{c}0") + F.sum(c).over(inside) for c in ("_n", *hits)})
+    curve = upto.select(*keys, "_part", "_down", "_n", *hits, *[(F.col(f"{c}+") / F.col("_n+")).alias(f"{c}p") for c in hits])
+    later = curve.groupBy(*keys, "_part").agg(*[F.max(f"{c}p").alias(f"{c}b") for c in hits]).select(*keys, "_part", *[F.max(f"{c}b").over(behind).alias(f"{c}l") for c in hits])
     # From the far end on: a frame that only loses rows would be gone through anew for each of them.
     rest = Window.partitionBy(*keys, "_part").orderBy(F.desc("_down")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    envelope = F.greatest(F.max("_precision").over(rest), F.coalesce("_later", F.lit(0.0)))
-    area = curve.join(later, [*keys, "_part"]).withColumn("_area", F.col("_t") * envelope).groupBy(*keys).agg(F.sum("_area").alias("_area"), F.sum("_n").alias("n_det"))
+    envelope = {f"{c}e": F.greatest(F.max(f"{c}p").over(rest), F.coalesce(f"{c}l", F.lit(0.0))) for c in hits}
+    area = curve.join(later, [*keys, "_part"]).withColumns(envelope).groupBy(*keys).agg(F.sum("_n").alias("n_det"), *[F.sum(F.col(c) * F.col(f"{c}e")).alias(c) for c in hits])
     out = totals.join(area, keys, "left")
-    ap = F.when(F.col("n_gt") > 0, F.coalesce("_area", F.lit(0.0)) / F.col("n_gt"))
-    return out.select(*keys, "n_gt", F.coalesce("n_det", F.lit(0)).alias("n_det"), ap.alias("ap"))
+    return out.select(*keys, "n_gt", F.coalesce("n_det", F.lit(0)).alias("n_det"), *[F.when(F.col("n_gt") > 0, F.coalesce(c, F.lit(0.0)) / F.col("n_gt")).alias(c) for c in hits])
 
 
 def mean_precision(dets: DataFrame, truths: DataFrame, levels: tuple[float, ...] = LEVELS) -> DataFrame:
@@ -203,14 +203,17 @@ def mean_precision(dets: DataFrame, truths: DataFrame, levels: tuple[float, ...]
 
     At each overlap detections take truths of their class and frame greedily by
     falling score; ``ap50`` is that of the first level. Boxes are paired once,
-    and a pair goes to all levels that it reaches.
+    and a pair goes to all levels that it reaches. A score is one row with its
+    hits at all levels, so the curves are as long as the scores, not ten times.
     """
     wanted = F.array(*map(F.lit, levels))
     pairs = _scored_pairs(dets.withColumn("kind", F.col("cls")), truths.withColumn("kind", F.col("cls")), ["kind", "frame"]).filter(F.col("iou") >= min(levels))
     hits = _taken(pairs.withColumn("level", F.explode(F.filter(wanted, lambda v: F.col("iou") >= v))), ["level", "kind", "frame"])
-    hits = hits.groupBy("level", F.col("kind").alias("cls"), "score").agg(F.count(F.lit(1)).alias("_t"))
-    seen = dets.groupBy("cls", "score").agg(F.count(F.lit(1)).alias("_n")).withColumn("level", F.explode(wanted))
-    cells = seen.join(hits, ["level", "cls", "score"], "left").withColumn("_t", F.coalesce("_t", F.lit(0)))
-    totals = truths.groupBy("cls").agg(F.count(F.lit(1)).alias("n_gt")).withColumn("level", F.explode(wanted))
-    per = _area_of(cells, totals, ["cls", "level"]).groupBy("cls").agg(F.max(F.when(F.col("level") == levels[0], F.col("ap"))).alias("ap50"), F.avg("ap").alias("ap50_95"))
+    names = [f"_t{k}" for k in range(len(levels))]
+    hits = hits.groupBy(F.col("kind").alias("cls"), "score").agg(*[F.count_if(F.col("level") == v).alias(c) for c, v in zip(names, levels, strict=True)])
+    seen = dets.groupBy("cls", "score").agg(F.count(F.lit(1)).alias("_n"))
+    cells = seen.join(hits, ["cls", "score"], "left").na.fill(0, names)
+    totals = truths.groupBy("cls").agg(F.count(F.lit(1)).alias("n_gt"))
+    mean = sum((F.col(c) for c in names[1:]), F.col(names[0])) / len(names)
+    per = _area_of(cells, totals, ["cls"], names).select("cls", F.col(names[0]).alias("ap50"), mean.alias("ap50_95"))
     return per.unionByName(per.agg(F.avg("ap50").alias("ap50"), F.avg("ap50_95").alias("ap50_95")).withColumn("cls", F.lit(None).cast(truths.schema["cls"].dataType)))

@@ -285,3 +285,11 @@ def test_rows_of_one_identifier_count_once_each(spark, tmp_path):
     columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
     spark.createDataFrame([(1, 1, 1, k, 5.0, 900.0, 0.0, 0.0, "A", "F") for k in (1, 2)] + [(2, 1, 1, 1, 5.0, 901.0, 0.0, 0.0, "A", "F")], columns).write.parquet(str(tmp_path / "lineitem.parquet"))
     assert [(r.observation_count, r.frames) for r in register.hazard_rollup(spark, str(tmp_path)).collect()] == [(3, "1;2")]
+
+
+def test_areas_of_several_levels_at_once(spark):
+    """A score is one row with its hits at each level; each level has the area that it has alone."""
+    cells = spark.createDataFrame([("a", 0.9, 2, 1, 2), ("a", 0.5, 1, 1, 0), ("a", 0.2, 3, 1, 1), ("b", 0.4, 1, 0, 1)], "cls string, score double, _n long, u long, v long")
+    totals = spark.createDataFrame([("a", 4), ("b", 2)], "cls string, n_gt long")
+    got = {r.cls: (r.u, r.v) for r in matching._area_of(cells, totals, ["cls"], ["u", "v"]).collect()}
+    assert got["a"] == pytest.approx(((2 / 3 + 2 / 3 + 0.5) / 4, 2.5 / 4)) and got["b"] == pytest.approx((0.0, 0.5))
