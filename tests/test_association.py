@@ -3,6 +3,7 @@
 import json
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -293,3 +294,19 @@ def test_areas_of_several_levels_at_once(spark):
     totals = spark.createDataFrame([("a", 4), ("b", 2)], "cls string, n_gt long")
     got = {r.cls: (r.u, r.v) for r in matching._area_of(cells, totals, ["cls"], ["u", "v"]).collect()}
     assert got["a"] == pytest.approx(((2 / 3 + 2 / 3 + 0.5) / 4, 2.5 / 4)) and got["b"] == pytest.approx((0.0, 0.5))
+
+
+def test_query_of_edges_returns_every_pair(spark, tmp_path):
+    """Each two rows of one class in reach are a row; a cluster and a number of links don't tell which rows they join."""
+    from fathomline.plans import register, registry
+
+    columns = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string"
+    # A quantity is 0.108 m to the east and 17 m are in reach, so 1 meets 100 and 200 meets 100 and 300; one more is of another class, one elsewhere, one of status O.
+    lines = [(1, 1, 1, "A", 1.0, "F"), (2, 1, 1, "A", 200.0, "F"), (3, 1, 1, "A", 300.0, "F"), (4, 1, 1, "R", 200.0, "F"), (5, 2, 1, "A", 200.0, "F"), (6, 1, 1, "A", 200.0, "O"), (7, 1, 1, "A", 100.0, "F")]
+    spark.createDataFrame([(o, p, s, 1, q, 900.0, 0.0, 0.0, c, f) for o, p, s, c, q, f in lines], columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    df = register.dedup_geo_edges(spark, str(tmp_path))
+    obs = {k: k * 200000 + 900.0 for k in range(8)}
+    assert df.columns == ["a", "b"] and sorted(tuple(r) for r in df.collect()) == [(obs[1], obs[7]), (obs[2], obs[3]), (obs[2], obs[7])]
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert sorted(con.sql(registry.ORACLE_SQL["dedup_geo_edges"]).fetchall()) == [(obs[1], obs[7]), (obs[2], obs[3]), (obs[2], obs[7])]
