@@ -310,3 +310,27 @@ def test_query_of_edges_returns_every_pair(spark, tmp_path):
     con = duckdb.connect()
     con.sql(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert sorted(con.sql(registry.ORACLE_SQL["dedup_geo_edges"]).fetchall()) == [(obs[1], obs[7]), (obs[2], obs[3]), (obs[2], obs[7])]
+
+
+@pytest.mark.parametrize("centre", [(12.9, 80.3), (60.0, 179.99995)])
+def test_edges_of_crowded_cells_meet_block_by_block(spark, centre, monkeypatch):
+    """Cells of several blocks, wholly and partly in reach of each other; fixes said to be better than none make a cell's own rows miss each other."""
+    monkeypatch.setattr(dedup, "BLOCK", 16, raising=False)
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(400):
+        lat, lon = centre[0] + float(rng.integers(-4, 4)) * 3e-5, centre[1] + float(rng.normal(0, 6e-5))
+        rows.append((i, "ab"[i % 5 == 0], lat, (lon + 180) % 360 - 180, float(rng.choice([0.0, 5.0, 9.0, -9.0]))))
+    assert edges(spark, rows) == brute(rows) and edges(spark, rows, class_aware=False) == brute(rows, False)
+
+
+def test_a_crowded_place_is_shared_by_the_tasks(spark, monkeypatch):
+    """All 44,850 pairs of 300 rows at one place came from one task when rows too many to be sent to all tasks met by their cell."""
+    monkeypatch.setattr(dedup, "BLOCK", 16, raising=False)
+    obs = spark.range(300).selectExpr("id as obs", "'a' as cls", "12.9D as lat", "80.3D as lon", "5.0D as unc")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = dedup.geographic_edges(obs).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum(r["count"] for r in pairs) == 44850 and max(r["count"] for r in pairs) < 30000
